@@ -8,7 +8,8 @@ from pyspark.sql import Column, functions as F
 
 from fieldpulse.schemas import NON_FEATURE_KEYS
 
-NUMBER_TYPES = "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
+NUMBER_KINDS = ("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE")
+NO_ENTRIES = "array<struct<key:string,value:double>>"
 
 
 def variant_map(text: Column) -> Column:
@@ -21,9 +22,17 @@ def text_map(text: Column) -> Column:
     return F.from_json(text, "map<string,string>")
 
 
-def is_number(value: Column) -> Column:
+def _typed_entries(document: Column) -> Column:
+    """array<struct<key, value, kind>>: the kind of every value is looked up once."""
+    return F.transform(
+        F.map_entries(document),
+        lambda e: F.struct(e["key"], e["value"], F.schema_of_variant(e["value"]).alias("kind")),
+    )
+
+
+def _is_number(kind: Column) -> Column:
     """JSON numbers only: booleans and numeric strings do not count."""
-    return F.coalesce(F.schema_of_variant(value).rlike(NUMBER_TYPES), F.lit(False))
+    return kind.isin(*NUMBER_KINDS) | kind.startswith("DECIMAL")
 
 
 def _number_entry(name: Column, value: Column) -> Column:
@@ -33,8 +42,8 @@ def _number_entry(name: Column, value: Column) -> Column:
 def numeric_entries(payload: Column, skip: Iterable[str] = NON_FEATURE_KEYS) -> Column:
     """array<struct<key, value>> of the top-level numbers, in document order."""
     skip = tuple(skip)
-    wanted = lambda e: is_number(e["value"]) & (~e["key"].isin(*skip) if skip else F.lit(True))
-    found = F.filter(F.map_entries(variant_map(payload)), wanted)
+    wanted = lambda e: _is_number(e["kind"]) & (~e["key"].isin(*skip) if skip else F.lit(True))
+    found = F.filter(_typed_entries(variant_map(payload)), wanted)
     return F.transform(found, lambda e: _number_entry(e["key"], e["value"]))
 
 
@@ -42,33 +51,35 @@ def nested_numeric_entries(payload: Column) -> Column:
     """As `numeric_entries`, nothing skipped, plus the numbers one object level down.
 
     A nested object is parsed again from its raw text, because a VARIANT object
-    keeps its keys sorted and would lose the document order.
+    keeps its keys sorted and would lose the document order. The raw text of all
+    keys is read once per payload, and only for payloads that hold an object.
     """
-    raw = text_map(payload)
-    empty = F.array().cast("array<struct<key:string,value:double>>")
+    empty = F.array().cast(NO_ENTRIES)
+    raw = F.when(payload.rlike(r":\s*\{"), text_map(payload))
 
-    def children(e: Column) -> Column:
-        inner = F.filter(F.map_entries(variant_map(raw[e["key"]])), lambda c: is_number(c["value"]))
-        return F.transform(
-            inner, lambda c: _number_entry(F.concat(e["key"], F.lit("."), c["key"]), c["value"])
-        )
+    def children(e: Column, texts: Column) -> Column:
+        inner = F.filter(_typed_entries(variant_map(texts[e["key"]])), lambda c: _is_number(c["kind"]))
+        return F.transform(inner, lambda c: _number_entry(F.concat(e["key"], F.lit("."), c["key"]), c["value"]))
 
-    def expand(e: Column) -> Column:
-        kind = F.schema_of_variant(e["value"])
+    def expand(e: Column, texts: Column) -> Column:
         return (
-            F.when(is_number(e["value"]), F.array(_number_entry(e["key"], e["value"])))
-            .when(kind.startswith("OBJECT"), F.coalesce(children(e), empty))
+            F.when(_is_number(e["kind"]), F.array(_number_entry(e["key"], e["value"])))
+            .when(e["kind"].startswith("OBJECT"), F.coalesce(children(e, texts), empty))
             .otherwise(empty)
         )
 
-    return F.flatten(F.transform(F.map_entries(variant_map(payload)), expand))
+    # a one-element array holds the raw texts, so that the lambda below does not parse them per entry
+    expanded = F.transform(
+        F.array(F.struct(variant_map(payload).alias("document"), raw.alias("texts"))),
+        lambda p: F.flatten(F.transform(_typed_entries(p["document"]), lambda e: expand(e, p["texts"]))),
+    )
+    return F.get(expanded, F.lit(0))
 
 
 def numeric_values(payload: Column, nested: bool = False) -> Column:
     """array<double> of the numbers of a payload; empty when it is not an object."""
     entries = nested_numeric_entries(payload) if nested else numeric_entries(payload)
-    values = F.transform(entries, lambda e: e["value"])
-    return F.coalesce(values, F.array().cast("array<double>"))
+    return F.coalesce(F.transform(entries, lambda e: e["value"]), F.array().cast("array<double>"))
 
 
 def wrap_json(name: str, payload: Column) -> Column:

@@ -12,12 +12,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldpulse.functions.scalar import alert_severity, anomaly_probability, ratio
-from fieldpulse.operators.isolation import expected_path, grow_tree, mean_path
-from fieldpulse.session import scratch_path
+from fieldpulse.operators.isolation import SAMPLE_LIMIT, Nodes, expected_path, grow_tree, mean_path, pack
+from fieldpulse.session import materialize
 
 # --- fixed values ---------------------------------------------------------------
 N_TREES = 100
-SAMPLE_PER_TREE = 256
+SAMPLE_PER_TREE = SAMPLE_LIMIT
 CONTAMINATION = 0.05
 SEED = 42
 ALERT_THRESHOLD = 0.7
@@ -31,7 +31,7 @@ HASH_RANGE = 1 << 40
 class Forest:
     """A trained forest. Its size depends on the number of trees and not on the data."""
 
-    arrays: dict[str, np.ndarray]
+    nodes: Nodes
     sample_size: int
     offset: float
     version: str
@@ -52,9 +52,7 @@ def _training_pool(vectors: DataFrame, id_column: str, seed: int) -> DataFrame:
     hashed = vectors.select(_hash(F.col(id_column), F.lit(seed)).alias("h"), "features")
     if n > 4 * POOL_ROWS:
         hashed = hashed.filter(F.col("h") < int(HASH_RANGE * 2 * POOL_ROWS / n))
-    path = scratch_path(vectors.sparkSession, "training-pool")
-    hashed.orderBy("h").limit(POOL_ROWS).write.parquet(path)
-    return vectors.sparkSession.read.parquet(path)
+    return materialize(hashed.orderBy("h").limit(POOL_ROWS), "training-pool")
 
 
 def train_forest(
@@ -65,7 +63,10 @@ def train_forest(
     seed: int = SEED,
     version: str = "1.0.0",
 ) -> Forest:
-    """Grow one tree per group of sampled rows; only the finished trees come to the driver."""
+    """Grow one tree per group of sampled rows; only the finished trees come to the driver.
+
+    `vectors` is read twice (count and sample); materialize it first when computing it costs much.
+    """
     pool = _training_pool(vectors, id_column, seed)
     n_pool = pool.count()
     if n_pool == 0:
@@ -91,26 +92,18 @@ def train_forest(
 
     schema = "tree int, node int, feature int, threshold double, left int, right int, path double"
     nodes = samples.groupBy("tree").applyInPandas(grow, schema).toPandas()
-    width = int(nodes["node"].max()) + 1
-    arrays = {
-        name: np.full((n_trees, width), empty, dtype=kind)
-        for name, empty, kind in (
-            ("feature", -1, np.int64), ("threshold", 0.0, float), ("left", -1, np.int64),
-            ("right", -1, np.int64), ("path", 0.0, float),
-        )
-    }
-    for name, array in arrays.items():
-        array[nodes["tree"], nodes["node"]] = nodes[name]
-    fitted = Forest(arrays, sample_size, 0.0, version)
+    columns = {c: nodes[c].to_numpy() for c in nodes.columns if c != "tree"}
+    packed = pack(nodes["tree"].to_numpy(), columns, n_trees)
+    fitted = Forest(packed, sample_size, 0.0, version)
     offset = pool.select(_normality(fitted)(F.col("features")).alias("s")).agg(
         F.percentile("s", contamination)
     ).first()[0]
-    return Forest(arrays, sample_size, float(offset), version)
+    return Forest(packed, sample_size, float(offset), version)
 
 
 def _normality(forest: Forest):
     """Arrow-batched column function: minus the isolation score, higher is more normal."""
-    arrays, typical = forest.arrays, float(expected_path([forest.sample_size])[0]) or 1.0
+    nodes, typical = forest.nodes, float(expected_path([forest.sample_size])[0]) or 1.0
 
     @F.pandas_udf("double")
     def normality(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -119,7 +112,7 @@ def _normality(forest: Forest):
                 yield pd.Series([], dtype=float)
                 continue
             points = np.stack(features.to_numpy()).astype(float)
-            yield pd.Series(-np.power(2.0, -mean_path(points, arrays) / typical))
+            yield pd.Series(-np.power(2.0, -mean_path(points, nodes) / typical))
 
     return normality
 

@@ -9,6 +9,7 @@ from fieldpulse.functions.vectors import pad, population_variance, sliding_stats
 from fieldpulse.operators.hot_keys import MAX_ROWS_PER_SLOT, with_recent
 from fieldpulse.operators.ranking import is_in_first, row_at_rank
 from fieldpulse.schemas import FEATURE_WIDTH, FEATURE_WINDOW, MAX_TRAINING_WIDTH
+from fieldpulse.session import materialize
 
 
 def sliding_device_stats(readings: DataFrame, size: int = FEATURE_WINDOW, max_rows: int = MAX_ROWS_PER_SLOT) -> DataFrame:
@@ -37,10 +38,13 @@ def feature_vectors(readings: DataFrame, size: int = FEATURE_WINDOW, max_rows: i
 def training_matrix(readings: DataFrame) -> DataFrame:
     """(id, features): numbers of the payload and of its nested objects, z-scored per position.
 
-    Rows without numbers are dropped. The moments of all positions come from one
-    aggregation to one row, which reaches the rows as a scalar subquery.
+    Rows without numbers are dropped. The payloads are parsed once and the numbers
+    written to the shared folder, because two passes need them: the moments of all
+    positions come from one aggregation to one row, which then reaches the rows as a
+    scalar subquery.
     """
-    rows = readings.select("id", numeric_values(F.col("payload"), nested=True).alias("_v")).filter(F.size("_v") > 0)
+    parsed = readings.select("id", numeric_values(F.col("payload"), nested=True).alias("_v"))
+    rows = materialize(parsed, "training-values").filter(F.size("_v") > 0)
     padded = pad(F.col("_v"), MAX_TRAINING_WIDTH)
     at = lambda i: F.get(F.col("_p"), F.lit(i))
     moments = (

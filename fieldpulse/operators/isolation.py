@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 
 EULER_GAMMA = 0.5772156649015329
+SAMPLE_LIMIT = 256  # rows per tree; no leaf lies deeper than its logarithm
 
 
 def expected_path(n) -> np.ndarray:
@@ -22,7 +24,7 @@ def expected_path(n) -> np.ndarray:
 def grow_tree(points: np.ndarray, seed: int) -> list[tuple[int, int, float, int, int, float]]:
     """Nodes (number, feature, threshold, left, right, path length at a leaf); a leaf's feature is -1."""
     rng = np.random.default_rng(seed)
-    limit = math.ceil(math.log2(max(len(points), 2)))
+    limit = math.ceil(math.log2(min(max(len(points), 2), SAMPLE_LIMIT)))
     nodes: list[tuple[int, int, float, int, int, float]] = []
     waiting, next_number = [(0, points, 0)], 1
     while waiting:
@@ -44,18 +46,46 @@ def grow_tree(points: np.ndarray, seed: int) -> list[tuple[int, int, float, int,
     return nodes
 
 
-def mean_path(points: np.ndarray, forest: dict[str, np.ndarray]) -> np.ndarray:
-    """Average leaf path length over all trees; the trees advance together, one level per step."""
-    n_trees = forest["feature"].shape[0]
-    tree = np.arange(n_trees)[:, None]
-    at = np.zeros((n_trees, len(points)), dtype=np.int64)
-    rows = np.arange(len(points))[None, :]
-    while True:
-        feature = forest["feature"][tree, at]
-        inner = feature >= 0
-        if not inner.any():
-            return forest["path"][tree, at].mean(axis=0)
-        value = points[rows, np.where(inner, feature, 0)]
-        left = value <= forest["threshold"][tree, at]
-        child = np.where(left, forest["left"][tree, at], forest["right"][tree, at])
-        at = np.where(inner, child, at)
+@dataclass(frozen=True)
+class Nodes:
+    """All trees in flat arrays. A leaf points to itself, so every row can take the same number of steps."""
+
+    roots: np.ndarray
+    feature: np.ndarray
+    threshold: np.ndarray
+    children: np.ndarray
+    path: np.ndarray
+    depth: int
+
+
+def pack(tree: np.ndarray, nodes: dict[str, np.ndarray], n_trees: int) -> Nodes:
+    """Flat arrays from node rows (tree, node, feature, threshold, left, right, path)."""
+    width = int(nodes["node"].max()) + 1
+    place = tree * width + nodes["node"]
+    leaf = nodes["feature"] < 0
+    size = n_trees * width
+    feature, threshold, path = np.zeros(size, np.int32), np.full(size, np.inf), np.zeros(size)
+    children = np.repeat(np.arange(size, dtype=np.int32), 2)
+    feature[place] = np.where(leaf, 0, nodes["feature"])
+    threshold[place] = np.where(leaf, np.inf, nodes["threshold"])
+    path[place] = nodes["path"]
+    inner = place[~leaf]
+    children[2 * inner] = (tree * width + nodes["left"])[~leaf]
+    children[2 * inner + 1] = (tree * width + nodes["right"])[~leaf]
+    deepest = math.ceil(math.log2(SAMPLE_LIMIT))
+    return Nodes(np.arange(n_trees, dtype=np.int32) * width, feature, threshold, children, path, deepest)
+
+
+def mean_path(points: np.ndarray, nodes: Nodes, chunk: int = 2048) -> np.ndarray:
+    """Average leaf path length over all trees; all rows and trees of a chunk go down together."""
+    width = points.shape[1]
+    out = np.empty(len(points))
+    for begin in range(0, len(points), chunk):
+        part = np.ascontiguousarray(points[begin:begin + chunk])
+        flat, row = part.ravel(), np.arange(len(part), dtype=np.int32)[:, None] * width
+        at = np.broadcast_to(nodes.roots, (len(part), len(nodes.roots)))
+        for _ in range(nodes.depth):
+            right = flat.take(row + nodes.feature.take(at)) > nodes.threshold.take(at)
+            at = nodes.children.take(2 * at + right)
+        out[begin:begin + chunk] = nodes.path.take(at).mean(axis=1)
+    return out

@@ -11,6 +11,7 @@ SMALL_INPUT_BYTES = 10 * 1024 * 1024
 CLOUD_COST_FACTOR = 0.15
 LATENCY_WEIGHT, COST_WEIGHT = 0.6, 0.4
 CLOUD_LATENCY_MS, CLOUD_LATENCY_COST_MS = 50.0, 40.0
+POLICIES = ("latency_first", "cost_aware", "balanced")
 # --- end of fixed values --------------------------------------------------------
 
 
@@ -36,6 +37,7 @@ def _option(policy: str, score, target, node, estimate) -> Column:
     as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
     return F.struct(
         as_column(score).cast("double").alias("score"),
+        F.lit(-POLICIES.index(policy)).alias("precedence"),
         as_column(target).cast("string").alias("target"),
         as_column(node).cast("bigint").alias("node_id"),
         as_column(estimate).cast("double").alias("estimate"),
@@ -103,11 +105,8 @@ def place_tasks(tasks: DataFrame, nodes: DataFrame, as_of: str) -> DataFrame:
         _option("balanced", F.round(edge, 4), F.when(is_local, "edge_local").otherwise("edge_remote"), best["node_id"], best_latency),
     ).otherwise(_option("balanced", F.round(cloud, 4), "cloud", None, CLOUD_LATENCY_MS))
 
-    scored = joined.select("task_id", latency_first.alias("_a"), cost_aware.alias("_b"), balanced.alias("_c"))
-    better = F.when(F.col("_b.score") > F.col("_a.score"), F.col("_b")).otherwise(F.col("_a"))
-    chosen = scored.withColumn("_ab", better).withColumn(
-        "_best", F.when(F.col("_c.score") > F.col("_ab.score"), F.col("_c")).otherwise(F.col("_ab"))
-    )
+    # structs compare by their first differing field: the higher score, then the earlier policy
+    chosen = joined.select("task_id", F.greatest(latency_first, cost_aware, balanced).alias("_best"))
     return chosen.select(
         "task_id",
         F.col("_best.target").alias("target"),

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fieldpulse.session import scratch_path
+from fieldpulse.session import materialize
 
 ROW_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
@@ -20,10 +20,7 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> D
     partition plus the number of rows in the partitions before it; that table
     has one row per partition. `order` must be a total order.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, "rank")
-    df.orderBy(*order).withColumn("_position", F.monotonically_increasing_id()).write.parquet(path)
-    ordered = spark.read.parquet(path)
+    ordered = materialize(df.orderBy(*order).withColumn("_position", F.monotonically_increasing_id()), "rank")
     part = F.shiftright("_position", ROW_BITS)
     sizes = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -11,6 +11,7 @@ from fieldpulse.operators import aggregates as G, detect, features, windows
 from fieldpulse.plans.catalog.oracle_views import nested_numbers, numbers
 from fieldpulse.plans.catalog.registry import query
 from fieldpulse.schemas import PROCESSING_BUCKETS
+from fieldpulse.session import materialize
 from fieldpulse.sources import sample_views as V, tables
 
 VECTOR_VIEWS = {
@@ -264,7 +265,7 @@ def h7(spark, folder):
 
 @query("h8_isolation_forest_scores")
 def h8(spark, folder):
-    vectors = features.feature_vectors(V.readings(spark, folder))
+    vectors = materialize(features.feature_vectors(V.readings(spark, folder)).drop("payload"), "vectors")
     forest = detect.train_forest(vectors)
     return detect.score_forest(vectors, forest).select("id", "device_id", "raw_score", "anomaly_score")
 

@@ -11,7 +11,7 @@ from fieldpulse.plans.catalog.oracle_views import INGEST_VIEWS
 from fieldpulse.plans.catalog.ordered import VECTOR_VIEWS
 from fieldpulse.plans.catalog.registry import query
 from fieldpulse.plans.catalog.scans import TELEMETRY_ROWS
-from fieldpulse.session import scratch_path
+from fieldpulse.session import materialize, scratch_path
 from fieldpulse.sources import sample_views as V, tables
 from fieldpulse.streaming import jobs, stateful
 
@@ -86,7 +86,8 @@ def i2(spark, folder):
 
 @query("i3_stateful_scoring")
 def i3(spark, folder):
-    forest = detect.train_forest(features.feature_vectors(V.readings(spark, folder)))
+    history = features.feature_vectors(V.readings(spark, folder)).select("id", "features")
+    forest = detect.train_forest(materialize(history, "vectors"))
     results, alerts = scratch_path(spark, "results"), scratch_path(spark, "alerts")
     vectors = stateful.stateful_features(V.readings_of(V.telemetry_stream(spark, folder)))
     finish(jobs.scoring_job(vectors, forest, results, alerts, scratch_path(spark, "checkpoint"), available_now=True))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from fieldpulse.schemas import DEVICE_STATUSES, DEVICE_TYPES
-from fieldpulse.sources.tables import read_log, read_table
+from fieldpulse.sources.tables import read_log, read_table, spread
 
 AS_OF = "2024-01-31 00:00:00"
 MONEY = "decimal(12,2)"
@@ -120,7 +120,7 @@ def readings_of(t: DataFrame) -> DataFrame:
 
 
 def readings(spark, folder) -> DataFrame:
-    return readings_of(telemetry(spark, folder))
+    return readings_of(spread(telemetry(spark, folder)))
 
 
 def messages_of(r: DataFrame) -> DataFrame:

@@ -16,6 +16,16 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
     return reader.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out the rows of a scan that has fewer tasks than the cluster has cores.
+
+    For work that costs much per row, such as reading JSON, on few files that cannot
+    be split. A scan with at least one task per core is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_jdbc(
     spark: SparkSession,
     url: str,

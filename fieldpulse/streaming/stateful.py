@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import Any
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fieldpulse.functions.payload import numeric_values
@@ -28,26 +27,29 @@ class RecentReadings(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.recent = handle.getValueState("recent", "readings array<array<double>>")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "id"])
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         kept = [list(v) for v in self.recent.get()[0]] if self.recent.exists() else []
-        features = []
-        for values in batch["values"]:
-            values = [float(v) for v in values]
+        for row in sorted(rows, key=lambda r: (r["ts"], r["id"])):
+            values = list(row["values"])
             kept = [*kept, values][-self.size:]
-            flat = np.array([v for reading in kept for v in reading])
-            if len(kept) == 1:
-                stats = [values[0] if values else 0.0] * 4
-            elif len(flat) == 0:
-                stats = [0.0] * 4
-            else:
-                stats = [flat.mean(), flat.std(), flat.min(), flat.max()]
-            vector = [*values, *map(float, stats)][:FEATURE_WIDTH]
-            features.append(vector + [0.0] * (FEATURE_WIDTH - len(vector)))
+            vector = [*values, *self._stats(kept, values)][:FEATURE_WIDTH]
+            vector += [0.0] * (FEATURE_WIDTH - len(vector))
+            yield Row(
+                id=row["id"], device_id=key[0], device_type=row["device_type"], ts=row["ts"],
+                payload=row["payload"], features=vector,
+            )
         self.recent.update((kept,))
-        out = batch[["id", "device_id", "device_type", "ts", "payload"]].copy()
-        out["features"] = features
-        yield out
+
+    @staticmethod
+    def _stats(kept: list[list[float]], values: list[float]) -> list[float]:
+        if len(kept) == 1:
+            return [values[0] if values else 0.0] * 4
+        flat = [v for reading in kept for v in reading]
+        if not flat:
+            return [0.0] * 4
+        mean = math.fsum(flat) / len(flat)
+        std = math.sqrt(math.fsum((v - mean) ** 2 for v in flat) / len(flat))
+        return [mean, std, min(flat), max(flat)]
 
     def close(self) -> None:
         pass
@@ -59,7 +61,7 @@ def stateful_features(readings: DataFrame, size: int = FEATURE_WINDOW) -> DataFr
         "id", F.col("device_id").cast("string").alias("device_id"), "device_type", "ts", "payload",
         numeric_values(F.col("payload")).alias("values"),
     )
-    return rows.groupBy("device_id").transformWithStateInPandas(
+    return rows.groupBy("device_id").transformWithState(
         RecentReadings(size), outputStructType=VECTOR_SCHEMA, outputMode="Append", timeMode="None"
     )
 
@@ -78,11 +80,11 @@ class Liveness(StatefulProcessor):
     def _now(self, timers: Any) -> int:
         return timers.getCurrentWatermarkInMs() if self.event_time else timers.getCurrentProcessingTimeInMs()
 
-    def _change(self, key: Any, status: str, at_ms: int) -> pd.DataFrame:
-        return pd.DataFrame({"node_id": [str(key[0])], "status": [status], "changed_at_ms": [at_ms]})
+    def _change(self, key: Any, status: str, at_ms: int) -> Row:
+        return Row(node_id=key[0], status=status, changed_at_ms=at_ms)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        newest = max(int(part["ms"].max()) for part in rows)
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        newest = max(row["ms"] for row in rows)
         status, last = self.node.get() if self.node.exists() else ("joining", 0)
         last = max(last, newest if self.event_time else self._now(timerValues))
         for timer in list(self.handle.listTimers()):
@@ -95,7 +97,7 @@ class Liveness(StatefulProcessor):
             self.handle.registerTimer(last + self.timeout_ms + 1)
         self.node.update((status, last))
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         status, last = self.node.get()
         silent = max(self._now(timerValues), expiredTimerInfo.getExpiryTimeInMs()) - last
         after = "dead" if silent > 2 * self.timeout_ms else "suspect"
@@ -117,7 +119,7 @@ def liveness_changes(heartbeats: DataFrame, timeout_seconds: float = 10.0, event
     """
     beats = heartbeats.withWatermark("ts", "0 seconds") if event_time else heartbeats
     rows = beats.select(F.col("node_id").cast("string").alias("node_id"), "ts", F.unix_millis("ts").alias("ms"))
-    return rows.groupBy("node_id").transformWithStateInPandas(
+    return rows.groupBy("node_id").transformWithState(
         Liveness(int(timeout_seconds * 1000), event_time),
         outputStructType="node_id string, status string, changed_at_ms bigint",
         outputMode="Append",
