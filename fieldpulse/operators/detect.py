@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fieldpulse.functions.scalar import alert_severity, anomaly_probability, ratio
 from fieldpulse.operators.isolation import SAMPLE_LIMIT, Nodes, expected_path, grow_tree, mean_path, pack
 from fieldpulse.session import materialize
+from fieldpulse.sources.tables import spread
 
 # --- fixed values ---------------------------------------------------------------
 N_TREES = 100
@@ -52,7 +53,7 @@ def _training_pool(vectors: DataFrame, id_column: str, seed: int) -> DataFrame:
     hashed = vectors.select(_hash(F.col(id_column), F.lit(seed)).alias("h"), "features")
     if n > 4 * POOL_ROWS:
         hashed = hashed.filter(F.col("h") < int(HASH_RANGE * 2 * POOL_ROWS / n))
-    return materialize(hashed.orderBy("h").limit(POOL_ROWS), "training-pool")
+    return spread(materialize(hashed.orderBy("h").limit(POOL_ROWS), "training-pool"))
 
 
 def train_forest(
@@ -74,14 +75,13 @@ def train_forest(
     sample_size = min(SAMPLE_PER_TREE, n_pool)
     # about twice the sample reaches each tree's task, which takes the smallest hashes
     share = min(1.0, 2.0 * sample_size / n_pool) if n_pool > 4 * sample_size else 1.0
-    trees = F.filter(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(n_trees - 1)),
-            lambda t: F.struct(t.alias("tree"), _hash(F.col("h"), F.lit(seed), t).alias("order")),
-        ),
-        lambda t: t["order"] < int(HASH_RANGE * share),
+    tree = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree")
+    samples = (
+        pool.select("h", "features", tree)
+        .withColumn("order", _hash(F.col("h"), F.lit(seed), F.col("tree")))
+        .filter(F.col("order") < int(HASH_RANGE * share))
+        .select("tree", "order", "features")
     )
-    samples = pool.select("features", F.inline(trees))
 
     def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         chosen = rows.sort_values("order").head(sample_size)

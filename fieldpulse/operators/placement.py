@@ -66,19 +66,46 @@ def place_tasks(tasks: DataFrame, nodes: DataFrame, as_of: str) -> DataFrame:
     requesters = fresh.filter(healthy).select(
         F.col("node_id").alias("requesting_node_id"), F.col("latency_ms").alias("_own_latency")
     )
-    joined = tasks.join(requesters, "requesting_node_id", "left").withColumn("_n", known.scalar())
+    # step by step in columns of their own, so that no expression is repeated inside another
+    facts = (
+        tasks.join(requesters, "requesting_node_id", "left")
+        .withColumn("_n", known.scalar())
+        .select(
+            "task_id", "requesting_node_id", "_own_latency",
+            F.col("max_latency_ms").alias("_limit"),
+            (F.col("input_size_bytes") < SMALL_INPUT_BYTES).alias("_small"),
+            (F.col("_n.n_fresh") > 0).alias("_any_fresh"),
+            F.col("_n.idle").isNotNull().alias("_any_healthy"),
+            F.col("_n.idle.node_id").alias("_idle"), F.col("_n.idle.latency_ms").alias("_idle_latency"),
+            F.col("_n.quick").alias("_quick"), F.col("_n.first").alias("_first"),
+            _effective(F.col("_n.quick.latency_ms"), 10.0).alias("_quickest"),
+        )
+        # when no node meets the limit all edge scores are equal and the first node stands
+        .withColumn("_best", F.when(F.col("_quickest") >= F.col("_limit"), F.col("_first")).otherwise(F.col("_quick")))
+        .withColumn("_best_id", F.col("_best.node_id"))
+        .withColumn("_best_latency", _effective(F.col("_best.latency_ms"), 10.0))
+    )
+    limit, small = F.col("_limit"), F.col("_small")
+
+    def headroom(latency: Column) -> Column:
+        return F.when(latency >= limit, 0.0).otherwise(1.0 - latency / F.nullif(limit, F.lit(0.0)))
 
-    n, limit = F.col("_n"), F.col("max_latency_ms")
+    scored = facts.withColumn(
+        "_edge", LATENCY_WEIGHT * headroom(F.col("_best_latency")) + COST_WEIGHT * F.when(small, 0.9).otherwise(0.5)
+    ).withColumn(
+        "_cloud", LATENCY_WEIGHT * headroom(F.lit(CLOUD_LATENCY_MS)) + COST_WEIGHT * F.when(small, 0.3).otherwise(0.7)
+    )
     own = F.col("_own_latency").isNotNull()
-    small = F.col("input_size_bytes") < SMALL_INPUT_BYTES
-    # "healthy" nodes exist exactly when there is an idle one
-    any_healthy, any_fresh = n["idle"].isNotNull(), n["n_fresh"] > 0
+    any_healthy, any_fresh = F.col("_any_healthy"), F.col("_any_fresh")
 
     def nearest(policy: str, own_score: float, other_score: float, fallback: float) -> Column:
-        return F.when(
-            own, _option(policy, own_score, "edge_local", F.col("requesting_node_id"), _effective(F.col("_own_latency"), fallback))
-        ).otherwise(
-            _option(policy, other_score, "edge_remote", n["idle"]["node_id"], _effective(n["idle"]["latency_ms"], fallback))
+        latency = F.when(own, F.col("_own_latency")).otherwise(F.col("_idle_latency"))
+        return _option(
+            policy,
+            F.when(own, own_score).otherwise(other_score),
+            F.when(own, "edge_local").otherwise("edge_remote"),
+            F.when(own, F.col("requesting_node_id")).otherwise(F.col("_idle")),
+            _effective(latency, fallback),
         )
 
     latency_first = F.when(any_healthy, nearest("latency_first", 0.9, 0.8, 10.0)).otherwise(
@@ -89,24 +116,17 @@ def place_tasks(tasks: DataFrame, nodes: DataFrame, as_of: str) -> DataFrame:
             "cost_aware", F.when(any_fresh, 0.7 - CLOUD_COST_FACTOR).otherwise(0.6), "cloud", None, CLOUD_LATENCY_COST_MS
         )
     )
-
-    def headroom(latency: Column) -> Column:
-        return F.when(latency >= limit, 0.0).otherwise(1.0 - latency / F.nullif(limit, F.lit(0.0)))
-
-    quickest = _effective(n["quick"]["latency_ms"], 10.0)
-    # when no node meets the limit all edge scores are equal and the first node stands
-    best = F.when(quickest >= limit, n["first"]).otherwise(n["quick"])
-    best_latency = _effective(best["latency_ms"], 10.0)
-    edge = LATENCY_WEIGHT * headroom(best_latency) + COST_WEIGHT * F.when(small, 0.9).otherwise(0.5)
-    cloud = LATENCY_WEIGHT * headroom(F.lit(CLOUD_LATENCY_MS)) + COST_WEIGHT * F.when(small, 0.3).otherwise(0.7)
-    is_local = best["node_id"] == F.col("requesting_node_id")
+    is_local = F.col("_best_id") == F.col("requesting_node_id")
     balanced = F.when(
-        any_healthy & (edge >= cloud),
-        _option("balanced", F.round(edge, 4), F.when(is_local, "edge_local").otherwise("edge_remote"), best["node_id"], best_latency),
-    ).otherwise(_option("balanced", F.round(cloud, 4), "cloud", None, CLOUD_LATENCY_MS))
+        any_healthy & (F.col("_edge") >= F.col("_cloud")),
+        _option(
+            "balanced", F.round("_edge", 4), F.when(is_local, "edge_local").otherwise("edge_remote"),
+            F.col("_best_id"), F.col("_best_latency"),
+        ),
+    ).otherwise(_option("balanced", F.round("_cloud", 4), "cloud", None, CLOUD_LATENCY_MS))
 
     # structs compare by their first differing field: the higher score, then the earlier policy
-    chosen = joined.select("task_id", F.greatest(latency_first, cost_aware, balanced).alias("_best"))
+    chosen = scored.select("task_id", F.greatest(latency_first, cost_aware, balanced).alias("_best"))
     return chosen.select(
         "task_id",
         F.col("_best.target").alias("target"),

@@ -16,6 +16,7 @@ from fieldpulse.operators.decode import from_log_entries, ingest
 from fieldpulse.operators.detect import ALERT_THRESHOLD, Forest, emit_alerts, score_forest
 from fieldpulse.operators.windows import latest_per_key
 from fieldpulse.sources.sinks import split_bad_records
+from fieldpulse.sources.tables import spread
 
 FLUSH_SECONDS = 5
 
@@ -51,7 +52,7 @@ def ingest_job(messages: DataFrame, good: str, quarantine: str, checkpoint: str,
     """Raw messages to a readings table and a quarantine table with reasons; decoded once per batch."""
 
     def on_batch(df: DataFrame, n: int) -> None:
-        checked = ingest(df).persist()
+        checked = ingest(spread(df)).persist()
         try:
             accepted, rejected = split_bad_records(checked)
             write_batch(accepted, good, n)
