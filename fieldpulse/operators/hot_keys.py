@@ -87,9 +87,8 @@ def with_previous(
         out = (
             out.join(carried, [*keys, SLOT], "left")
             .withColumn(name, F.coalesce(name, "_carried"))
-            .drop("_carried")
         )
-    return out.drop(SLOT, "_value")
+    return out.select(*df.columns, name)
 
 
 def with_recent(
@@ -120,6 +119,5 @@ def with_recent(
         out = (
             out.join(carried, [*keys, SLOT], "left")
             .withColumn(name, last_of(F.concat("_carried", name), size))
-            .drop("_carried")
         )
-    return out.drop(SLOT)
+    return out.select(*df.columns, name)
