@@ -35,18 +35,11 @@ def aggregation_summary(metrics: DataFrame, granularity: str = "hour") -> DataFr
     """
     period = period_start(F.col("ts"), granularity).alias("period")
     cells = metrics.groupBy("device_id", "device_type", period).agg(F.count(F.lit(1)).alias("n"))
-    by_device = cells.groupBy("device_id").agg(F.sum("n").alias("n"))
-    groups = cells.select("period", "device_type").distinct().agg(
-        F.count(F.lit(1)).alias("aggregated_rows"), F.count_distinct("device_type").alias("unique_types")
-    )
-    devices = by_device.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"), F.count("device_id").alias("unique_devices")
-    )
-    return devices.select(
-        "total_rows",
-        groups.select("aggregated_rows").scalar().alias("aggregated_rows"),
-        "unique_devices",
-        groups.select("unique_types").scalar().alias("unique_types"),
+    return cells.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
+        F.count_distinct(F.struct("period", "device_type")).alias("aggregated_rows"),
+        F.count_distinct("device_id").alias("unique_devices"),
+        F.count_distinct("device_type").alias("unique_types"),
         F.lit("day" if granularity == "day" else "hour").alias("granularity"),
     )
 
@@ -92,15 +85,27 @@ def anomaly_report(alerts: DataFrame) -> DataFrame:
     return out.orderBy("category", by_hour, F.desc("count"), "key")
 
 
-def top_devices(alerts: DataFrame, n: int = 10) -> DataFrame:
-    return (
-        alerts.groupBy("device_id")
-        .agg(F.count(F.lit(1)).alias("anomaly_count"), F.max_by("device_type", F.struct("ts", "id")).alias("device_type"))
-        .orderBy(F.desc("anomaly_count"), "device_id")
-        .limit(n)
+def per_device_counts(df: DataFrame, count: str) -> DataFrame:
+    """(device_id, device_type, count, last_seen); of several types the one seen last.
+
+    Device and type are counted together first, with fixed-width results that the
+    hash aggregation can hold; picking the type then works on that small table.
+    """
+    per_type = df.groupBy("device_id", "device_type").agg(
+        F.count(F.lit(1)).alias("_n"), F.max("ts").alias("_last")
+    )
+    return per_type.groupBy("device_id").agg(
+        F.max_by("device_type", F.struct("_last", "device_type")).alias("device_type"),
+        F.sum("_n").alias(count),
+        F.max("_last").alias("last_seen"),
     )
 
 
+def top_devices(alerts: DataFrame, n: int = 10) -> DataFrame:
+    counts = per_device_counts(alerts, "anomaly_count").select("device_id", "anomaly_count", "device_type")
+    return counts.orderBy(F.desc("anomaly_count"), "device_id").limit(n)
+
+
 def anomaly_summary(alerts: DataFrame, start=None, end=None) -> DataFrame:
     windowed = time_range(alerts, start, end)
     return breakdown(windowed, {"device_type": F.col("device_type"), "severity": F.col("severity")})

@@ -74,7 +74,7 @@ def ordered_split(df: DataFrame, ts: str = "ts", tie_break: str = "id", share: f
     cut = int(n * share)
     if cut in (0, n):
         cut = max(1, n - 1)
-    at = row_at_rank(order, "_ts", tie_break, cut)
+    at = row_at_rank(order, "_ts", tie_break, cut, n=n)
     side = F.when(is_in_first("_ts", tie_break, at), "train").otherwise("validation")
     return order.withColumn("split", side).drop("_ts")
 
@@ -82,6 +82,6 @@ def ordered_split(df: DataFrame, ts: str = "ts", tie_break: str = "id", share: f
 def variance_labels(vectors: DataFrame, ratio: float = 0.05, tie_break: str = "id") -> DataFrame:
     """Label 1 for the share `ratio` of rows with the largest population variance."""
     scored = vectors.withColumn("variance", population_variance(F.col("features")))
-    normal = int(vectors.count() * (1 - ratio))
-    at = row_at_rank(scored, "variance", tie_break, normal, descending=False)
+    n = vectors.count()
+    at = row_at_rank(scored, "variance", tie_break, int(n * (1 - ratio)), descending=False, n=n)
     return scored.withColumn("label", F.when(is_in_first("variance", tie_break, at, descending=False), 0).otherwise(1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from fieldpulse.functions.scalar import epoch_seconds, health_class, ratio
+from fieldpulse.operators.aggregates import per_device_counts
 from fieldpulse.operators.filters import apply_filters, last_hours, time_range
 
 
@@ -17,11 +18,7 @@ def device_health(
     reading after `as_of` gives a negative penalty, that is a score above 100.
     """
     readings = apply_filters(time_range(telemetry, start, end), device_type=device_type)
-    per_device = readings.groupBy("device_id").agg(
-        F.count(F.lit(1)).alias("total_readings"),
-        F.max("ts").alias("last_seen"),
-        F.max_by("device_type", F.struct("ts", "id")).alias("device_type"),
-    )
+    per_device = per_device_counts(readings, "total_readings")
     anomalies = time_range(alerts, start, end).groupBy("device_id").agg(F.count(F.lit(1)).alias("anomaly_count"))
     now = epoch_seconds(F.lit(as_of).cast("timestamp"))
     rate = F.least(F.col("anomaly_count") / F.col("total_readings"), F.lit(1.0))

@@ -24,11 +24,22 @@ def with_slots(
 ) -> tuple[DataFrame, bool]:
     """Add `_slot` (0 for ordinary keys) and tell whether any key is hot.
 
-    The count is one map-side-combined aggregation over the key and time columns.
+    Counting is one map-side-combined aggregation over the key and time columns.
+    With several keys the first is counted alone to begin with: a combination can
+    only be hot if its first key is, and mostly none is.
     Slots of a hot key have equal width in time and on average `max_rows` rows.
     """
+    plain = df.withColumn(SLOT, F.lit(0).cast("bigint"))
+    counted = df
+    if len(keys) > 1:
+        first = df.groupBy(keys[0]).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows)
+        n_first = first.count()
+        if n_first == 0:
+            return plain, False
+        first = F.broadcast(first) if n_first <= MAX_BROADCAST_KEYS else first
+        counted = df.join(first, keys[0], "left_semi")
     hot = (
-        df.groupBy(*keys)
+        counted.groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("_n"),
             F.min(F.unix_micros(ts)).alias("_from"),
@@ -38,7 +49,7 @@ def with_slots(
     )
     n_hot = hot.count()
     if n_hot == 0:
-        return df.withColumn(SLOT, F.lit(0).cast("bigint")), False
+        return plain, False
     if n_hot <= MAX_BROADCAST_KEYS:
         hot = F.broadcast(hot)
     n_slots = F.ceil(F.col("_n") / F.lit(max_rows))
@@ -49,7 +60,9 @@ def with_slots(
         .withColumn(SLOT, F.coalesce(slot, F.lit(0).cast("bigint")))
         .drop("_n", "_from", "_to")
     )
-    return slotted, True
+    # explicit, because input already partitioned by the keys alone would satisfy the
+    # window and leave all slots of a hot key in one task
+    return slotted.repartition(*keys, SLOT), True
 
 
 def with_previous(

@@ -36,17 +36,18 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> D
     )
 
 
-def row_at_rank(df: DataFrame, value: str, tie_break: str, k: int, descending: bool = True):
+def row_at_rank(df: DataFrame, value: str, tie_break: str, k: int, descending: bool = True, n: int | None = None):
     """(value, tie_break) of the k-th row in the order by both columns, or None.
 
     Only a narrow band of rows around the wanted position is ranked. The band
     comes from approximate percentiles; how many rows lie before it is counted
     exactly, and a band that misses position k is replaced by all rows, so the
-    answer is always exact. `value` must be a non-NULL number.
+    answer is always exact. `value` must be a non-NULL number; `n` is the number of
+    rows, if known.
     """
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     keys = df.select(value, tie_break)
-    n = keys.count()
+    n = keys.count() if n is None else n
     if not 1 <= k <= n:
         return None
     share = k / n if not descending else 1 - k / n

@@ -21,12 +21,11 @@ def write_table(df: DataFrame, path: str, mode: str = "append", partition_by: Se
 def write_readings(df: DataFrame, path: str, mode: str = "append") -> None:
     """Readings are kept by day, so a time range prunes folders before row groups.
 
-    Rows are spread by day and hour first: one hot day is not one writer task,
-    and no task opens a file for every day.
+    The rebalance hint gathers each day's rows, so that no task opens a file for every
+    day, and splits a day with very many rows over several tasks.
     """
     dated = df.withColumn("date", F.to_date("ts"))
-    spread = dated.repartition(F.col("date"), F.hour("ts"))
-    write_table(spread, path, mode, ["date"])
+    write_table(dated.hint("rebalance", "date"), path, mode, ["date"])
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str, properties: dict[str, str], batch_size: int = 1000) -> None:

@@ -34,7 +34,7 @@ def test_time_and_equality_filters_reach_the_scan(spark, folder):
 
 
 def test_reports_read_their_table_once(spark, folder):
-    for name in ("c1_sensor_aggregation", "c3_anomaly_report", "c7_telemetry_stats", "c14_latency_histogram", "h1_trend_regression"):
+    for name in ("c1_sensor_aggregation", "c2_aggregation_summary", "c3_anomaly_report", "c7_telemetry_stats", "c14_latency_histogram", "h1_trend_regression"):
         assert plan(QUERIES[name].run(spark, folder)).count("FileScan") == 1, name
 
 
@@ -72,3 +72,16 @@ def test_whole_partition_windows_are_bounded(spark, folder):
 def test_nodes_reach_tasks_by_key(spark, folder):
     text = plan(placement.place_tasks(V.tasks(spark, folder), V.node_reports(spark, folder), V.AS_OF))
     assert "requesting_node_id" in text and "Subquery" in text
+
+
+def test_telemetry_counts_use_hash_aggregation(spark, folder):
+    for name in ("c1_sensor_aggregation", "c7_telemetry_stats", "c14_latency_histogram", "h1_trend_regression"):
+        assert "SortAggregate" not in plan(QUERIES[name].run(spark, folder)), name
+
+
+def test_slots_are_separated_even_after_a_join_on_the_key(spark, folder):
+    """Input partitioned by device must not keep all slots of a hot device together."""
+    telemetry = V.telemetry(spark, folder)
+    by_device = telemetry.repartition("device_id")
+    cut, _ = hot_keys.with_slots(by_device, ["device_id"], "ts", 60)
+    assert "hashpartitioning(device_id" in plan(cut) and "_slot" in plan(cut).split("Exchange", 1)[1].split("\n", 1)[0]
