@@ -18,8 +18,9 @@ def sliding_device_stats(readings: DataFrame, size: int = FEATURE_WINDOW, max_ro
     The statistics cover all numbers of all keys together. A device's first
     reading has four copies of its first number, or zeros without one.
     """
-    parsed = readings.withColumn("values", numeric_values(F.col("payload")))
-    recent = with_recent(parsed, ["device_id"], ["ts", "id"], "values", "_recent", size, max_rows)
+    values = numeric_values(F.col("payload"))
+    recent = with_recent(readings, ["device_id"], ["ts", "id"], values, "_recent", size, max_rows)
+    recent = recent.withColumnRenamed("_value", "values")
     first_value = F.coalesce(F.get("values", F.lit(0)), F.lit(0.0))
     placeholder = F.struct(*[first_value.alias(n) for n in ("mean", "std", "min", "max")])
     flat = recent.withColumn("_flat", F.flatten("_recent")).withColumn("_windowed", sliding_stats(F.col("_flat")))

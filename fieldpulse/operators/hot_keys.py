@@ -17,19 +17,20 @@ MAX_ROWS_PER_SLOT = 1_000_000
 MAX_BROADCAST_KEYS = 200_000
 
 SLOT = "_slot"
+HOT = "_hot"
 
 
 def with_slots(
     df: DataFrame, keys: Sequence[str], ts: str, max_rows: int = MAX_ROWS_PER_SLOT
 ) -> tuple[DataFrame, bool]:
-    """Add `_slot` (0 for ordinary keys) and tell whether any key is hot.
+    """Add `_slot` (0 for ordinary keys) and `_hot`, and tell whether any key is hot.
 
     Counting is one map-side-combined aggregation over the key and time columns.
     With several keys the first is counted alone to begin with: a combination can
     only be hot if its first key is, and mostly none is.
     Slots of a hot key have equal width in time and on average `max_rows` rows.
     """
-    plain = df.withColumn(SLOT, F.lit(0).cast("bigint"))
+    plain = df.withColumn(SLOT, F.lit(0).cast("bigint")).withColumn(HOT, F.lit(False))
     counted = df
     if len(keys) > 1:
         first = df.groupBy(keys[0]).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows)
@@ -58,6 +59,7 @@ def with_slots(
     slotted = (
         df.join(hot, list(keys), "left")
         .withColumn(SLOT, F.coalesce(slot, F.lit(0).cast("bigint")))
+        .withColumn(HOT, F.col("_n").isNotNull())
         .drop("_n", "_from", "_to")
     )
     # explicit, because input already partitioned by the keys alone would satisfy the
@@ -84,13 +86,14 @@ def with_previous(
     out = slotted.withColumn(name, F.last("_value", ignorenulls=True).over(before))
     if any_hot:
         position = F.struct(*order)
+        hot_rows = slotted.filter(HOT)
         ends = (
-            slotted.filter(F.col("_value").isNotNull())
+            hot_rows.filter(F.col("_value").isNotNull())
             .groupBy(*keys, SLOT)
             .agg(F.max_by("_value", position).alias("_end"))
         )
         # a slot without values still needs what came before it
-        slots = slotted.groupBy(*keys, SLOT).agg(F.count(F.lit(1)).alias("_rows"))
+        slots = hot_rows.groupBy(*keys, SLOT).agg(F.count(F.lit(1)).alias("_rows"))
         earlier = Window.partitionBy(*keys).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
         carried = (
             slots.join(ends, [*keys, SLOT], "left")
@@ -108,29 +111,42 @@ def with_recent(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    value: str,
+    value: Column,
     name: str,
     size: int,
     max_rows: int = MAX_ROWS_PER_SLOT,
 ) -> DataFrame:
-    """Add an array of the last `size` values per key, this row's included, oldest first."""
+    """Add an array of the last `size` values per key, this row's included, oldest first.
+
+    `order` identifies a row within its key. For hot keys the last rows of every slot
+    are found on the key and order columns alone, and `value`, which may cost much,
+    is computed again for those few rows only.
+    """
     slotted, any_hot = with_slots(df, keys, order[0], max_rows)
     in_order = Window.partitionBy(*keys, SLOT).orderBy(*order)
-    out = slotted.withColumn(name, F.collect_list(value).over(in_order.rowsBetween(1 - size, 0)))
+    frame = in_order.rowsBetween(1 - size, 0)
+    out = slotted.withColumn("_value", value).withColumn(name, F.collect_list("_value").over(frame))
     if any_hot and size > 1:
         last_of = lambda array, n: F.slice(array, F.greatest(F.lit(1), F.size(array) - n + 1), n)
-        ends = (
-            out.groupBy(*keys, SLOT)
-            .agg(F.max_by(name, F.struct(*order)).alias("_end"))
+        newest = Window.partitionBy(*keys, SLOT).orderBy(*[F.desc(c) for c in order])
+        tails = (
+            slotted.filter(HOT).select(*keys, SLOT, *order)
+            .withColumn("_age", F.row_number().over(newest))
+            .filter(F.col("_age") < size)
+            .drop("_age")
         )
+        tail_rows = df.join(tails, [*keys, *order]).select(
+            *keys, SLOT, F.struct(*order, value.alias("_value")).alias("_row")
+        )
+        ends = tail_rows.groupBy(*keys, SLOT).agg(F.array_sort(F.collect_list("_row")).alias("_end"))
         # every slot in `ends` has at least one row, so size - 1 slots reach back far enough
         earlier = Window.partitionBy(*keys).orderBy(SLOT).rowsBetween(1 - size, -1)
         carried = (
-            ends.withColumn("_carried", F.flatten(F.collect_list("_end").over(earlier)))
-            .select(*keys, SLOT, last_of(F.col("_carried"), size - 1).alias("_carried"))
+            ends.withColumn("_rows", F.flatten(F.collect_list("_end").over(earlier)))
+            .select(*keys, SLOT, F.transform(last_of(F.col("_rows"), size - 1), lambda r: r["_value"]).alias("_carried"))
         )
-        out = (
-            out.join(carried, [*keys, SLOT], "left")
-            .withColumn(name, last_of(F.concat("_carried", name), size))
+        joined = last_of(F.concat("_carried", name), size)
+        out = out.join(carried, [*keys, SLOT], "left").withColumn(
+            name, F.when(F.col("_carried").isNull(), F.col(name)).otherwise(joined)
         )
-    return out.select(*df.columns, name)
+    return out.select(*df.columns, F.col("_value"), name)

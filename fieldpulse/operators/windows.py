@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldpulse.functions.scalar import epoch_seconds, liveness_class
-from fieldpulse.operators.hot_keys import MAX_ROWS_PER_SLOT, SLOT, with_previous, with_slots
+from fieldpulse.operators.hot_keys import HOT, MAX_ROWS_PER_SLOT, SLOT, with_previous, with_slots
 from fieldpulse.operators.trend import trailing_sums
 from fieldpulse.schemas import (
     RATE_LIMIT_EXCLUDED_PATHS, RATE_LIMIT_REQUESTS, RATE_LIMIT_WINDOW_SECONDS, ROLE_MULTIPLIERS,
@@ -40,33 +40,31 @@ def rate_limit(
     counted = requests.withColumn("window", F.floor(second / window_seconds)).withColumn(
         "limit", F.floor(base_limit * multiplier).cast("int")
     )
-    excluded = F.col("path").isin(*RATE_LIMIT_EXCLUDED_PATHS)
-    keys = ["client_id", "window"]
-    slotted, any_hot = with_slots(counted.filter(~excluded), keys, "ts", max_rows)
-    number = F.row_number().over(Window.partitionBy(*keys, SLOT).orderBy("ts", "id")).cast("bigint")
-    numbered = slotted.withColumn("_n", number)
+    # excluded requests form groups of their own and their numbers are not used
+    numbered = counted.withColumn("_excluded", F.col("path").isin(*RATE_LIMIT_EXCLUDED_PATHS))
+    keys = ["client_id", "window", "_excluded"]
+    slotted, any_hot = with_slots(numbered, keys, "ts", max_rows)
+    n = F.row_number().over(Window.partitionBy(*keys, SLOT).orderBy("ts", "id")).cast("bigint")
+    out = slotted.withColumn("_n", n)
     if any_hot:
         earlier = Window.partitionBy(*keys).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
         offsets = (
-            slotted.groupBy(*keys, SLOT).agg(F.count(F.lit(1)).alias("_rows"))
+            slotted.filter(HOT).groupBy(*keys, SLOT).agg(F.count(F.lit(1)).alias("_rows"))
             .select(*keys, SLOT, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
         )
-        numbered = (
-            numbered.join(offsets, [*keys, SLOT])
-            .withColumn("_n", F.col("_n") + F.col("_offset"))
-            .drop("_offset")
+        out = out.join(offsets, [*keys, SLOT], "left").withColumn(
+            "_n", F.col("_n") + F.coalesce("_offset", F.lit(0))
         )
-    passed = counted.filter(excluded).withColumn("_n", F.lit(None).cast("bigint"))
+    out = out.withColumn("_n", F.when(~F.col("_excluded"), F.col("_n")))
     reset = (F.col("window") + 1) * window_seconds
     denied = F.coalesce(F.col("_n") > F.col("limit"), F.lit(False))
-    out = numbered.drop(SLOT).unionByName(passed)
-    counted_row = F.col("_n").isNotNull()
+    counts = F.col("_n").isNotNull()
     return out.select(
         *requests.columns,
         (~denied).alias("allowed"),
-        F.when(counted_row, F.col("limit")).alias("limit"),
-        F.when(counted_row, F.greatest(F.col("limit") - F.col("_n"), F.lit(0))).alias("remaining"),
-        F.when(counted_row, reset).alias("reset_at"),
+        F.when(counts, F.col("limit")).alias("limit"),
+        F.when(counts, F.greatest(F.col("limit") - F.col("_n"), F.lit(0))).alias("remaining"),
+        F.when(counts, reset).alias("reset_at"),
         F.when(denied, F.greatest(reset - second, F.lit(1))).alias("retry_after"),
     )
 
@@ -88,25 +86,31 @@ def _step(state: Column, x: Column, sla_ms: float) -> Column:
     clamped shifts combine into one, so a slot's effect on the threshold is known
     without knowing the threshold it starts from.
     """
-    ema = _next_ema(state["ema"], x)
-    move = (
+    def moved(ema: Column, move: Column) -> Column:
+        bounded = lambda v: (
+            F.when(move > 0, F.least(v + move, F.lit(THRESHOLD_HIGH)))
+            .when(move < 0, F.greatest(v + move, F.lit(THRESHOLD_LOW)))
+            .otherwise(v)
+        )
+        return F.struct(
+            ema.alias("ema"),
+            (state["shift"] + move).alias("shift"),
+            bounded(state["low"]).alias("low"),
+            bounded(state["high"]).alias("high"),
+        )
+
+    move = lambda ema: (
         F.when(ema <= 0, 0.0)
         .when(ema / sla_ms < 0.5, 1.0)
         .when(ema / sla_ms > 0.9, -2.0)
         .otherwise(0.0)
     )
-    up, down = move > 0, move < 0
-    bounded = lambda v: (
-        F.when(up, F.least(v + move, F.lit(THRESHOLD_HIGH)))
-        .when(down, F.greatest(v + move, F.lit(THRESHOLD_LOW)))
-        .otherwise(v)
-    )
-    return F.struct(
-        ema.alias("ema"),
-        (state["shift"] + move).alias("shift"),
-        bounded(state["low"]).alias("low"),
-        bounded(state["high"]).alias("high"),
-    )
+    return _let(_next_ema(state["ema"], x), lambda ema: _let(move(ema), lambda m: moved(ema, m)))
+
+
+def _let(value: Column, body) -> Column:
+    """Use `value` several times in `body` while computing it once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _carry_ema(slots: pd.DataFrame) -> pd.DataFrame:
@@ -133,13 +137,13 @@ def smoothed_latency(
     slotted, any_hot = with_slots(
         df.select(F.col(key).alias("_key"), *order, F.col(value).cast("double").alias("_x")), ["_key"], order[0], max_rows
     )
-    folded = slotted.groupBy("_key", SLOT).agg(
+    folded = slotted.groupBy("_key", SLOT, HOT).agg(
         F.array_sort(F.collect_list(F.struct(*order, "_x"))).alias("_obs"), F.count(F.lit(1)).alias("_n")
     )
     xs = F.transform("_obs", lambda o: o["_x"])
     if any_hot:
         linear = F.aggregate(xs, F.lit(0.0), lambda e, x: EMA_ALPHA * x + (1 - EMA_ALPHA) * e)
-        shapes = folded.select(
+        shapes = folded.filter(HOT).select(
             "_key", F.col(SLOT),
             F.pow(F.lit(1 - EMA_ALPHA), F.col("_n")).alias("_factor"),
             linear.alias("_started"),
@@ -147,7 +151,7 @@ def smoothed_latency(
         )
         schema = f"_key {df.schema[key].dataType.simpleString()}, {SLOT} bigint, _before double"
         carried = shapes.groupBy("_key").applyInPandas(_carry_ema, schema)
-        folded = folded.join(carried, ["_key", SLOT])
+        folded = folded.join(carried, ["_key", SLOT], "left").fillna(0.0, ["_before"])
     else:
         folded = folded.withColumn("_before", F.lit(0.0))
     start = F.struct(

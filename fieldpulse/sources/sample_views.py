@@ -75,7 +75,8 @@ def telemetry(spark, folder) -> DataFrame:
 
 
 def telemetry_stream(spark, folder, max_files: int | None = None) -> DataFrame:
-    return telemetry_of(read_log(spark, folder, SCHEMAS["events"], "events.parquet", max_files))
+    # a pattern, because the table may be one file or a folder of files
+    return telemetry_of(read_log(spark, f"{folder}/events.parquet*", SCHEMAS["events"], max_files))
 
 
 def alerts(spark, folder) -> DataFrame:

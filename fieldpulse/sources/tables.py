@@ -52,21 +52,17 @@ def read_query(spark: SparkSession, sql: str, views: Mapping[str, DataFrame]) ->
 
 
 def read_log(
-    spark: SparkSession,
-    folder: str,
-    schema: StructType | str,
-    files: str = "*.parquet",
-    max_files_per_trigger: int | None = None,
+    spark: SparkSession, path: str, schema: StructType | str, max_files_per_trigger: int | None = None
 ) -> DataFrame:
-    """A log of files as a stream.
+    """A log of files as a stream; `path` is a folder or a pattern.
 
     A consumer group is a streaming query with a checkpoint of its own: every
     group sees each entry once and keeps its own position.
     """
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
+    reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(folder)
+    return reader.parquet(path)
 
 
 def newest(df: DataFrame, n: int = 20, ts: str = "ts", tie_break: str = "id") -> DataFrame:

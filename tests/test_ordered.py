@@ -44,9 +44,8 @@ def test_previous_value(spark, max_rows):
 @pytest.mark.parametrize("max_rows", [1_000_000, 7, 1])
 def test_recent_values(spark, max_rows):
     rows, df = series(spark, 300)
-    df = df.withColumn("v", F.array("id"))
     got = {r["id"]: [x[0] for x in r["recent"]] for r in
-           hot_keys.with_recent(df, ["device_id"], ["ts", "id"], "v", "recent", 10, max_rows).collect()}
+           hot_keys.with_recent(df, ["device_id"], ["ts", "id"], F.array("id"), "recent", 10, max_rows).collect()}
     for key in "ab":
         ids = [r[0] for r in in_order(rows, key)]
         for i, row_id in enumerate(ids):
