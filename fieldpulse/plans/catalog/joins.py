@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldpulse.functions import vectors as X
 from fieldpulse.functions.scalar import normalise_path, version_from_file_name
-from fieldpulse.operators import aggregates as G, lifecycle, merge, placement
+from fieldpulse.operators import aggregates as G, filters, lifecycle, merge, placement
 from fieldpulse.operators.windows import latest_per_key, node_liveness
 from fieldpulse.plans.catalog.oracle_views import AS_OF
 from fieldpulse.plans.catalog.registry import query
@@ -339,3 +339,11 @@ def h11(spark, folder):
 def c17(spark, folder):
     nodes = V.node_reports(spark, folder)
     return G.placement_status(placement.place_tasks(V.tasks(spark, folder), nodes, V.AS_OF), nodes, placement.is_healthy())
+
+
+@query("b7_placement_listing", """
+    SELECT task_id, target, policy, (SELECT count(*) FROM placed) AS total FROM placed ORDER BY task_id DESC LIMIT 100 OFFSET 100""",
+       {"placed": PLACED})
+def b7_placements(spark, folder):
+    placed = placement.place_tasks(V.tasks(spark, folder), V.node_reports(spark, folder), V.AS_OF)
+    return filters.listing(placed.select("task_id", "target", "policy"), [F.desc("task_id")], 100, 100)

@@ -225,3 +225,11 @@ CHECKED = """
     FROM decoded"""
 
 INGEST_VIEWS = {"decoded": DECODED, "checked": CHECKED}
+
+# numeric payload entries as rows, in document order
+LONG_FLAT = f"""
+    SELECT id, device_id, device_type, ts, CAST(p - 1 AS INTEGER) AS position, e.k AS metric, e.v AS value
+    FROM (SELECT id, device_id, device_type, ts, unnest(entries) AS e, generate_subscripts(entries, 1) AS p FROM (
+        SELECT *, [{{'k': k, 'v': TRY_CAST(json_extract({at('payload', 'k')}) AS DOUBLE)}} for k in json_keys(payload)
+                   if json_type({at('payload', 'k')}) IN {NUMBER_TYPES}
+                      AND k NOT IN ('anomaly', 'anomaly_type', 'unit')] AS entries FROM readings))"""

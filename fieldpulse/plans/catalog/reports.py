@@ -210,6 +210,16 @@ def c13_received(spark, folder):
     return G.labelled_counter(df, "telemetry_received_total", ["device_type", "protocol"])
 
 
+@query("c13_published_by_stream", """
+    SELECT 'stream_messages_published_total' AS metric, stream, count(*) AS value
+    FROM (SELECT 'raw_telemetry' AS stream FROM telemetry UNION ALL SELECT 'alerts' FROM alerts) GROUP BY 2""")
+def c13_published(spark, folder):
+    published = V.telemetry(spark, folder).select(F.lit("raw_telemetry").alias("stream")).unionAll(
+        V.alerts(spark, folder).select(F.lit("alerts").alias("stream"))
+    )
+    return G.labelled_counter(published, "stream_messages_published_total", ["stream"])
+
+
 @query("c13_consumed_by_stream_and_group", """
     SELECT 'stream_messages_consumed_total' AS metric, stream, consumer_group, count(*) AS value
     FROM acknowledgements GROUP BY 2, 3""")

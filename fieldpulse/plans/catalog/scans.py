@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldpulse.operators import decode, filters
 from fieldpulse.operators.aggregates import sensor_aggregation
-from fieldpulse.plans.catalog.oracle_views import AS_OF as SQL_AS_OF, INGEST_VIEWS, NUMBER_TYPES, at, nested_numbers
+from fieldpulse.plans.catalog.oracle_views import AS_OF as SQL_AS_OF, INGEST_VIEWS, LONG_FLAT, nested_numbers
 from fieldpulse.plans.catalog.registry import query
 from fieldpulse.session import scratch_path
 from fieldpulse.sources import sample_views as V, sinks, tables
@@ -169,19 +169,27 @@ def b7_devices(spark, folder):
     return filters.listing(df, [F.desc_nulls_last("last_seen_at"), F.asc("id")], 200, 20)
 
 
+@query("b7_model_listing", """
+    SELECT id, name, version, (SELECT count(*) FROM ml_models WHERE is_active) AS total FROM ml_models WHERE is_active
+    ORDER BY created_at DESC, id DESC LIMIT 100""")
+def b7_models(spark, folder):
+    df = filters.active_only(V.ml_models(spark, folder)).select("id", "name", "version", "created_at")
+    return filters.listing(df, [F.desc("created_at"), F.desc("id")], 100).drop("created_at")
+
+
+@query("b7_firmware_listing", """
+    SELECT firmware_id, version, (SELECT count(*) FROM firmware_versions WHERE device_type = 'smart_meter') AS total
+    FROM firmware_versions WHERE device_type = 'smart_meter' ORDER BY firmware_id DESC LIMIT 50""")
+def b7_firmware(spark, folder):
+    df = filters.apply_filters(V.firmware_versions(spark, folder), device_type="smart_meter").select("firmware_id", "version")
+    return filters.listing(df, [F.desc("firmware_id")], 50)
+
+
 @query("b8_active_models", "SELECT * FROM ml_models WHERE is_active")
 def b8(spark, folder):
     return filters.active_only(V.ml_models(spark, folder))
 
 
-LONG_FLAT = f"""
-    SELECT id, device_id, device_type, ts, CAST(p - 1 AS INTEGER) AS position, e.k AS metric, e.v AS value
-    FROM (SELECT id, device_id, device_type, ts, unnest(entries) AS e, generate_subscripts(entries, 1) AS p FROM (
-        SELECT *, [{{'k': k, 'v': TRY_CAST(json_extract({at('payload', 'k')}) AS DOUBLE)}} for k in json_keys(payload)
-                   if json_type({at('payload', 'k')}) IN {NUMBER_TYPES}
-                      AND k NOT IN ('anomaly', 'anomaly_type', 'unit')] AS entries FROM readings))"""
-
-
 @query("b9_long_metrics", LONG_FLAT)
 def b9(spark, folder):
     return decode.long_metrics(V.readings(spark, folder))
