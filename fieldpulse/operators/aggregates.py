@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldpulse.functions.scalar import mean, mean_of, normalise_path, period_start
-from fieldpulse.operators.filters import apply_filters, last_hours, time_range
+from fieldpulse.operators.filters import apply_filters, recent_range
 from fieldpulse.schemas import GROUP_COLUMNS, HTTP_BUCKETS
 
 
@@ -106,8 +106,9 @@ def top_devices(alerts: DataFrame, n: int = 10) -> DataFrame:
     return counts.orderBy(F.desc("anomaly_count"), "device_id").limit(n)
 
 
-def anomaly_summary(alerts: DataFrame, start=None, end=None) -> DataFrame:
-    windowed = time_range(alerts, start, end)
+def anomaly_summary(alerts: DataFrame, as_of: str, start=None, end=None) -> DataFrame:
+    """Total and counts by type and severity; by default over the 24 hours before `as_of`."""
+    windowed = recent_range(alerts, as_of, 24, start, end)
     return breakdown(windowed, {"device_type": F.col("device_type"), "severity": F.col("severity")})
 
 
@@ -123,16 +124,16 @@ def count_query(
     device_type=None,
     device_id=None,
 ) -> DataFrame:
-    """Counts by one allowed column, largest first; `total` adds up the returned groups."""
+    """Counts by one allowed column, largest first; `total` adds up the returned groups.
+
+    Without a start the range begins a week before `as_of`, without an end it ends there.
+    """
     metric = "anomaly_count" if metric == "anomaly_count" else "telemetry_count"
     group_by = group_by or "device_type"
     if group_by not in GROUP_COLUMNS[metric]:
         raise ValueError(f"cannot group {metric} by {group_by!r}; allowed: {GROUP_COLUMNS[metric]}")
     df = alerts if metric == "anomaly_count" else telemetry
-    if start is None and end is None:
-        df = last_hours(df, as_of, 7 * 24)
-    else:
-        df = time_range(df, start, end)
+    df = recent_range(df, as_of, 7 * 24, start, end)
     df = apply_filters(df, device_type=device_type, device_id=device_id)
     top = (
         df.groupBy(group_by).agg(F.count(F.lit(1)).alias("count"))

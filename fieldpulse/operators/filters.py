@@ -3,21 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DateType
 
 from fieldpulse.functions.scalar import iso_timestamp
 
 
-def time_range(df: DataFrame, start=None, end=None, ts: str = "ts") -> DataFrame:
+def time_range(df: DataFrame, start=None, end=None, ts: str = "ts", day: str = "date") -> DataFrame:
     """Both ends inclusive; a missing end is open.
 
     The bounds are literals of the column's type, so the comparison reaches the scan.
+    A table kept by day (see `write_readings`) also gets the days of the range, which
+    prunes its folders.
     """
+    by_day = day in df.columns and isinstance(df.schema[day].dataType, DateType)
     if start is not None:
-        df = df.filter(F.col(ts) >= F.lit(start).cast("timestamp"))
+        bound = F.lit(start).cast("timestamp")
+        df = df.filter(F.col(ts) >= bound)
+        df = df.filter(F.col(day) >= F.to_date(bound)) if by_day else df
     if end is not None:
-        df = df.filter(F.col(ts) <= F.lit(end).cast("timestamp"))
+        bound = F.lit(end).cast("timestamp")
+        df = df.filter(F.col(ts) <= bound)
+        df = df.filter(F.col(day) <= F.to_date(bound)) if by_day else df
     return df
 
 
@@ -29,10 +38,14 @@ def apply_filters(df: DataFrame, **equal) -> DataFrame:
     return df
 
 
+def recent_range(df: DataFrame, as_of: str, hours: int, start=None, end=None, ts: str = "ts") -> DataFrame:
+    """Time range whose missing start is `hours` before `as_of` and whose missing end is `as_of`."""
+    now = datetime.fromisoformat(as_of)
+    return time_range(df, now - timedelta(hours=hours) if start is None else start, now if end is None else end, ts)
+
+
 def last_hours(df: DataFrame, as_of: str, hours: int, ts: str = "ts") -> DataFrame:
-    """The window used when no range is given, relative to `as_of`."""
-    end = F.lit(as_of).cast("timestamp")
-    return df.filter((F.col(ts) >= end - F.make_dt_interval(hours=F.lit(hours))) & (F.col(ts) <= end))
+    return recent_range(df, as_of, hours, ts=ts)
 
 
 def cast_timestamp(df: DataFrame, ts: str = "ts") -> DataFrame:

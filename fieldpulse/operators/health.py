@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, functions as F
 
 from fieldpulse.functions.scalar import epoch_seconds, health_class, ratio
 from fieldpulse.operators.aggregates import per_device_counts
-from fieldpulse.operators.filters import apply_filters, last_hours, time_range
+from fieldpulse.operators.filters import apply_filters, time_range
 
 
 def device_health(
@@ -50,17 +52,18 @@ def health_summary(health: DataFrame) -> DataFrame:
 
 
 def recent_health(telemetry: DataFrame, alerts: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
-    """Score 0-1 over the last hours for every device with readings or alerts.
+    """Score 0-1 since `hours` before `as_of` for every device with readings or alerts.
 
-    A device seen with two types keeps the counts of the type seen last.
+    The range has no end. A device seen with two types keeps the counts of the type seen last.
     """
-    per_type = last_hours(telemetry, as_of, hours).groupBy("device_id", "device_type").agg(
+    cutoff = datetime.fromisoformat(as_of) - timedelta(hours=hours)
+    per_type = time_range(telemetry, cutoff).groupBy("device_id", "device_type").agg(
         F.count(F.lit(1)).alias("n"), F.max("ts").alias("last")
     )
     readings = per_type.groupBy("device_id").agg(
         F.max_by(F.struct("device_type", "n"), F.struct("last", "device_type")).alias("kept")
     )
-    anomalies = last_hours(alerts, as_of, hours).groupBy("device_id").agg(F.count(F.lit(1)).alias("anomaly_count"))
+    anomalies = time_range(alerts, cutoff).groupBy("device_id").agg(F.count(F.lit(1)).alias("anomaly_count"))
     both = readings.join(anomalies, "device_id", "full_outer").select(
         "device_id",
         F.coalesce("kept.device_type", F.lit("unknown")).alias("device_type"),

@@ -63,7 +63,16 @@ def c4(spark, folder):
     UNION ALL SELECT 'device_type', device_type, count(*) FROM a GROUP BY device_type
     UNION ALL SELECT 'severity', severity, count(*) FROM a GROUP BY severity""")
 def c5(spark, folder):
-    return G.anomaly_summary(V.alerts(spark, folder), "2024-01-10", "2024-01-20")
+    return G.anomaly_summary(V.alerts(spark, folder), V.AS_OF, "2024-01-10", "2024-01-20")
+
+
+@query("c5_anomaly_summary_last_day", f"""
+    WITH a AS (SELECT * FROM alerts WHERE ts >= {AS_OF} - INTERVAL 24 HOUR AND ts <= {AS_OF})
+    SELECT 'total' AS category, NULL AS key, count(*) AS count FROM a
+    UNION ALL SELECT 'device_type', device_type, count(*) FROM a GROUP BY device_type
+    UNION ALL SELECT 'severity', severity, count(*) FROM a GROUP BY severity""")
+def c5_last_day(spark, folder):
+    return G.anomaly_summary(V.alerts(spark, folder), V.AS_OF)
 
 
 def count_sql(table: str, column: str, where: str) -> str:
@@ -177,9 +186,9 @@ def c10(spark, folder):
            round(CASE WHEN coalesce(t.n, 0) > 0 THEN greatest(0.0, 1.0 - coalesce(a.n, 0) / t.n)
                       WHEN coalesce(a.n, 0) = 0 THEN 1.0 ELSE 0.0 END, 4) AS health_score
     FROM (SELECT device_id, min(device_type) AS device_type, count(*) AS n FROM telemetry
-          WHERE ts >= {AS_OF} - INTERVAL 24 HOUR AND ts <= {AS_OF} GROUP BY 1) t
+          WHERE ts >= {AS_OF} - INTERVAL 24 HOUR GROUP BY 1) t
     FULL JOIN (SELECT device_id, count(*) AS n FROM alerts
-               WHERE ts >= {AS_OF} - INTERVAL 24 HOUR AND ts <= {AS_OF} GROUP BY 1) a USING (device_id)""")
+               WHERE ts >= {AS_OF} - INTERVAL 24 HOUR GROUP BY 1) a USING (device_id)""")
 def d2(spark, folder):
     return health.recent_health(V.telemetry(spark, folder), V.alerts(spark, folder), V.AS_OF)
 

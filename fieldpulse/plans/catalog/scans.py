@@ -84,7 +84,8 @@ def a7(spark, folder):
     SELECT id, coalesce(decode_error, rule) IS NULL AS good, coalesce(decode_error, rule) AS reject_reason
     FROM checked""", INGEST_VIEWS)
 def a11(spark, folder):
-    good, bad = sinks.split_bad_records(decode.ingest(V.messages(spark, folder)))
+    checked = decode.ingest(V.messages(spark, folder)).select("id", "reject_reason")
+    good, bad = sinks.write_split(checked, scratch_path(spark, "split"))
     return good.select("id", F.lit(True).alias("good"), F.lit(None).cast("string").alias("reject_reason")).unionAll(
         bad.select("id", F.lit(False).alias("good"), "reject_reason")
     )

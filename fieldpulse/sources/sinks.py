@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 WRITE_MODES = ("append", "overwrite", "ignore", "error")
 
@@ -64,3 +65,12 @@ def ingest_batch(readings: DataFrame, path: str, reason: str = "reject_reason")
 def split_bad_records(df: DataFrame, reason: str = "reject_reason") -> tuple[DataFrame, DataFrame]:
     """(good rows, quarantine rows with the reason)."""
     return df.filter(F.col(reason).isNull()).drop(reason), df.filter(F.col(reason).isNotNull())
+
+
+def write_split(df: DataFrame, path: str, reason: str = "reject_reason") -> tuple[DataFrame, DataFrame]:
+    """Write good and rejected rows in one pass, into two folders of one table, and return both."""
+    df.withColumn("accepted", F.col(reason).isNull()).write.partitionBy("accepted").parquet(path)
+    schema = StructType([*df.schema.fields, StructField("accepted", BooleanType())])
+    written = df.sparkSession.read.schema(schema).parquet(path)
+    good = written.filter("accepted").drop("accepted", reason)
+    return good, written.filter("NOT accepted").drop("accepted")

@@ -36,7 +36,10 @@ def read_jdbc(
     num_partitions: int,
     properties: Mapping[str, str],
 ) -> DataFrame:
-    """Database scan split over `num_partitions` connections by ranges of one column."""
+    """Database scan split over `num_partitions` connections by ranges of one column.
+
+    `table` may also be a query in parentheses with an alias; the database runs it.
+    """
     return (
         spark.read.format("jdbc")
         .options(url=url, dbtable=table, **properties)

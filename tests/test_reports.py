@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import as_dicts
 from fieldpulse.operators import aggregates as G, filters, health, trend
@@ -39,7 +40,7 @@ def test_empty_input_keeps_the_total(spark):
 
 def test_null_keys_are_counted(spark):
     df = alerts(spark, [("a", None, T0), ("a", "x", T0)])
-    got = {(r["category"], r["key"]): r["count"] for r in as_dicts(G.anomaly_summary(df))}
+    got = {(r["category"], r["key"]): r["count"] for r in as_dicts(G.anomaly_summary(df, AS_OF))}
     assert got[("device_type", None)] == 1 and got[("total", None)] == 2
 
 
@@ -56,6 +57,9 @@ def test_time_range_is_inclusive(spark):
     assert filters.time_range(df, "2024-01-30T12:00:01", datetime(2024, 1, 30, 12, 0, 3)).count() == 3
     assert filters.time_range(df).count() == 5
     assert filters.last_hours(df, "2024-01-31 12:00:00", 24).count() == 5
+    assert filters.recent_range(df, "2024-01-30 12:00:03", 24).count() == 4
+    assert filters.recent_range(df, "2024-01-30 12:00:03", 24, start="2024-01-30 12:00:02").count() == 2
+    assert filters.recent_range(df, "2024-01-30 12:00:03", 24, end="2024-01-30 12:00:00").count() == 1
 
 
 def test_listing_total_and_page(spark):
@@ -173,3 +177,20 @@ def test_histogram_and_experiment_summary(spark):
         "job_id int, epoch int, metric_name string, value double, ts timestamp")
     rows = as_dicts(G.experiment_summary(metrics))
     assert [(r["job_id"], r["best_train_loss"], r["best_val_loss"], r["total_epochs"]) for r in rows] == [(2, 0.9, None, 1), (1, 0.4, 0.7, 2)]
+
+
+def test_readings_by_day_prune_folders(spark):
+    path = scratch_path(spark, "days")
+    df = telemetry(spark, [("a", "x", "m", T0 + timedelta(days=d), 1.0) for d in range(5) for _ in range(10)])
+    sinks.write_readings(df, path)
+    ranged = filters.time_range(spark.read.parquet(path), T0 + timedelta(days=1), T0 + timedelta(days=2))
+    assert ranged.count() == 20
+    text = ranged._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in text and "2024-01-31" in text
+
+
+def test_split_in_one_write(spark):
+    df = spark.range(30).withColumn("reject_reason", F.when(F.col("id") % 3 == 0, "bad"))
+    good, bad = sinks.write_split(df, scratch_path(spark, "split"))
+    assert good.columns == ["id"] and good.count() == 20
+    assert bad.columns == ["id", "reject_reason"] and bad.count() == 10
