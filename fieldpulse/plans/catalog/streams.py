@@ -11,6 +11,7 @@ from fieldpulse.plans.catalog.oracle_views import INGEST_VIEWS
 from fieldpulse.plans.catalog.ordered import VECTOR_VIEWS
 from fieldpulse.plans.catalog.registry import query
 from fieldpulse.plans.catalog.scans import TELEMETRY_ROWS
+from fieldpulse.schemas import CONSUMER_GROUPS
 from fieldpulse.session import materialize, scratch_path
 from fieldpulse.sources import sample_views as V, tables
 from fieldpulse.streaming import jobs, stateful
@@ -39,7 +40,7 @@ def a8(spark, folder):
     FROM telemetry, (VALUES ('ml_inference'), ('data_persistence')) v(g) GROUP BY g""")
 def a9(spark, folder):
     running = []
-    for group in ("ml_inference", "data_persistence"):
+    for group in CONSUMER_GROUPS[:2]:
         path = scratch_path(spark, group)
         entries = V.telemetry_stream(spark, folder, 1).select("id", F.lit(group).alias("consumer_group"))
         running.append((path, jobs.append_job(entries, path, scratch_path(spark, "checkpoint"), available_now=True)))

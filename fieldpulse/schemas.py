@@ -7,11 +7,9 @@ from pyspark.sql import types as T
 # --- fixed values ---------------------------------------------------------------
 DEVICE_TYPES = ("temperature_sensor", "vibration_sensor", "pressure_sensor", "smart_meter", "gps_tracker")
 DEVICE_STATUSES = ("registered", "provisioned", "active", "inactive", "decommissioned", "rejected")
-SEVERITIES = ("info", "warning", "critical")
-PROVISIONING_STATUSES = ("pending", "approved", "rejected")
 NODE_STATUSES = ("joining", "alive", "suspect", "dead", "leaving")
 
-STREAMS = ("raw_telemetry", "alerts", "device_events", "inference_results")
+RAW_TELEMETRY = "raw_telemetry"
 CONSUMER_GROUPS = ("ml_inference", "data_persistence", "alert_handler")
 
 # payload keys that never count as sensor values

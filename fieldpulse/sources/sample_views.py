@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from fieldpulse.schemas import DEVICE_STATUSES, DEVICE_TYPES
+from fieldpulse.schemas import CONSUMER_GROUPS, DEVICE_STATUSES, DEVICE_TYPES, NODE_STATUSES, RAW_TELEMETRY
 from fieldpulse.sources.tables import read_log, read_table, spread
 
 AS_OF = "2024-01-31 00:00:00"
@@ -367,9 +367,9 @@ def experiment_metrics(spark, folder) -> DataFrame:
 
 
 def deliveries(spark, folder) -> DataFrame:
-    groups = F.explode(F.array(F.lit("ml_inference"), F.lit("data_persistence")))
+    groups = F.explode(F.array(*[F.lit(g) for g in CONSUMER_GROUPS[:2]]))
     return telemetry(spark, folder).select(
-        F.lit("raw_telemetry").alias("stream"), groups.alias("consumer_group"), "id"
+        F.lit(RAW_TELEMETRY).alias("stream"), groups.alias("consumer_group"), "id"
     )
 
 
@@ -383,7 +383,7 @@ def heartbeats(spark, folder) -> DataFrame:
     key = F.col("s_suppkey")
     return table(spark, folder, "supplier").select(
         key.alias("node_id"),
-        pick(("joining", "alive", "suspect", "dead", "leaving"), key % 5).alias("status"),
+        pick(NODE_STATUSES, key % 5).alias("status"),
         F.timestamp_seconds(F.unix_seconds(as_of()) - key * 7 % 31).alias("last_heartbeat"),
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from conftest import as_dicts
 from fieldpulse.functions.scalar import iso_timestamp, normalise_path, parse_timestamp, version_from_file_name
 from fieldpulse.operators import decode
-from fieldpulse.schemas import RAW_MESSAGE, READING
+from fieldpulse.schemas import LOG_ENTRY, RAW_MESSAGE, READING
 from fieldpulse.sources import sinks
 from fieldpulse.session import scratch_path
 
@@ -94,6 +94,7 @@ def test_log_round_trip(spark):
     rows = [(1, ID, "t", NOW, '{"b":1,"a":{"x":"ü"}}', '{"v":"1"}'), (2, ID, "t", NOW + timedelta(microseconds=5), "{}", "{}")]
     df = spark.createDataFrame(rows, READING)
     entries = decode.to_log_entries(df)
+    assert [(f.name, f.dataType) for f in entries.drop("id").schema] == [(f.name, f.dataType) for f in LOG_ENTRY]
     assert entries.orderBy("id").first()["payload"] == '{"payload":{"b":1,"a":{"x":"ü"}}}'
     assert as_dicts(decode.from_log_entries(entries).orderBy("id")) == as_dicts(df.orderBy("id"))
 

@@ -10,6 +10,7 @@ from conftest import as_dicts
 from fieldpulse.functions.scalar import alert_severity, anomaly_probability
 from fieldpulse.operators import detect
 from fieldpulse.operators.isolation import expected_path, grow_tree, mean_path, pack
+from fieldpulse.schemas import ALERT
 
 T0 = datetime(2024, 1, 1)
 
@@ -105,3 +106,5 @@ def test_alerts_repeat_their_ids(spark):
     assert [(r["severity"], r["model_version"], r["details"]) for r in first] == [
         ("critical", "2.0", '{"reading":{"a":1}}'), ("warning", "2.0", '{"reading":{"a":1}}')]
     assert first[0]["alert_id"] != first[1]["alert_id"]
+    alerts = detect.emit_alerts(df, "2.0")
+    assert [(f.name, f.dataType) for f in alerts.schema] == [(f.name, f.dataType) for f in ALERT]
