@@ -129,10 +129,11 @@ def cascade_order(docs: DataFrame, rules: Mapping[str, Rule], text: str = "text"
                   sample_rows: int = SAMPLE_ROWS, sample_rate: float = SAMPLE_RATE) -> list[str]:
     """Names of the rules by rejected share per second, measured on a bounded sample.
 
-    The sample is drawn from the leading partitions, so its cost does not grow with the table.
+    `collect` on a limit reads partitions until it has enough rows, so the cost of the sample
+    does not grow with the table.
     """
     rows = docs.select(F.col(text).alias("text")).sample(fraction=sample_rate, seed=7).limit(sample_rows)
-    sample = _prepared(rows.sparkSession.createDataFrame(rows.toArrow(), "text string"), "text")
+    sample = _prepared(rows.sparkSession.createDataFrame(rows.collect(), "text string"), "text")
 
     def seconds(rule: Rule) -> tuple[float, int, int]:
         begin = time.perf_counter()
