@@ -69,6 +69,15 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def hashes_of(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte range: a polynomial over random byte values, by prefix sums."""
+    n = len(data)
+    power, inverse = _power_tables(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE_VALUES[data] * power[:n], out=sums[1:])
+    return mix((sums[end] - sums[begin]) * inverse[begin])
+
+
 def _lowered() -> np.ndarray:
     table = np.arange(256, dtype=np.uint8)
     table[65:91] += 32
@@ -102,9 +111,5 @@ class Words:
         self.first = np.searchsorted(self.begin, offsets)
 
     def hashes(self) -> np.ndarray:
-        """64-bit hash of each word: a polynomial over random byte values, by prefix sums."""
-        n = len(self.data)
-        power, inverse = _power_tables(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[self.data] * power[:n], out=sums[1:])
-        return mix((sums[self.end] - sums[self.begin]) * inverse[self.begin])
+        """64-bit hash of each word."""
+        return hashes_of(self.data, self.begin, self.end)
