@@ -40,7 +40,7 @@ TOLERANCE = 1e-4  # largest residual, as a share of all tokens, at which the rou
 SNAP = 0.1
 
 DOMAINS = ("good", "poor")
-TARGETS = {"good": 0.97, "poor": 0.03}
+TARGETS = {"good": 0.98, "poor": 0.02}
 
 
 def domain_of_labels() -> Column:
@@ -165,7 +165,8 @@ def fit_rates(soft: DataFrame, targets: Sequence[float], budget: float | None =
               rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> list[list[float]]:
     """The moves of all rounds. `soft` has `tokens` and `p`; it is read once a round.
 
-    Without `budget` the total is the largest one at which no domain needs rates above 1.
+    Without `budget` the total is the one at which the domain with the largest weight keeps
+    its tokens; the others are then thinned out or repeated to meet their shares.
     The residual is whitened with the token-weighted second moments of the posteriors, so that
     a step of 1 never overshoots and rare domains converge as fast as common ones.
     """
@@ -185,7 +186,7 @@ def fit_rates(soft: DataFrame, targets: Sequence[float], budget: float | None =
         moments[i, j] = moments[j, i] = first[f"m{i}_{j}"] / n
     inverse = np.linalg.pinv(moments, rcond=1e-9)
     weights = np.array(targets, float) / sum(targets)
-    total = budget / n if budget else min(e / w for e, w in zip(expected, weights, strict=True) if w > 0)
+    total = budget / n if budget else expected[weights.argmax()] / weights.max()
     moves: list[list[float]] = []
     while True:
         residual = expected - total * weights

@@ -322,7 +322,7 @@ def _joined(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, offsets, document, place of its first byte in the document) of blocks; long texts in overlapping pieces."""
-    for batch in texts.blocks(batches):
+    for batch in texts.blocks(batches, limit=min(texts.BLOCK_BYTES, PIECE)):
         data, offsets = texts.joined(batch.column(1))
         docs = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         if len(data) <= PIECE:
