@@ -207,7 +207,7 @@ def _pass(automaton) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordB
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW,
                  block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The input's columns with `_n_words`, `_spans` (hit words) and `_items` (ids, sorted)."""
+    """`_row` (the input's columns), `_n_words`, `_spans` (hit words) and `_items` (ids, sorted)."""
     spark = docs.sparkSession
     df = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).cast("binary").alias("_text"),
@@ -218,7 +218,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", wind
     automata = [spark.sparkContext.broadcast(vars(automaton)) for automaton in built]
     for automaton in automata or [None]:
         df = df.mapInArrow(_pass(automaton), df.schema)
-    return df.select("_row.*", "_n_words", "_spans", "_items")
+    return df.select("_row", "_n_words", "_spans", "_items")
 
 
 def hit_words() -> Column:
@@ -232,7 +232,7 @@ def is_contaminated() -> Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs` that are not contaminated, unchanged."""
-    return with_matches(docs, benchmark, text).filter(~is_contaminated()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return with_matches(docs, benchmark, text).filter(~is_contaminated()).select("_row.*")
 
 
 def _without_spans(raw: bytes | None, spans: list[int], least: int) -> str | None:
@@ -257,29 +257,42 @@ def _without_spans(raw: bytes | None, spans: list[int], least: int) -> str | Non
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", least: int = WINDOW) -> DataFrame:
     """Contaminated rows dropped, and spans of at least `least` hit words cut out of the others' text."""
     matched = with_matches(docs, benchmark, text).filter(~is_contaminated())
-    fields = [F.col(f"`{c}`") for c in docs.columns]
-    kind = docs.schema
 
-    def cut(batches):
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column(batch.schema.get_field_index("_spans")).to_pylist()
-            at = batch.schema.get_field_index(text)
-            new = pa.array(
-                [_without_spans(t.encode() if t is not None else None, s, least) for t, s in zip(batch.column(at).to_pylist(), spans, strict=True)],
-                pa.string(),
-            )
-            arrays = [new if i == at else batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "_spans"]
-            yield pa.RecordBatch.from_arrays(arrays, names=[n for n in batch.schema.names if n != "_spans"])
-
-    return matched.select(*fields, "_spans").mapInArrow(cut, kind)
+            bodies, spans = (batch.column(i).to_pylist() for i in (1, 2))
+            new = [_without_spans(t, s, least) for t, s in zip(bodies, spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], names=["_row", "_new"])
+
+    kind = matched.schema["_row"].dataType.simpleString()
+    body = F.col("_row").getField(text).cast("binary")
+    new = matched.select("_row", body.alias("_text"), "_spans").mapInArrow(cut, f"_row {kind}, _new string")
+    return new.select(*[(F.col("_new") if c == text else F.col("_row").getField(c)).alias(c) for c in docs.columns])
+
+
+SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+p AS (SELECT DISTINCT item_id, least(len(ws), 13) AS n, array_to_string(ws[i:i + least(len(ws), 13) - 1], ' ') AS s
+      FROM (SELECT item_id, ws, unnest(generate_series(1, greatest(len(ws) - 12, 1))) AS i FROM iw WHERE len(ws) > 0)),
+g AS (SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS s
+      FROM (SELECT doc_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS i FROM dw, (SELECT DISTINCT n FROM p))),
+h AS (SELECT g.doc_id, g.i, g.n, p.item_id FROM g JOIN p ON g.n = p.n AND g.s = p.s),
+c AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(generate_series(i, i + n - 1)) AS k FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS name FROM h) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM dw LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
 
 
-@query("op2_decontamination")
+@query("op2_decontamination", SQL)
 def op2_decontamination(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = with_matches(docs, table(spark, folder, "benchmark"))
     return found.select(
-        "doc_id", F.col("_n_words").alias("n_words"), hit_words().alias("n_hit"),
+        "_row.doc_id", F.col("_n_words").alias("n_words"), hit_words().alias("n_hit"),
         F.size("_items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), is_contaminated().alias("contaminated"),
     )

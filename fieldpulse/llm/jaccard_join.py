@@ -5,14 +5,16 @@ whose larger set is in band k at most H shingles can differ, so the universe is
 segments of total weight H + 1 + e. A segment of weight 1 is indexed by the shingles in it; one
 of weight 2 also by its one-deletion neighbourhood, so that missing it costs two differences.
 Two similar sets then agree in segments of weight 1 + e at least; hence each set may leave out
-its e least selective weight-1 segments (fewest shingles), ranked by content alike on both
-sides, and still shares an index entry with every similar set. How many segments get weight 2
+its e least selective weight-1 segments, ranked by content alike on both sides (fewest shingles,
+not counting those that a sample of texts shows to be frequent, such as the shingles of a common
+passage), and still shares an index entry with every similar set. How many segments get weight 2
 and how many are left out is chosen for each band by cost: entries to exchange plus expected
-candidates, from the number of sets and the share of shingles a sampled set has in common with
-another one. The choice changes the work, never the result.
+candidates, from the number of sets and what sampled sets have in common. The list of frequent
+shingles and the choice change the work, never the result.
 
-Copies (equal sets) are one class, represented by the smallest id. Candidates are verified on
-the whole texts. No bucket of the index is expanded into all its pairs: a first round
+Copies (equal sets) are one class, represented by the smallest id. Candidates are first judged
+by their sizes and the bits in which two bitmaps differ, a lower bound of their differences;
+those that may be similar are verified exactly on the whole texts. No bucket of the index is expanded into all its pairs: a first round
 compares the members of a bucket with its smallest id only and forms components of verified
 links. Buckets whose members stay in different components after failed comparisons are then
 looked at again, and there every pair across components is verified, so no link between
@@ -41,7 +43,9 @@ from fieldpulse.session import materialize
 
 SHINGLE = 5
 SIMILARITY = (80, 100)
-SAMPLE_SETS = 400  # sets whose overlap the cost model measures
+SAMPLE_SETS = 10_000  # texts, on average, in which frequent shingles and the overlap are measured
+FREQUENT = 100_000  # most frequent shingles to keep
+FREQUENT_FROM = 3  # sampled sets that hold a frequent shingle
 FLUSH_ENTRIES = 1_000_000  # index entries a task combines before it sends them on
 BIN_BYTES = 24 << 20  # index entries that one task groups, on average
 CANDIDATE_COST = 20.0  # cost of verifying a candidate, in index entries
@@ -80,7 +84,8 @@ def _digest(found: np.ndarray) -> tuple[int, int]:
 class Bands:
     """Size bands and, for each, the allocation (H + 1, weight-2 segments, left-out segments)."""
 
-    def __init__(self, largest: int, n_sets: int = 0, overlap: float = 0.0):
+    def __init__(self, largest: int, n_sets: int = 0, overlap: float = 0.0, frequent: np.ndarray | None = None, share: float = 0.0):
+        self.frequent = np.zeros(0, np.uint64) if frequent is None else np.sort(frequent)
         self.low = [1]
         while self.low[-1] <= largest:
             self.low.append(max(self.low[-1] + 1, self.low[-1] * SIMILARITY[1] // SIMILARITY[0]))
@@ -88,16 +93,17 @@ class Bands:
         a, b = SIMILARITY
         # |x - y| + |y - x| <= (b - a) / (a + b) * (|x| + |y|) for similar sets
         self.need = [(b - a) * 2 * (high - 1) // (a + b) + 1 for high in self.low[1:]]
-        self.choice = [self._choose(need, low, n_sets, overlap) for need, low in zip(self.need, self.low[:-1], strict=True)]
+        self.choice = [self._choose(need, low, n_sets, overlap, share) for need, low in zip(self.need, self.low[:-1], strict=True)]
 
     @staticmethod
-    def _choose(need: int, size: int, n_sets: int, overlap: float) -> tuple[int, int]:
+    def _choose(need: int, size: int, n_sets: int, overlap: float, share: float) -> tuple[int, int]:
+        """`overlap`: chance that a rare shingle is in another set; `share`: of frequent shingles in a set."""
         best = None
         for share_out in (0.0, 0.25, 0.5, 1.0):
             for share_two in (0.0, 0.1, 0.25):
                 out, two = int(need * share_out), int(need * share_two)
                 units = need + out
-                mean = size / units
+                mean = size * (1 - share) / units
                 counts = np.arange(0, 40)
                 logs = counts * math.log(mean) - mean - np.array([math.lgamma(c + 1) for c in counts])
                 poisson = np.exp(logs)
@@ -109,12 +115,18 @@ class Bands:
                 gone = np.clip(np.cumsum(poisson) - spare, 0, poisson)
                 alike = n_sets * overlap ** counts.astype(float)
                 candidates = single * (gone * alike).sum() + two * (1 + 2 * mean) * n_sets * overlap ** max(2 * mean - 1, 0)
-                entries = kept + two * (1 + 2 * mean)
+                entries = kept + two * (1 + 2 * size / units)
                 cost = entries + CANDIDATE_COST * candidates
                 if best is None or cost < best[0]:
                     best = (cost, out, two)
         return best[1], best[2]
 
+    def is_frequent(self, found: np.ndarray) -> np.ndarray:
+        if not len(self.frequent):
+            return np.zeros(len(found), bool)
+        at = np.minimum(np.searchsorted(self.frequent, found), len(self.frequent) - 1)
+        return self.frequent[at] == found
+
     def of(self, size: int) -> int:
         return int(np.searchsorted(self.low, size, side="right")) - 1
 
@@ -138,8 +150,10 @@ class Bands:
         whole = texts.mix(total ^ name)
         single = np.arange(two, units - two)
         if out:
-            # ranked by number of shingles, then by content; the lowest are left out
-            rank = (np.minimum(n[single], 255).astype(np.uint64) << np.uint64(56)) | (whole[single] >> np.uint64(8))
+            # ranked by number of rare shingles, of all shingles, then by content; the lowest are left out
+            rare = np.bincount(segment, weights=~self.is_frequent(found), minlength=units - two)
+            rank = (np.minimum(rare[single], 255).astype(np.uint64) << np.uint64(56)) | (whole[single] >> np.uint64(16))
+            rank |= np.minimum(n[single], 255).astype(np.uint64) << np.uint64(48)
             single = single[np.argpartition(rank, out - 1)[out:]]
         pieces = [whole[single]]
         if two:
@@ -158,17 +172,43 @@ def _similar(x: np.ndarray, y: np.ndarray) -> bool:
     return b * common >= a * (len(x) + len(y) - common)
 
 
+def _bitmap(found: np.ndarray) -> bytes:
+    """One bit for each residue of the hashes; four bits or more for each member, a power of two in all."""
+    width = max(64, 1 << (4 * len(found) - 1).bit_length()) if len(found) else 64
+    bits = np.zeros(width, bool)
+    bits[(found & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def _may_be_similar(n_x: int, n_y: int, x: bytes, y: bytes) -> bool:
+    """False only for sets that cannot be similar: by size, or by the bits that differ.
+
+    Every differing bit stands for a member that only one set has. A wider bitmap is folded to
+    the narrower one's width.
+    """
+    a, b = SIMILARITY
+    if b * min(n_x, n_y) < a * max(n_x, n_y):
+        return False
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(p) < len(q):
+        p, q = q, p
+    while len(p) > len(q):
+        p = p[: len(p) // 2] | p[len(p) // 2 :]
+    return (a + b) * int(np.bitwise_count(p ^ q).sum()) <= (b - a) * (n_x + n_y)
+
+
 def profile(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, d1, d2): number of shingles and digest of the set."""
+    """(doc_id, n, d1, d2, bits): number of shingles, digest and bitmap of the set."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in texts.blocks(batches):
             sets = shingle_sets(batch)
             digests = [_digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()),
-                 pa.array([d[1] for d in digests], pa.int64())], names=["doc_id", "n", "d1", "d2"],
+                 pa.array([d[1] for d in digests], pa.int64()), pa.array([_bitmap(s) for s in sets], pa.binary())],
+                names=["doc_id", "n", "d1", "d2", "bits"],
             )
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint, bits binary")
 
 
 def _packed(bins: np.ndarray, columns: list[np.ndarray], kind: int) -> pa.RecordBatch:
@@ -287,11 +327,30 @@ def _cross_group(part: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([pd.DataFrame({"a": [], "b": []}, dtype="int64"), *_cross_candidates(iter([part]))])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, similar) of the pairs, on the whole texts, which are sent along once for each pair."""
+def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b, possible): pairs whose sizes and bitmaps allow them to be similar; no text is needed for that."""
+    both = pairs
+    for end in ("a", "b"):
+        both = both.join(sketches.select(F.col("doc_id").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}")), end)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*[batch.column(i).to_pylist() for i in (2, 3, 4, 5)], strict=True)
+            out = pa.array([_may_be_similar(*row) for row in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), out], names=["a", "b", "possible"])
+
+    chosen = both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a bigint, b bigint, possible boolean")
+    return materialize(chosen, "possible")
+
+
+def _texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the ids in the pairs, written once; equal ids are copies of one text."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    # equal ids of copies are one text; the first is as good as any
-    needed = materialize(docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
+    return materialize(docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
+
+
+def _similar_pairs(pairs: DataFrame, needed: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar, on the whole texts, which are sent along once for each pair."""
     second = pairs.join(needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = second.join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
 
@@ -305,20 +364,36 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     if a != known:
                         known, own = a, shingle_sets(batch.slice(i, 1).select(["text_a"]).rename_columns(["text"]))[0]
                     out.append(_similar(own, sets[i]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], names=["a", "b", "similar"])
+                yield batch.select(["a", "b"]).filter(pa.array(out, pa.bool_()))
 
-    return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, similar boolean"), "verified")
+    return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint"), "links")
 
 
-def _overlap(docs: DataFrame, sample: int = SAMPLE_SETS) -> float:
-    """Mean share of a sampled set's shingles that another sampled set has, over the leading rows."""
-    rows = docs.filter("doc_id IS NOT NULL").limit(sample).collect()
-    if len(rows) < 2:
-        return 0.0
-    sets = shingle_sets(pa.RecordBatch.from_arrays([pa.array([r["text"] for r in rows], pa.string())], names=["text"]))
-    unequal = {s.tobytes(): s for s in sets}.values()
-    _, n = np.unique(np.concatenate(list(unequal)), return_counts=True)
-    return min(0.5, float((n * (n - 1)).sum() / max(n.sum() * (len(unequal) - 1), 1)))
+def _frequent(docs: DataFrame, n_rows: int) -> tuple[np.ndarray, float, float]:
+    """Shingles that several sampled sets hold (the FREQUENT most frequent), and two measures of the sample.
+
+    The second is the chance that one of the other shingles is in another given set, the third
+    twice the share of the frequent ones in all sets, as an estimate for sets that have many.
+    """
+    every = max(1, n_rows // SAMPLE_SETS)
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(every)) == 0)
+
+    def shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in texts.blocks(batches):
+            distinct = list({s.tobytes(): s for s in shingle_sets(batch)}.values())
+            found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *distinct]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], names=["shingle", "n"])
+
+    held = sample.mapInArrow(shingles, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    held = materialize(held, "sampled-shingles")
+    top = held.filter(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "shingle").limit(FREQUENT).select("shingle").collect()
+    frequent = np.sort(np.array([r["shingle"] for r in top], np.int64).view(np.uint64))
+    n, rare = F.col("n"), F.col("n") < FREQUENT_FROM
+    total, rare_total, shared = held.agg(F.sum(n), F.sum(F.when(rare, n)), F.sum(F.when(rare, n * (n - 1)))).first()
+    if not total:
+        return frequent, 0.0, 0.0
+    overlap = float(shared or 0) / max(float(rare_total or 0) * (n_rows / every), 1.0)
+    return frequent, min(0.5, overlap), min(0.9, 2 * (1 - float(rare_total or 0) / float(total)))
 
 
 def join_components(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -327,16 +402,18 @@ def join_components(docs: DataFrame, row_id: str = "doc_id", text: str = "text")
     docs = docs.select(F.col(row_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     rows = materialize(profile(docs), "profile")
     classes = rows.filter("doc_id IS NOT NULL AND n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id"))
-    joined = rows.join(classes, ["d1", "d2", "n"], "left")
+    joined = rows.drop("bits").join(classes, ["d1", "d2", "n"], "left")
     members = materialize(joined.select("doc_id", "n", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")), "members")
     one = members.filter("doc_id = class_id AND n > 0").select("doc_id", "n").distinct()
     n_sets, total, largest = one.agg(F.count(F.lit(1)), F.sum("n"), F.max("n")).first()
     links = spark.createDataFrame([], "a bigint, b bigint")
     if n_sets:
         texted = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-        bands = Bands(largest, n_sets, _overlap(texted))
+        frequent, overlap, share = _frequent(texted, n_sets)
+        bands = Bands(largest, n_sets, overlap, frequent, share)
         bins = int(max(1, -(-total * 10 // BIN_BYTES)))
-        links = _linked(texted, members, bands, bins)
+        sketches = rows.filter("doc_id IS NOT NULL AND n > 0").select("doc_id", "n", "bits").dropDuplicates(["doc_id"])
+        links = _linked(texted, members, sketches, bands, bins)
     parts = connected_components(links)
     return (
         members.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left")
@@ -355,42 +432,50 @@ def _by_class(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _linked(docs: DataFrame, members: DataFrame, bands: Bands, bins: int) -> DataFrame:
+def _linked(docs: DataFrame, members: DataFrame, sketches: DataFrame, bands: Bands, bins: int) -> DataFrame:
     """(a, b): links between class representatives that connect every component."""
     first = _index(docs, bands, bins, False).repartition(bins, "bin").groupBy("bin").applyInPandas(_star_candidates, "a bigint, b bigint")
-    pairs = materialize(_by_class(first, members), "pairs")
-    verified = _verified(pairs, docs)
-    links = verified.filter("similar").select("a", "b")
-    if verified.filter(~F.col("similar")).isEmpty():
-        return links
+    pairs = _possible(_by_class(first, members), sketches)
+    needed = _texts_of(pairs, docs)
+    links = _similar_pairs(pairs.filter("possible").select("a", "b"), needed)
     parts = materialize(connected_components(links), "parts")
-    # classes in components that a failed comparison may have kept apart
-    failed = verified.filter(~F.col("similar")).select("a", "b")
-    ends = failed.select(F.col("a").alias("node")).union(failed.select("b")).distinct()
-    with_part = ends.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    # the two ends of a failed pair may have been joined by other links since
+    # compared pairs whose ends are in different components failed; buckets with one are open
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    labelled = materialize(nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labelled")
+    apart = pairs.select("a", "b")
     for end in ("a", "b"):
-        failed = failed.join(with_part.select(F.col("node").alias(end), F.col("component").alias(f"part_{end}")), end)
-    apart = failed.filter("part_a <> part_b")
+        apart = apart.join(labelled.select(F.col("node").alias(end), F.col("component").alias(f"part_{end}")), end)
+    apart = apart.filter("part_a <> part_b")
     open_parts = apart.select(F.col("part_a").alias("component")).union(apart.select("part_b")).distinct()
-    all_nodes = parts.unionByName(with_part).distinct()
-    again = materialize(all_nodes.join(open_parts, "component", "left_semi").select("node", "component"), "again")
+    again = materialize(labelled.join(open_parts, "component", "left_semi").select(F.col("node").alias("doc_id"), "component"), "open")
     if again.isEmpty():
         return links
-    texts_again = docs.join(again.withColumnRenamed("node", "doc_id").hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id"])
-    indexed = _index(texts_again.select("doc_id", "text", "component"), bands, bins, True)
+    indexed = _index(needed.join(again, "doc_id").select("doc_id", "text", "component"), bands, bins, True)
     crossing = indexed.repartition(bins, "bin").groupBy("bin").applyInPandas(_cross_group, "a bigint, b bigint").distinct()
-    more = _verified(materialize(crossing.join(pairs, ["a", "b"], "left_anti"), "crossing"), docs)
-    return links.unionByName(more.filter("similar").select("a", "b"))
+    more = _possible(crossing.join(pairs, ["a", "b"], "left_anti"), sketches).filter("possible")
+    return links.unionByName(_similar_pairs(more.select("a", "b"), needed))
 
 
 def keep_one(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` without those linked to a smaller id; rows with a NULL id stay."""
     found = join_components(docs, row_id, text)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col(f"`{row_id}`") == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), docs[row_id] == gone["_gone"], "left_anti")
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s
+      FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+      JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
+"""
 
 
-@query("op5_jaccard_join")
+@query("op5_jaccard_join", SQL)
 def op5_jaccard_join(spark, folder):
     return join_components(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")

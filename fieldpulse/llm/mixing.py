@@ -167,41 +167,39 @@ def fit_rates(soft: DataFrame, targets: Sequence[float], budget: float | None =
 
     Without `budget` the total is the one at which the domain with the largest weight keeps
     its tokens; the others are then thinned out or repeated to meet their shares.
-    The residual is whitened with the token-weighted second moments of the posteriors, so that
-    a step of 1 never overshoots and rare domains converge as fast as common ones.
+    The residual is whitened with the token-weighted second moments of the posteriors of the
+    texts whose rate is above zero, so that rare domains converge as fast as common ones; the
+    step is halved whenever the residual has grown.
     """
     k = len(targets)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    p = lambda i: F.get("p", F.lit(i))
-    first = soft.agg(
-        F.sum("tokens").alias("n"), *[F.sum(F.col("tokens") * p(i)).alias(f"e{i}") for i in range(k)],
-        *[F.sum(F.col("tokens") * p(i) * p(j)).alias(f"m{i}_{j}") for i, j in pairs],
-    ).first()
-    n = float(first["n"] or 0)
-    if not n:
-        return []
-    expected = np.array([first[f"e{i}"] for i in range(k)]) / n
-    moments = np.zeros((k, k))
-    for i, j in pairs:
-        moments[i, j] = moments[j, i] = first[f"m{i}_{j}"] / n
-    inverse = np.linalg.pinv(moments, rcond=1e-9)
     weights = np.array(targets, float) / sum(targets)
-    total = budget / n if budget else expected[weights.argmax()] / weights.max()
+    p = lambda i: F.get("p", F.lit(i))
     moves: list[list[float]] = []
+    n, step, size_before = 0.0, 1.0, np.inf
     while True:
+        live = F.when(F.col("x") > 0, F.col("tokens")).otherwise(0)
+        row = soft.select("tokens", "p", rate_column(moves).alias("x")).agg(
+            F.sum("tokens"), *[F.sum(F.col("tokens") * F.col("x") * p(i)) for i in range(k)],
+            *[F.sum(live * p(i) * p(j)) for i, j in pairs],
+        ).first()
+        if not moves:
+            n = float(row[0] or 0)
+            if not n:
+                return []
+        expected = np.array([float(v) for v in row[1 : k + 1]]) / n
+        if not moves:
+            total = budget / n if budget else expected[weights.argmax()] / weights.max()
+        moments = np.zeros((k, k))
+        for (i, j), value in zip(pairs, row[k + 1 :], strict=True):
+            moments[i, j] = moments[j, i] = value / n
         residual = expected - total * weights
-        if np.abs(residual).max() <= tolerance or len(moves) == rounds:
-            return moves
-        move = inverse @ residual
-        if moves and np.abs(move).max() < tolerance:
-            return moves
-        moves.append(move.tolist())
-        x = rate_column(moves)
-        sums = soft.select("tokens", "p", x.alias("x")).agg(*[F.sum(F.col("tokens") * F.col("x") * p(i)) for i in range(k)]).first()
-        after = np.array([float(s) for s in sums]) / n
-        if np.abs(after - expected).max() < tolerance / 10:
+        size = np.abs(residual).max()
+        if size <= tolerance or len(moves) == rounds:
             return moves
-        expected = after
+        step = step / 2 if size > size_before else min(1.0, 1.5 * step)
+        size_before = size
+        moves.append((step * np.linalg.pinv(moments, rcond=1e-6) @ residual).tolist())
 
 
 def copies_column(rate: Column, key: Column, snap: float = SNAP) -> Column:

@@ -150,7 +150,7 @@ def cascade_order(docs: DataFrame, rules: Mapping[str, Rule], text: str = "text"
 
 def apply_rules(docs: DataFrame, rules: Mapping[str, Rule] | None = None, order: Sequence[str] | None = None,
                 text: str = "text", measures: Sequence[str] = ()) -> DataFrame:
-    """The input's rows with `rejected_by` (NULL if no rule rejects the text) and `kept`.
+    """`_row` (the input's columns), `rejected_by` (NULL if no rule rejects the text) and `kept`.
 
     `measures` are computed for every row and returned; others only where the cascade
     needs them. `rejected_by` names the first rule that rejects, so with several failing
@@ -158,7 +158,9 @@ def apply_rules(docs: DataFrame, rules: Mapping[str, Rule] | None = None, order:
     """
     rules = rules or default_rules()
     order = order or cascade_order(docs, rules, text)
-    df = _measured(_prepared(docs, text), measures, F.lit(True)).withColumn(LIVE, F.lit(True))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    df = _prepared(docs.select(whole.alias("_row"), F.col(text).alias("_text")), "_text")
+    df = _measured(df, measures, F.lit(True)).withColumn(LIVE, F.lit(True))
     rejected_by = F.lit(None).cast("string")
     for name in order:
         df = _measured(df, rules[name].needs, F.col(LIVE))
@@ -168,14 +170,12 @@ def apply_rules(docs: DataFrame, rules: Mapping[str, Rule] | None = None, order:
     # the row number never decides; it keeps a filter on `kept` above the measures, instead of
     # being pushed below them with a copy of every measure's expression inside
     kept = F.col(LIVE) & (F.monotonically_increasing_id() >= 0)
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns], *measures, rejected_by.alias("rejected_by"), kept.alias("kept"))
+    return df.select("_row", *measures, rejected_by.alias("rejected_by"), kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs` that no rule rejects, with the columns of `docs` only."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    judged = apply_rules(docs.select(whole.alias("_row"), F.col(text).alias("_text")), text="_text")
-    return judged.filter("kept").select("_row.*")
+    return apply_rules(docs, text=text).filter("kept").select("_row.*")
 
 
 SQL = r"""
@@ -205,4 +205,4 @@ def op9_quality_rules(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     judged = apply_rules(docs, measures=MEASURES)
     failed = base_rules()["few_words"].rejects | base_rules()["repeated_words"].rejects
-    return judged.select("doc_id", *MEASURES, failed.alias("base_failed"), "kept")
+    return judged.select("_row.doc_id", *MEASURES, failed.alias("base_failed"), "kept")

@@ -447,6 +447,24 @@ def remove_repeats(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
     return both.mapInArrow(run, RESULT + (", kept binary" if with_text else ""))
 
 
-@query("op3_suffix_dedup")
+SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+h AS (SELECT doc_id, hex(b) AS x, octet_length(b) AS n FROM d),
+w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT doc_id, x, unnest(generate_series(0, n - 50)) AS i FROM h)),
+m AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING count(*) > 1),
+g AS (SELECT w.doc_id, w.i FROM w JOIN m ON w.s = m.s WHERE w.doc_id > m.first),
+o AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -100) + 50 AS opens FROM g),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o) GROUP BY doc_id, run),
+e AS (SELECT *, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next FROM r),
+k AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed,
+             string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(x), 2 * max(z) + 1) AS kept
+      FROM e JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM h LEFT JOIN k USING (doc_id)
+"""
+
+
+@query("op3_suffix_dedup", SQL)
 def op3_suffix_dedup(spark, folder):
     return remove_repeats(table(spark, folder, "documents"))

@@ -23,7 +23,7 @@ def edge_rows():
 
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-CLASHES = ["_id", "_row", "_text", "blob", "n_words", "shard", "_key", "kept", "_words", "labels", "score", "spans"]
+CLASHES = ["_id", "_gone", "_spans", "_items", "_body", "_n", "row", "copies", "_row", "_text", "blob", "n_words", "shard", "_key", "kept", "_words", "labels", "score", "spans"]
 
 
 @pytest.fixture

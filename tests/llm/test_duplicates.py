@@ -79,11 +79,13 @@ def test_chains_of_edits(spark, seed):
 
 def test_every_similar_pair_shares_an_entry():
     pick = np.random.default_rng(5)
-    for overlap in (0.0, 0.3):
-        bands = jaccard_join.Bands(3000, 100_000, overlap)
+    for overlap, share in ((0.0, 0.0), (0.3, 0.0), (0.01, 0.6)):
+        frequent = pick.integers(0, 2**63, 500, dtype=np.uint64)
+        bands = jaccard_join.Bands(3000, 100_000, overlap, frequent, share)
         for size in (1, 2, 4, 5, 8, 9, 17, 40, 99, 500, 2500):
             for _ in range(12):
-                x = np.unique(pick.integers(0, 2**63, size, dtype=np.uint64))
+                x = pick.integers(0, 2**63, size, dtype=np.uint64)
+                x = np.unique(np.concatenate([x[size // 2 :], pick.choice(frequent, size // 2)]) if share else x)
                 gone = int(pick.integers(0, size // 5 + 1))
                 added = pick.integers(0, 2**63, int(pick.integers(0, size // 8 + 1)), dtype=np.uint64)
                 y = np.unique(np.concatenate([pick.permutation(x)[gone:], added]))
@@ -91,6 +93,20 @@ def test_every_similar_pair_shares_an_entry():
                     assert len(np.intersect1d(bands.entries(x), bands.entries(y)))
 
 
+def test_bitmaps_never_refuse_a_similar_pair():
+    pick = np.random.default_rng(11)
+    refused = 0
+    for _ in range(400):
+        x = np.unique(pick.integers(0, 2**63, int(pick.integers(1, 300)), dtype=np.uint64))
+        y = np.unique(np.concatenate([x[pick.random(len(x)) > pick.random() * 0.4], pick.integers(0, 2**63, int(pick.integers(0, 40)), dtype=np.uint64)]))
+        if not len(y):
+            continue
+        possible = jaccard_join._may_be_similar(len(x), len(y), jaccard_join._bitmap(x), jaccard_join._bitmap(y))
+        assert possible or not jaccard_join._similar(x, y)
+        refused += not possible
+    assert refused > 100
+
+
 def test_allocations_use_deletions_and_left_out_segments():
     chosen = {c for n, overlap in ((10, 0.0), (10**9, 0.2), (10**12, 0.45)) for c in jaccard_join.Bands(5000, n, overlap).choice}
     assert any(out for out, _ in chosen) and any(two for _, two in chosen)

@@ -34,15 +34,15 @@ def test_order_changes_no_verdict(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rules = quality_rules.default_rules()
     orders = [list(rules), list(reversed(rules))]
-    kept = [sorted(r[0] for r in quality_rules.apply_rules(docs, rules, o).filter("kept").select("doc_id").collect()) for o in orders]
+    kept = [sorted(r[0] for r in quality_rules.apply_rules(docs, rules, o).filter("kept").select("_row.doc_id").collect()) for o in orders]
     assert kept[0] == kept[1] and 0 < len(kept[0]) < docs.count()
     assert sorted(quality_rules.cascade_order(docs, rules)) == sorted(rules)
 
 
 def test_quality_edge_rows(spark, edge, none, edge_rows):
-    out = quality_rules.apply_rules(edge.withColumnRenamed("kept", "kept_before"), measures=quality_rules.MEASURES)
+    out = quality_rules.apply_rules(edge, measures=quality_rules.MEASURES)
     assert out.count() == len(edge_rows)
-    assert out.filter("doc_id = 1").first()["n_words"] == 0
+    assert out.filter("_row.doc_id = 1").first()["n_words"] == 0
     assert quality_rules.keep_good(edge).columns == edge.columns
     assert quality_rules.keep_good(none).count() == 0 and quality_rules.apply_rules(none).count() == 0
 
