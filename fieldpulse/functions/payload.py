@@ -22,15 +22,28 @@ def text_map(text: Column) -> Column:
     return F.from_json(text, "map<string,string>")
 
 
+def _last_of_each_key(entries: Column) -> Column:
+    """A repeated key counts once: at its first place, with its last value."""
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    last = F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1))
+    return F.when(F.size(keys) == F.size(entries), entries).otherwise(last)
+
+
+def entries_of(document: Column) -> Column:
+    """array<struct<key, value>> of a map in document order, every key once."""
+    # through a one-element array, so that the map is computed once
+    return F.get(F.transform(F.array(F.map_entries(document)), _last_of_each_key), F.lit(0))
+
+
 def _typed_entries(document: Column) -> Column:
     """array<struct<key, value, kind>>: the kind of every value is looked up once."""
     return F.transform(
-        F.map_entries(document),
+        entries_of(document),
         lambda e: F.struct(e["key"], e["value"], F.schema_of_variant(e["value"]).alias("kind")),
     )
 
 
-def _is_number(kind: Column) -> Column:
+def is_number(kind: Column) -> Column:
     """JSON numbers only: booleans and numeric strings do not count."""
     return kind.isin(*NUMBER_KINDS) | kind.startswith("DECIMAL")
 
@@ -42,7 +55,7 @@ def _number_entry(name: Column, value: Column) -> Column:
 def numeric_entries(payload: Column, skip: Iterable[str] = NON_FEATURE_KEYS) -> Column:
     """array<struct<key, value>> of the top-level numbers, in document order."""
     skip = tuple(skip)
-    wanted = lambda e: _is_number(e["kind"]) & (~e["key"].isin(*skip) if skip else F.lit(True))
+    wanted = lambda e: is_number(e["kind"]) & (~e["key"].isin(*skip) if skip else F.lit(True))
     found = F.filter(_typed_entries(variant_map(payload)), wanted)
     return F.transform(found, lambda e: _number_entry(e["key"], e["value"]))
 
@@ -58,12 +71,12 @@ def nested_numeric_entries(payload: Column) -> Column:
     raw = F.when(payload.rlike(r":\s*\{"), text_map(payload))
 
     def children(e: Column, texts: Column) -> Column:
-        inner = F.filter(_typed_entries(variant_map(texts[e["key"]])), lambda c: _is_number(c["kind"]))
+        inner = F.filter(_typed_entries(variant_map(texts[e["key"]])), lambda c: is_number(c["kind"]))
         return F.transform(inner, lambda c: _number_entry(F.concat(e["key"], F.lit("."), c["key"]), c["value"]))
 
     def expand(e: Column, texts: Column) -> Column:
         return (
-            F.when(_is_number(e["kind"]), F.array(_number_entry(e["key"], e["value"])))
+            F.when(is_number(e["kind"]), F.array(_number_entry(e["key"], e["value"])))
             .when(e["kind"].startswith("OBJECT"), F.coalesce(children(e, texts), empty))
             .otherwise(empty)
         )

@@ -10,27 +10,43 @@ from fieldpulse.functions import payload as P
 from fieldpulse.functions.scalar import is_uuid, iso_timestamp, parse_timestamp, topic_device
 from fieldpulse.schemas import ENVELOPE_KEYS, NON_FEATURE_KEYS
 
+MILLISECONDS_FROM = 2e10  # a larger number of seconds since 1970 is taken for milliseconds
+
 
 def decode_messages(messages: DataFrame) -> DataFrame:
     """(id, topic, body, arrived_at) -> readings with `decode_error`, NULL when good.
 
     Missing keys get their defaults: the device id comes from the topic, the type
-    is `unknown`, the time is the arrival time, and without a payload object every
-    key that is not part of the envelope belongs to the payload.
+    is `unknown`, the time is the arrival time, and without a payload every key
+    that is not part of the envelope belongs to the payload. Of equal keys the last
+    one counts. The body must be one JSON object without anything behind it; payload
+    and metadata must be objects and the type a string. A time may be a number of
+    seconds since 1970, or of milliseconds beyond 2e10.
     """
-    parsed = messages.withColumn("_m", P.text_map("body"))
-    m = F.col("_m")
-    has = lambda key: F.map_contains_key(m, F.lit(key))
-    loose = F.map_filter(P.variant_map(F.col("body")), lambda k, _: ~k.isin(*ENVELOPE_KEYS))
-    given_object = m["payload"].startswith("{") & F.col("body").rlike(r'"payload"\s*:\s*\{')
+    # the parser does not look behind the first value: text there breaks one of two wrappings
+    listed = F.try_parse_json(F.concat(F.lit("["), F.col("body"), F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"m":'), F.col("body"), F.lit("}")))
+    document = F.when(named.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull(), F.try_variant_get(listed, "$[0]", "variant"))
+    entries = P.entries_of(P.text_map(F.col("body")))
+    parsed = messages.withColumn("_v", document).withColumn("_m", F.map_from_entries(entries))
+    m, v = F.col("_m"), F.col("_v")
+    has = lambda key: F.coalesce(F.map_contains_key(m, F.lit(key)), F.lit(False))
+    kind = lambda key: F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant"))
+    is_object = lambda key: has(key) & kind(key).startswith("OBJECT")
+    loose = F.map_from_entries(F.filter(P.entries_of(P.variant_map(F.col("body"))), lambda e: ~e["key"].isin(*ENVELOPE_KEYS)))
+    number = F.try_variant_get(v, "$.timestamp", "double")
+    seconds = F.when(F.abs(number) > MILLISECONDS_FROM, number / 1000).otherwise(number)
+    time = F.when(kind("timestamp") == "STRING", parse_timestamp(m["timestamp"])).when(
+        P.is_number(kind("timestamp")), F.timestamp_micros((seconds * 1_000_000).cast("bigint"))
+    )
     out = parsed.select(
         "id", "topic", "body", "arrived_at",
         F.when(has("device_id"), m["device_id"]).otherwise(topic_device(F.col("topic"))).alias("device_id"),
-        F.when(has("device_type"), m["device_type"]).otherwise("unknown").alias("device_type"),
-        F.when(has("timestamp"), parse_timestamp(m["timestamp"])).otherwise(F.col("arrived_at")).alias("ts"),
-        F.when(has("payload"), F.when(given_object, m["payload"])).otherwise(F.to_json(loose)).alias("payload"),
-        F.coalesce(m["metadata"], F.lit("{}")).alias("metadata"),
-        m.isNull().alias("_undecodable"),
+        F.when(~has("device_type"), "unknown").when(kind("device_type") == "STRING", m["device_type"]).alias("device_type"),
+        F.when(has("timestamp"), time).otherwise(F.col("arrived_at")).alias("ts"),
+        F.when(is_object("payload"), m["payload"]).when(~has("payload"), F.to_json(loose)).alias("payload"),
+        F.when(is_object("metadata"), m["metadata"]).when(~has("metadata"), "{}").alias("metadata"),
+        (v.isNull() | m.isNull() | ~F.schema_of_variant(v).startswith("OBJECT")).alias("_undecodable"),
     )
     error = (
         F.when(F.col("_undecodable"), "invalid_json")
@@ -38,6 +54,7 @@ def decode_messages(messages: DataFrame) -> DataFrame:
         .when(F.col("device_type").isNull(), "missing_device_type")
         .when(F.col("ts").isNull(), "invalid_timestamp")
         .when(F.col("payload").isNull(), "invalid_payload")
+        .when(F.col("metadata").isNull(), "invalid_metadata")
     )
     return out.withColumn("decode_error", error).drop("_undecodable")
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldpulse.functions.scalar import alert_severity, anomaly_probability, ratio
 from fieldpulse.operators.isolation import SAMPLE_LIMIT, Nodes, expected_path, grow_tree, mean_path, pack
+from fieldpulse.operators.ranking import row_at_rank
 from fieldpulse.session import materialize
 from fieldpulse.sources.tables import spread
 
@@ -24,7 +25,6 @@ SEED = 42
 ALERT_THRESHOLD = 0.7
 # --- end of fixed values --------------------------------------------------------
 
-POOL_ROWS = N_TREES * SAMPLE_PER_TREE
 HASH_RANGE = 1 << 40
 
 
@@ -43,19 +43,6 @@ def _hash(*columns: Column) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(HASH_RANGE))
 
 
-def _training_pool(vectors: DataFrame, id_column: str, seed: int) -> DataFrame:
-    """The POOL_ROWS rows with the smallest seeded hash, written once.
-
-    A threshold on the hash lets through about twice the rows wanted, so the
-    ordered step sees a fixed number of rows whatever the table's size.
-    """
-    n = vectors.count()
-    hashed = vectors.select(_hash(F.col(id_column), F.lit(seed)).alias("h"), "features")
-    if n > 4 * POOL_ROWS:
-        hashed = hashed.filter(F.col("h") < int(HASH_RANGE * 2 * POOL_ROWS / n))
-    return spread(materialize(hashed.orderBy("h").limit(POOL_ROWS), "training-pool"))
-
-
 def train_forest(
     vectors: DataFrame,
     id_column: str = "id",
@@ -66,20 +53,21 @@ def train_forest(
 ) -> Forest:
     """Grow one tree per group of sampled rows; only the finished trees come to the driver.
 
-    `vectors` is read twice (count and sample); materialize it first when computing it costs much.
+    Every tree samples the whole table by a hash of its own: a threshold lets about twice the
+    rows wanted through, of which the tree's task takes the smallest. The offset is the exact
+    contamination quantile of the scores of all rows. `vectors` is read several times;
+    materialize it first when computing it costs much.
     """
-    pool = _training_pool(vectors, id_column, seed)
-    n_pool = pool.count()
-    if n_pool == 0:
+    n = vectors.count()
+    if n == 0:
         raise ValueError("no rows to train on")
-    sample_size = min(SAMPLE_PER_TREE, n_pool)
-    # about twice the sample reaches each tree's task, which takes the smallest hashes
-    share = min(1.0, 2.0 * sample_size / n_pool) if n_pool > 4 * sample_size else 1.0
+    sample_size = min(SAMPLE_PER_TREE, n)
+    share = min(1.0, 2.0 * sample_size / n)
     tree = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree")
     samples = (
-        pool.select("h", "features", tree)
-        .withColumn("order", _hash(F.col("h"), F.lit(seed), F.col("tree")))
-        .filter(F.col("order") < int(HASH_RANGE * share))
+        spread(vectors).select(id_column, "features", tree)
+        .withColumn("order", _hash(F.col(id_column), F.lit(seed), F.col("tree")))
+        .filter(F.col("order") <= int(HASH_RANGE * share))
         .select("tree", "order", "features")
     )
 
@@ -95,10 +83,16 @@ def train_forest(
     columns = {c: nodes[c].to_numpy() for c in nodes.columns if c != "tree"}
     packed = pack(nodes["tree"].to_numpy(), columns, n_trees)
     fitted = Forest(packed, sample_size, 0.0, version)
-    offset = pool.select(_normality(fitted)(F.col("features")).alias("s")).agg(
-        F.percentile("s", contamination)
-    ).first()[0]
-    return Forest(packed, sample_size, float(offset), version)
+    scored = vectors.select(F.col(id_column).alias("id"), _normality(fitted)(F.col("features")).alias("s"))
+    return Forest(packed, sample_size, _quantile(materialize(scored, "forest-scores"), "s", "id", contamination, n), version)
+
+
+def _quantile(df: DataFrame, value: str, tie_break: str, share: float, n: int) -> float:
+    """Exact quantile, linear between the two neighbouring rows."""
+    place = (n - 1) * share
+    low = int(place)
+    at = [row_at_rank(df, value, tie_break, min(k, n), descending=False, n=n)[0] for k in (low + 1, low + 2)]
+    return float(at[0] + (at[1] - at[0]) * (place - low))
 
 
 def _normality(forest: Forest):

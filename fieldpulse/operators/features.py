@@ -81,8 +81,13 @@ def ordered_split(df: DataFrame, ts: str = "ts", tie_break: str = "id", share: f
 
 
 def variance_labels(vectors: DataFrame, ratio: float = 0.05, tie_break: str = "id") -> DataFrame:
-    """Label 1 for the share `ratio` of rows with the largest population variance."""
+    """Label 1 for the share `ratio` of rows with the largest population variance.
+
+    Empty vectors have no variance; they get label 0 and do not count for the share.
+    """
     scored = vectors.withColumn("variance", population_variance(F.col("features")))
-    n = vectors.count()
-    at = row_at_rank(scored, "variance", tie_break, int(n * (1 - ratio)), descending=False, n=n)
-    return scored.withColumn("label", F.when(is_in_first("variance", tie_break, at, descending=False), 0).otherwise(1))
+    known = scored.filter("variance IS NOT NULL")
+    n = known.count()
+    at = row_at_rank(known, "variance", tie_break, int(n * (1 - ratio)), descending=False, n=n)
+    low = F.col("variance").isNull() | is_in_first("variance", tie_break, at, descending=False)
+    return scored.withColumn("label", F.when(low, 0).otherwise(1))

@@ -12,9 +12,9 @@ def judge_events(events: DataFrame, max_rows: int = MAX_ROWS_PER_SLOT) -> DataFr
 
     Events are (event_id, device_id, event_type, status, firmware, ts), ordered by
     (ts, event_id). The rules need no row-by-row replay: a device starts with its
-    first `created`; every later update counts until the first decommission
-    request that finds the device in a status other than active; that one ends
-    the device's life.
+    first `created`; every later update counts until the device is decommissioned,
+    by an update to that status or by the first request that finds the device in a
+    status other than active; whatever comes first ends the device's life.
     """
     position = F.struct("ts", "event_id")
     born = events.groupBy("device_id").agg(F.min(F.when(F.col("event_type") == "created", position)).alias("_born"))
@@ -26,8 +26,9 @@ def judge_events(events: DataFrame, max_rows: int = MAX_ROWS_PER_SLOT) -> DataFr
         .when(alive & (kind == "updated"), F.col("status"))
     )
     known = with_previous(dated, ["device_id"], ["ts", "event_id"], sets_status, "_status", max_rows)
-    can_end = alive & (kind == "decommissioned") & (F.col("_status") != "active")
-    ended = known.groupBy("device_id").agg(F.min(F.when(can_end, position)).alias("_ended"))
+    requested = (kind == "decommissioned") & (F.col("_status") != "active")
+    updated = (kind == "updated") & (F.col("status") == "decommissioned")
+    ended = known.groupBy("device_id").agg(F.min(F.when(alive & (requested | updated), position)).alias("_ended"))
     judged = known.join(ended, "device_id")
     over = F.coalesce(position > F.col("_ended"), F.lit(False))
     reason = (

@@ -102,18 +102,25 @@ def merge_config(local: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def inhibit_warnings(alerts: DataFrame, keys: Sequence[str] = ("alertname", "service")) -> DataFrame:
-    """Alerts without the warnings for which a critical alert with the same keys is firing."""
-    critical = alerts.filter(F.col("severity") == "critical").select(*keys).distinct().withColumn("_critical", F.lit(True))
-    joined = alerts.join(critical, list(keys), "left")
+    """Alerts without the warnings for which a critical alert with the same keys is firing; a missing key equals a missing one."""
+    critical = alerts.filter(F.col("severity") == "critical").select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    critical = critical.withColumn("_critical", F.lit(True))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    joined = alerts.join(critical, same, "left")
     suppressed = (F.col("severity") == "warning") & F.col("_critical")
     return joined.filter(~F.coalesce(suppressed, F.lit(False))).select(*alerts.columns)
 
 
-def stream_backlog(published: DataFrame, consumed: DataFrame) -> DataFrame:
-    """published - consumed per stream and group; both sides are counter tables."""
-    return consumed.join(published, "stream").select(
-        "stream", "consumer_group", (F.col("published") - F.col("consumed")).alias("backlog")
-    )
+def stream_backlog(published: DataFrame, consumed: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """published - consumed per stream and group; both sides are counter tables.
+
+    `groups` (stream, consumer_group) names all known groups, so that one that has consumed
+    nothing yet is listed with the whole stream as its backlog.
+    """
+    known = consumed.select("stream", "consumer_group") if groups is None else groups.select("stream", "consumer_group").distinct()
+    done = known.join(consumed, ["stream", "consumer_group"], "left")
+    backlog = F.coalesce("published", F.lit(0)) - F.coalesce("consumed", F.lit(0))
+    return done.join(published, "stream", "left").select("stream", "consumer_group", backlog.alias("backlog"))
 
 
 def admit(readings: DataFrame, devices: DataFrame) -> DataFrame:

@@ -21,7 +21,10 @@ def trailing_sums(
     rows are first added up per second; every second then goes to its own time
     bucket and, as a row that leaves the frame `width` + 1 seconds later, to the
     next one. A frame never reaches back further than one bucket, so a task holds
-    at most two buckets of seconds however many rows the series has.
+    at most two buckets of seconds however many rows the series has. What has
+    entered is added up forwards and what is still to leave backwards: nothing is
+    subtracted, so a value that has left the frame leaves no rounding error, no NaN
+    and no infinity behind.
     """
     size = max(width, 1)
     cells = df.groupBy(*keys, second.alias("second")).agg(*[F.sum(v).alias(n) for n, v in values.items()])
@@ -35,13 +38,14 @@ def trailing_sums(
     )
     whole = Window.partitionBy(*keys, "bucket")
     so_far = whole.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    still_to_leave = whole.orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, -1)
     zero = lambda name: F.lit(0).cast(cells.schema[name].dataType)
 
     def trailing(name: str) -> Column:
         amount = F.coalesce(F.col(name), zero(name))
         entered = F.when(F.col("enters"), amount).otherwise(zero(name))
         left = F.when(F.col("enters"), zero(name)).otherwise(amount)
-        return (F.sum(left).over(whole) + F.sum(entered).over(so_far) - F.sum(left).over(so_far)).alias(name)
+        return (F.coalesce(F.sum(left).over(still_to_leave), zero(name)) + F.sum(entered).over(so_far)).alias(name)
 
     return (
         placed.select(*keys, "second", "enters", *[trailing(name) for name in values])

@@ -113,13 +113,20 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+SMALLEST = 5e-324  # the positive number next to 0
+
+
 def _carry_ema(slots: pd.DataFrame) -> pd.DataFrame:
     """EMA before each slot of one key; one short row per slot comes in."""
     slots = slots.sort_values("_slot")
     before, ema = [], 0.0
     for factor, started, fresh in zip(slots["_factor"], slots["_started"], slots["_fresh"]):
         before.append(ema)
-        ema = fresh if ema == 0 else factor * ema + started
+        # an average that has started never falls to exactly 0 again row by row: `factor` may
+        if ema == 0:
+            ema = fresh
+        else:
+            ema = factor * ema + started or SMALLEST
     slots["_before"] = before
     return slots[["_key", "_slot", "_before"]]
 
@@ -130,12 +137,13 @@ def smoothed_latency(
     """Exponential average and adaptive CPU threshold per key, after all observations.
 
     Observations of one key and slot are folded in time order in one row, at most
-    about `max_rows` of them. Slots of a hot key are joined up afterwards: the
+    about `max_rows` of them; missing ones are left out. Slots of a hot key are joined up afterwards: the
     average enters a slot as `factor * before + started`, the threshold as one
     clamped shift per slot.
     """
     slotted, any_hot = with_slots(
-        df.select(F.col(key).alias("_key"), *order, F.col(value).cast("double").alias("_x")), ["_key"], order[0], max_rows
+        df.select(F.col(key).alias("_key"), *order, F.col(value).cast("double").alias("_x")).filter("_x IS NOT NULL"),
+        ["_key"], order[0], max_rows,
     )
     folded = slotted.groupBy("_key", SLOT, HOT).agg(
         F.array_sort(F.collect_list(F.struct(*order, "_x"))).alias("_obs"), F.count(F.lit(1)).alias("_n")

@@ -83,12 +83,14 @@ def d7(spark, folder):
 
 
 @query("d8_stream_backlog", """
-    SELECT 'raw_telemetry' AS stream, consumer_group, (SELECT count(*) FROM telemetry) - count(*) AS backlog
-    FROM acknowledgements GROUP BY consumer_group""")
+    SELECT stream, consumer_group, (SELECT count(*) FROM telemetry) - count(a.id) AS backlog
+    FROM deliveries d LEFT JOIN acknowledgements a USING (stream, consumer_group, id) GROUP BY stream, consumer_group""")
 def d8(spark, folder):
-    published = V.telemetry(spark, folder).groupBy(F.lit("raw_telemetry").alias("stream")).agg(F.count(F.lit(1)).alias("published"))
+    deliveries = V.deliveries(spark, folder)
+    groups = deliveries.groupBy("stream", "consumer_group").agg(F.countDistinct("id").alias("published"))
+    published = groups.groupBy("stream").agg(F.max("published").alias("published"))
     consumed = V.acknowledgements(spark, folder).groupBy("stream", "consumer_group").agg(F.count(F.lit(1)).alias("consumed"))
-    return merge.stream_backlog(published, consumed)
+    return merge.stream_backlog(published, consumed, groups)
 
 
 @query("d9_telemetry_admission", """

@@ -62,7 +62,8 @@ VIEWS = {
     "device_events": """
         SELECT o_orderkey AS event_id, o_custkey AS device_id,
                CASE o_orderstatus WHEN 'F' THEN 'created' WHEN 'O' THEN 'updated' ELSE 'decommissioned' END AS event_type,
-               CASE WHEN o_orderstatus = 'O'
+               CASE WHEN o_orderstatus = 'O' AND o_orderkey % 11 = 5 THEN 'decommissioned'
+                    WHEN o_orderstatus = 'O'
                     THEN ['provisioned','active','active','inactive'][o_orderkey % 4 + 1] END AS status,
                'fw-' || CAST(o_orderkey % 9 AS VARCHAR) AS firmware, o_orderdate AS ts
         FROM orders""",
@@ -126,9 +127,10 @@ VIEWS = {
         SELECT 'key-' || CAST(o_custkey * 2 AS VARCHAR) AS key, o_orderpriority AS value, o_orderkey AS version
         FROM orders""",
     "version_vectors": """
-        SELECT l_partkey AS object_id, l_returnflag AS replica, CAST(l_suppkey % 3 AS VARCHAR) AS node_id,
-               CAST(max(l_linenumber) AS BIGINT) AS counter
-        FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1, 2, 3""",
+        SELECT l_partkey AS object_id,
+               CASE WHEN l_returnflag IN ('A', 'R') THEN l_returnflag WHEN l_linenumber % 2 = 0 THEN 'A' ELSE 'R' END AS replica,
+               CAST(l_suppkey % 3 AS VARCHAR) AS node_id, CAST(max(l_linenumber) AS BIGINT) AS counter
+        FROM lineitem GROUP BY 1, 2, 3""",
     "experiment_metrics": """
         SELECT l_orderkey AS job_id, l_linenumber AS epoch, l_shipdate AS ts, 'train_loss' AS metric_name,
                CAST(l_discount AS DECIMAL(12,2)) AS value FROM lineitem
@@ -136,9 +138,10 @@ VIEWS = {
         SELECT l_orderkey, l_linenumber, l_shipdate, 'val_loss', CAST(l_tax AS DECIMAL(12,2)) FROM lineitem""",
     "deliveries": """
         SELECT 'raw_telemetry' AS stream, g AS consumer_group, id
-        FROM telemetry, (VALUES ('ml_inference'), ('data_persistence')) v(g)""",
+        FROM telemetry, (VALUES ('ml_inference'), ('data_persistence'), ('alert_handler')) v(g)""",
     "acknowledgements": """
-        SELECT * FROM deliveries WHERE consumer_group = 'data_persistence' OR id % 7 <> 0""",
+        SELECT * FROM deliveries
+        WHERE consumer_group = 'data_persistence' OR (consumer_group = 'ml_inference' AND id % 7 <> 0)""",
     "heartbeats": f"""
         SELECT s_suppkey AS node_id, ['joining','alive','suspect','dead','leaving'][s_suppkey % 5 + 1] AS status,
                {AS_OF} - to_seconds(s_suppkey * 7 % 31) AS last_heartbeat FROM supplier""",

@@ -172,9 +172,9 @@ def e8_canary(spark, folder):
     return windows.replay_rollout(V.rollout_nodes(spark, folder), canary=True)
 
 
-@query("f4_newest_sample", "SELECT id, payload FROM readings ORDER BY ts DESC, id DESC LIMIT 5000")
+@query("f4_newest_sample", "SELECT id, payload FROM readings ORDER BY ts DESC, id DESC LIMIT 50000")
 def f4(spark, folder):
-    return tables.newest(V.readings(spark, folder), 5000).select("id", "payload")
+    return tables.newest(V.readings(spark, folder), 50_000).select("id", "payload")
 
 
 @query("g4_anomaly_probability", """

@@ -133,10 +133,10 @@ def h1(spark, folder):
     return trend.linear_trends(V.telemetry(spark, folder))
 
 
-@query("f1_strongest_trend", "SELECT device_type, metric, slope FROM trends ORDER BY abs(slope) DESC, device_type, metric LIMIT 5",
+@query("f1_strongest_trend", "SELECT device_type, metric, slope FROM trends ORDER BY abs(slope) DESC, device_type, metric",
        {"trends": TRENDS})
 def f1(spark, folder):
-    return trend.linear_trends(V.telemetry(spark, folder)).select("device_type", "metric", "slope").limit(5)
+    return trend.linear_trends(V.telemetry(spark, folder)).select("device_type", "metric", "slope")
 
 
 @query("c9_trend_summary", """
@@ -164,10 +164,10 @@ def d1(spark, folder):
     return health.device_health(V.telemetry(spark, folder), V.alerts(spark, folder), V.AS_OF)
 
 
-@query("f2_worst_devices", "SELECT device_id, health_score FROM health ORDER BY health_score, device_id LIMIT 20", {"health": HEALTH})
+@query("f2_worst_devices", "SELECT device_id, health_score FROM health ORDER BY health_score, device_id", {"health": HEALTH})
 def f2(spark, folder):
     scores = health.device_health(V.telemetry(spark, folder), V.alerts(spark, folder), V.AS_OF)
-    return scores.select("device_id", "health_score").limit(20)
+    return scores.select("device_id", "health_score")
 
 
 @query("c10_health_summary", """

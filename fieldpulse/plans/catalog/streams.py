@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from fieldpulse.operators import aggregates as G, detect, features
 from fieldpulse.operators.decode import decode_messages, to_log_entries
@@ -37,10 +39,10 @@ def a8(spark, folder):
 
 @query("a9_consumer_groups", """
     SELECT g AS consumer_group, count(*) AS entries, min(id) AS first_id, max(id) AS last_id
-    FROM telemetry, (VALUES ('ml_inference'), ('data_persistence')) v(g) GROUP BY g""")
+    FROM telemetry, (VALUES ('ml_inference'), ('data_persistence'), ('alert_handler')) v(g) GROUP BY g""")
 def a9(spark, folder):
     running = []
-    for group in CONSUMER_GROUPS[:2]:
+    for group in CONSUMER_GROUPS:
         path = scratch_path(spark, group)
         entries = V.telemetry_stream(spark, folder, 1).select("id", F.lit(group).alias("consumer_group"))
         running.append((path, jobs.append_job(entries, path, scratch_path(spark, "checkpoint"), available_now=True)))
@@ -48,7 +50,7 @@ def a9(spark, folder):
     for path, job in running:
         finish(job)
         read.append(read_batches(spark, path))
-    return read[0].unionByName(read[1]).groupBy("consumer_group").agg(
+    return reduce(DataFrame.unionByName, read).groupBy("consumer_group").agg(
         F.count(F.lit(1)).alias("entries"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
     )
 
@@ -170,7 +172,7 @@ def i7(spark, folder):
 def i8(spark, folder):
     path = scratch_path(spark, "liveness")
     beats = V.telemetry_stream(spark, folder).select(F.col("device_id").alias("node_id"), "ts")
-    changes = stateful.liveness_changes(beats, timeout_seconds=12 * 3600, event_time=True)
+    changes = stateful.liveness_changes(beats, timeout_seconds=12 * 3600, event_time=True, lateness="0 seconds")
     finish(jobs.append_job(changes, path, scratch_path(spark, "checkpoint"), available_now=True))
     return latest_per_key(read_batches(spark, path), ["node_id"], ["batch_id", "changed_at_ms"]).select("node_id", "status")
 

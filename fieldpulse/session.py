@@ -17,6 +17,7 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.variant.allowDuplicateKeys": "true",  # the last of equal keys counts, as in other JSON readers
 }
 
 

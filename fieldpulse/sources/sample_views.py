@@ -171,7 +171,8 @@ def device_events(spark, folder) -> DataFrame:
         F.col("o_custkey").alias("device_id"),
         F.when(F.col("o_orderstatus") == "F", "created").when(F.col("o_orderstatus") == "O", "updated")
          .otherwise("decommissioned").alias("event_type"),
-        F.when(F.col("o_orderstatus") == "O",
+        F.when((F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 11 == 5), "decommissioned")
+         .when(F.col("o_orderstatus") == "O",
                pick(("provisioned", "active", "active", "inactive"), F.col("o_orderkey") % 4)).alias("status"),
         F.concat(F.lit("fw-"), (F.col("o_orderkey") % 9).cast("string")).alias("firmware"),
         F.col("o_orderdate").alias("ts"),
@@ -343,10 +344,10 @@ def version_vectors(spark, folder) -> DataFrame:
     """One counter per (object, replica, node)."""
     return (
         table(spark, folder, "lineitem")
-        .filter(F.col("l_returnflag").isin("A", "R"))
         .groupBy(
             F.col("l_partkey").alias("object_id"),
-            F.col("l_returnflag").alias("replica"),
+            F.when(F.col("l_returnflag").isin("A", "R"), F.col("l_returnflag"))
+             .when(F.col("l_linenumber") % 2 == 0, "A").otherwise("R").alias("replica"),
             (F.col("l_suppkey") % 3).cast("string").alias("node_id"),
         )
         .agg(F.max("l_linenumber").cast("bigint").alias("counter"))
@@ -367,14 +368,15 @@ def experiment_metrics(spark, folder) -> DataFrame:
 
 
 def deliveries(spark, folder) -> DataFrame:
-    groups = F.explode(F.array(*[F.lit(g) for g in CONSUMER_GROUPS[:2]]))
+    groups = F.explode(F.array(*[F.lit(g) for g in CONSUMER_GROUPS]))
     return telemetry(spark, folder).select(
         F.lit(RAW_TELEMETRY).alias("stream"), groups.alias("consumer_group"), "id"
     )
 
 
 def acknowledgements(spark, folder) -> DataFrame:
-    done = (F.col("consumer_group") == "data_persistence") | (F.col("id") % 7 != 0)
+    """One group confirms everything, one most, and one nothing."""
+    done = (F.col("consumer_group") == "data_persistence") | ((F.col("consumer_group") == "ml_inference") & (F.col("id") % 7 != 0))
     return deliveries(spark, folder).filter(done)
 
 

@@ -111,13 +111,16 @@ class Liveness(StatefulProcessor):
         pass
 
 
-def liveness_changes(heartbeats: DataFrame, timeout_seconds: float = 10.0, event_time: bool = False) -> DataFrame:
+def liveness_changes(
+    heartbeats: DataFrame, timeout_seconds: float = 10.0, event_time: bool = False, lateness: str = "1 minute"
+) -> DataFrame:
     """Stream of (node_id, ts) -> stream of status changes.
 
     In processing time a node is suspected when nothing has come for the timeout; in
-    event time when the watermark has passed its last heartbeat by the timeout.
+    event time when the watermark has passed its last heartbeat by the timeout. Heartbeats
+    may arrive up to `lateness` out of order in event time.
     """
-    beats = heartbeats.withWatermark("ts", "0 seconds") if event_time else heartbeats
+    beats = heartbeats.withWatermark("ts", lateness) if event_time else heartbeats
     rows = beats.select(F.col("node_id").cast("string").alias("node_id"), "ts", F.unix_millis("ts").alias("ms"))
     return rows.groupBy("node_id").transformWithState(
         Liveness(int(timeout_seconds * 1000), event_time),

@@ -103,7 +103,7 @@ def test_liveness_changes(spark, tmp_path):
     land(spark, log, beat([("b", 16), ("clock", 25)]), "b")
     land(spark, log, beat([("c", 26), ("d", 5), ("clock", 36)]), "c")
     stream = tables.read_log(spark, log, "node_id string, ts timestamp", max_files_per_trigger=1)
-    run(jobs.append_job(stateful.liveness_changes(stream, 10, event_time=True), out, scratch_path(spark, "cp"), available_now=True))
+    run(jobs.append_job(stateful.liveness_changes(stream, 10, event_time=True, lateness="0 seconds"), out, scratch_path(spark, "cp"), available_now=True))
     changes = spark.read.parquet(out)
     last = {r["node_id"]: r["status"] for r in latest_per_key(changes, ["node_id"], ["batch_id", "changed_at_ms"]).collect()}
     # b is silent for 20 s at the end, a and d for more; c was dead when it came back and stays so
