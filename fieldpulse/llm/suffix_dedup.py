@@ -17,7 +17,8 @@ carries the bytes before the anchor back to where the first such string begins.
   anchor is longer than any common prefix are unique; the others are grouped by the hash of
   all their bytes, and every one but those of the smallest id is marked.
 
-The marks, a few numbers for each repeated stretch, are gathered for each document and applied.
+The marks, a few numbers for each repeated stretch, are gathered for each document and applied:
+sent to the texts if they are small enough, else joined with them by one exchange of the texts.
 
 Defined cases: NULL or empty texts have no bytes; texts shorter than LENGTH are kept; rows with
 a NULL id are kept whole and remove nothing; rows of equal id count as one document and are
@@ -37,13 +38,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from fieldpulse.llm import text as texts
 from fieldpulse.llm.registry import query, table
+from fieldpulse.session import materialize
 
 LENGTH = 50
 GRAM = 12
 SPAN = LENGTH - GRAM + 1  # grams in a string
 LEFT = LENGTH - GRAM  # most bytes before an anchor
-RUN_SUFFIXES = 400_000  # suffixes in a run
-BIN_BYTES = 10 << 20  # bytes of text whose suffixes share a bin, on average
+RUN_SUFFIXES = 300_000  # suffixes in a run
+BIN_BYTES = 6 << 20  # bytes of text whose suffixes share a bin, on average
+GROUPED = 20_000  # suffixes whose strings are grouped together, on average
+BROADCAST_BYTES = 32 << 20  # marks up to this size are sent to the texts; beyond it, texts and marks are exchanged
 SAMPLE_ROWS = 2_000  # rows that the bins' boundaries are drawn from, on average
 PLACE_BITS = 24  # a place within a block; longer texts are worked through in overlapping pieces
 PIECE = 8 << 20
@@ -90,6 +94,11 @@ def _anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return anchor[new], starts[new], starts[last]
 
 
+def _planes(numbers: np.ndarray) -> np.ndarray:
+    """First all lowest bytes, then all second ones and so on: the high ones, mostly alike, compress well."""
+    return np.ascontiguousarray(numbers.astype(np.int64).view(np.uint8).reshape(-1, 8).T)
+
+
 class Run:
     """Suffixes of a block in order: `key` (zero-padded rows), its length, the bytes before, document and place."""
 
@@ -109,7 +118,12 @@ class Run:
             left_hash += self.left[:, i] * factors[i]
         left_hash = texts.mix(left_hash ^ self.left_size)
         words = self.key.view(">u8").astype(np.uint64)
-        order = np.lexsort((doc, left_hash, self.size, *[words[:, i] for i in reversed(range(words.shape[1]))]))
+        order = np.argsort(words[:, 0], kind="stable")
+        same = words[order[1:], 0] == words[order[:-1], 0]
+        tied = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
+        rows = order[tied]  # only suffixes with equal first words need the other keys
+        rest = [words[rows, i] for i in reversed(range(words.shape[1]))]
+        order[tied] = rows[np.lexsort((doc[rows], left_hash[rows], self.size[rows], *rest))]
         for name in ("size", "left_size", "key", "left", "doc", "place"):
             setattr(self, name, getattr(self, name)[order])
         self.head = words[order, 0]
@@ -157,7 +171,7 @@ class Run:
             rest = self.key[a:b][(columns >= shared[:, None]) & (columns < size[:, None])]
             left = self.left[a:b][np.arange(LEFT) >= LEFT - left_size[:, None].astype(np.int64)]
             parts = [np.array([b - a, len(rest), len(left)], np.int64), shared.astype(np.uint8), size, left_size,
-                     self.doc[a:b].astype(np.int64), self.place[a:b].astype(np.int64), rest, left]
+                     _planes(self.doc[a:b]), _planes(self.place[a:b]), rest, left]
             raw = b"".join(p.tobytes() for p in parts)
             yield int(bins[a]), len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
@@ -168,10 +182,11 @@ def _unpacked(blob: bytes) -> tuple:
     n, n_rest, n_left = np.frombuffer(raw, np.int64, 3).tolist()
     at = 24
     columns = []
-    for kind, count in ((np.uint8, n), (np.uint8, n), (np.uint8, n), (np.int64, n), (np.int64, n), (np.uint8, n_rest), (np.uint8, n_left)):
-        columns.append(np.frombuffer(raw, kind, count, at))
-        at += count * np.dtype(kind).itemsize
+    for count in (n, n, n, 8 * n, 8 * n, n_rest, n_left):
+        columns.append(np.frombuffer(raw, np.uint8, count, at))
+        at += count
     shared, size, left_size, doc, place, rest, left = columns
+    doc, place = (np.ascontiguousarray(x.reshape(8, -1).T).view(np.int64).ravel() for x in (doc, place))
     body = rest.tobytes()
     suffixes, before, begin = [], b"", 0
     for common, new in zip(shared.tolist(), (size - shared).tolist(), strict=True):
@@ -245,14 +260,8 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], list[in
                 # the waiting player is nearer to the last winner
                 player, loser[node] = loser[node], player
                 common[node], shared = shared, known
-            elif known == shared:
-                if known < 0:
-                    pass
-                else:
-                    won, lost, known = play(player, loser[node], shared)
-                    if won != player:
-                        player, loser[node] = won, lost
-                    common[node] = known
+            elif known == shared >= 0:
+                player, loser[node], common[node] = play(player, loser[node], known)
             node >>= 1
         winner = player
     return order, out
@@ -280,29 +289,40 @@ def _bin_marks(blobs: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     # a string with r bytes before the anchor has LENGTH - r behind it
     low = np.maximum(LENGTH - size, LENGTH - reach)
     chosen = np.flatnonzero(low <= left_size)
-    if not len(chosen):
-        return nothing, nothing, nothing
-    run_of = order[chosen]
     suffixes = [p[0] for p in pieces]
-    local = (row[chosen] - begin_of[run_of]).tolist()
-    tails = [suffixes[r][i] for r, i in zip(run_of.tolist(), local, strict=True)]
-    whole = b"".join(
-        x for t, a, n in zip(tails, left_at[chosen].tolist(), left_size[chosen].tolist(), strict=True) for x in (left[a : a + n].tobytes(), t)
-    )
-    total = left_size[chosen] + size[chosen]
-    anchor = np.cumsum(total) - total + left_size[chosen]
-    n_strings = left_size[chosen] - low[chosen] + 1
-    owner = np.repeat(np.arange(len(chosen)), n_strings)
-    before = np.arange(n_strings.sum()) - np.repeat(np.cumsum(n_strings) - n_strings, n_strings) + low[chosen][owner]
-    hashes = texts.hashes_of(np.frombuffer(whole, np.uint8), anchor[owner] - before, anchor[owner] - before + LENGTH)
-    docs = doc[chosen][owner]
-    by_hash = np.argsort(hashes, kind="stable")
+    found = []
+    # equal strings have equal anchors, so groups of strings can be closed wherever the gram changes
+    gram = np.cumsum(shared[:-1] < GRAM)[chosen]
+    begin = 0
+    while begin < len(chosen):
+        end = min(begin + GROUPED, len(chosen))
+        end = int(np.searchsorted(gram, gram[end - 1], side="right"))
+        part = chosen[begin:end]
+        tails = [suffixes[r][i] for r, i in zip(order[part].tolist(), (row[part] - begin_of[order[part]]).tolist(), strict=True)]
+        fronts = [left[a : a + n].tobytes() for a, n in zip(left_at[part].tolist(), left_size[part].tolist(), strict=True)]
+        found.append(_group_marks(fronts, tails, low[part], doc[part], place[part]))
+        begin = end
+    return _joined(*[np.concatenate([nothing, *[f[i] for f in found]]) for i in range(3)])
+
+
+def _group_marks(fronts: list[bytes], tails: list[bytes], low: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple:
+    """(doc, begin, end) of the strings, with `low` bytes or more before the anchor, that a smaller document has as well."""
+    whole = np.frombuffer(b"".join(x for pair in zip(fronts, tails, strict=True) for x in pair), np.uint8)
+    left_size, size = np.array([len(x) for x in fronts]), np.array([len(x) for x in tails])
+    anchor = np.cumsum(left_size + size) - size
+    n_strings = left_size - low + 1
+    owner = np.repeat(np.arange(len(low)), n_strings)
+    before = np.arange(n_strings.sum()) - np.repeat(np.cumsum(n_strings) - n_strings, n_strings) + low[owner]
+    begin = anchor[owner] - before
+    hashes = texts.hashes_of(whole, begin, begin + LENGTH)
+    docs = doc[owner]
+    by_hash = np.argsort(hashes)
     new = np.ones(len(hashes), bool)
     new[1:] = hashes[by_hash][1:] != hashes[by_hash][:-1]
     smallest = np.minimum.reduceat(docs[by_hash], np.flatnonzero(new))[np.cumsum(new) - 1]
     gone = by_hash[docs[by_hash] > smallest]
-    begin = place[chosen][owner[gone]] - before[gone]
-    return _joined(docs[gone], begin, begin + LENGTH)
+    start = place[owner[gone]] - before[gone]
+    return _joined(docs[gone], start, start + LENGTH)
 
 
 def _joined(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -322,7 +342,7 @@ def _joined(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, offsets, document, place of its first byte in the document) of blocks; long texts in overlapping pieces."""
-    for batch in texts.blocks(batches, limit=min(texts.BLOCK_BYTES, PIECE)):
+    for batch in texts.blocks(batches, limit=min(texts.BLOCK_BYTES // 2, PIECE)):
         data, offsets = texts.joined(batch.column(1))
         docs = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         if len(data) <= PIECE:
@@ -428,8 +448,11 @@ def remove_repeats(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
     """One row for every row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, `kept` (the bytes that stay)."""
     body = docs.select(F.col(row_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     found = marks(body.filter("doc_id IS NOT NULL"))
-    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("_marks"))
-    both = body.join(by_doc.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "_marks")
+    by_doc = materialize(found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("_marks")), "marks")
+    n_docs, n_marks = by_doc.agg(F.count(F.lit(1)), F.sum(F.size("_marks"))).first()
+    small = 64 * n_docs + 40 * (n_marks or 0) <= BROADCAST_BYTES
+    by_doc = F.broadcast(by_doc) if small else by_doc.hint("shuffle_hash")
+    both = body.join(by_doc, "doc_id", "left").select("doc_id", "text", "_marks")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in texts.blocks(batches):
