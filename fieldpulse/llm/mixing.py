@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldpulse.llm import text as texts
-from fieldpulse.llm.quality_model import HASHED, N_STATS, encode
+from fieldpulse.llm.quality_model import N_STATS, encode
 from fieldpulse.llm.registry import query, table
 from fieldpulse.session import materialize
 
@@ -50,7 +50,7 @@ def domain_of_labels() -> Column:
 
 def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean passage of each text, the word buckets of all texts, and the first word of each."""
-    passages, first = encode(batch)
+    passages, first = encode(batch, hashed=0)
     dense = np.add.reduceat(passages, first[:-1], axis=0) / np.diff(first)[:, None]
     words = texts.Words(*texts.joined(batch.column(batch.schema.get_field_index("text"))), texts.PUNCTUATION)
     return dense, (words.hashes() >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), words.first
@@ -62,8 +62,8 @@ class SoftDomains:
     def __init__(self, domains: Sequence[str]):
         self.domains = list(domains)
         k = len(self.domains)
-        self.mean, self.scale = np.zeros(N_STATS + HASHED), np.ones(N_STATS + HASHED)
-        self.dense, self.words = np.zeros((N_STATS + HASHED, k)), np.zeros((1 << BUCKET_BITS, k))
+        self.mean, self.scale = np.zeros(N_STATS), np.ones(N_STATS)
+        self.dense, self.words = np.zeros((N_STATS, k)), np.zeros((1 << BUCKET_BITS, k))
         self.bias = np.zeros(k)
 
     def posteriors(self, dense: np.ndarray, buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -120,7 +120,7 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: Sequence[str] = DOMAINS
     kind = sample.schema["id"].dataType.simpleString()
     found = sample.select("id", "domain", "text").mapInArrow(run, f"id {kind}, domain string, dense binary, bag binary").collect()
     found.sort(key=lambda r: (r["id"], bytes(r["bag"])))
-    dense = np.array([np.frombuffer(bytes(r["dense"]), np.float32) for r in found]).reshape(len(found), N_STATS + HASHED)
+    dense = np.array([np.frombuffer(bytes(r["dense"]), np.float32) for r in found]).reshape(len(found), N_STATS)
     bags = [np.frombuffer(bytes(r["bag"]), np.uint16) for r in found]
     first = np.concatenate([[0], np.cumsum([len(b) for b in bags])]).astype(np.int64)
     buckets = np.concatenate(bags).astype(np.int64) if bags else np.zeros(0, np.int64)

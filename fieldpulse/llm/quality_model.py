@@ -41,8 +41,11 @@ N_STATS = len(CLASSES) + 7
 _class_of = {name: np.isin(np.arange(256), list(members)) for name, members in CLASSES.items()}
 
 
-def encode(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """One row for each passage of the block, and the first passage of each text (at least one each)."""
+def encode(batch: pa.RecordBatch, hashed: int = HASHED) -> tuple[np.ndarray, np.ndarray]:
+    """One row for each passage of the block, and the first passage of each text (at least one each).
+
+    A row has N_STATS surface statistics and `hashed` dimensions of the hashed bag of words.
+    """
     data, offsets = texts.joined(batch.column(batch.schema.get_field_index("text")))
     words = texts.Words(data, offsets)
     hashes = words.hashes()
@@ -54,7 +57,7 @@ def encode(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     low = words.first[:-1][of_text] + number * PASSAGE_WORDS
     high = np.minimum(low + PASSAGE_WORDS, words.first[1:][of_text])
     count = high - low
-    out = np.zeros((first[-1], N_STATS + HASHED), np.float32)
+    out = np.zeros((first[-1], N_STATS + hashed), np.float32)
     filled = np.flatnonzero(count)
     if len(filled):
         a, b = words.begin[low[filled]], words.end[high[filled] - 1]
@@ -75,9 +78,9 @@ def encode(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         out[filled, at + 3] = _sums(same, starts, high[filled]) / n
         out[filled, at + 4] = _distinct(hashes, starts, high[filled]) / n
         out[filled, at + 5] = np.log1p(n) / 4
-        signs = np.ascontiguousarray(((hashes[:, None] >> np.arange(HASHED, dtype=np.uint64)) & np.uint64(1)).astype(np.int8) * 2 - 1)
-        for j in range(HASHED):
-            out[filled, N_STATS + j] = _sums(signs[:, j].astype(np.float32), starts, high[filled]) / n
+        for j in range(hashed):
+            sign = ((hashes >> np.uint64(j)) & np.uint64(1)).astype(np.float32) * 2 - 1
+            out[filled, N_STATS + j] = _sums(sign, starts, high[filled]) / n
     out[:, N_STATS - 1] = np.log1p(np.repeat(n_words, n_passages)) / 10
     return out, first
 
