@@ -94,8 +94,10 @@ def to_log_entries(readings: DataFrame) -> DataFrame:
     )
 
 
-def from_log_entries(entries: DataFrame) -> DataFrame:
+def from_log_entries(entries: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
+    """Readings from log entries, with the entries' columns `keep` beside them."""
     return entries.select(
+        *keep,
         "id", "device_id", "device_type",
         parse_timestamp(F.col("timestamp")).alias("ts"),
         P.unwrap_json("payload", F.col("payload")).alias("payload"),

@@ -120,6 +120,7 @@ def score_forest(vectors: DataFrame, forest: Forest) -> DataFrame:
 
 def reconstruction_errors(vectors: DataFrame, id_column: str = "id", k: int | None = None) -> DataFrame:
     """(id, error): mean squared difference from the projection on the first k principal components."""
+    vectors = materialize(vectors.select(id_column, "features"), "vectors")
     width = len(vectors.select("features").first()[0])
     k = min(k or max(width // 2, 2), width)
     points = vectors.select(id_column, array_to_vector("features").alias("raw"))

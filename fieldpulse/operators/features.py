@@ -10,6 +10,7 @@ from fieldpulse.operators.hot_keys import MAX_ROWS_PER_SLOT, with_recent
 from fieldpulse.operators.ranking import is_in_first, row_at_rank
 from fieldpulse.schemas import FEATURE_WIDTH, FEATURE_WINDOW, MAX_TRAINING_WIDTH
 from fieldpulse.session import materialize
+from fieldpulse.sources.tables import newest
 
 
 def sliding_device_stats(readings: DataFrame, size: int = FEATURE_WINDOW, max_rows: int = MAX_ROWS_PER_SLOT) -> DataFrame:
@@ -37,14 +38,15 @@ def feature_vectors(readings: DataFrame, size: int = FEATURE_WINDOW, max_rows: i
 
 
 def training_matrix(readings: DataFrame) -> DataFrame:
-    """(id, features): numbers of the payload and of its nested objects, z-scored per position.
+    """(id, ts, features): numbers of the payload and of its nested objects, z-scored per position.
 
     Rows without numbers are dropped. The payloads are parsed once and the numbers
     written to the shared folder, because two passes need them: the moments of all
     positions come from one aggregation to one row, which then reaches the rows as a
     scalar subquery.
     """
-    parsed = readings.select("id", numeric_values(F.col("payload"), nested=True).alias("_v"))
+    kept = [c for c in ("id", "ts") if c in readings.columns]
+    parsed = readings.select(*kept, numeric_values(F.col("payload"), nested=True).alias("_v"))
     rows = materialize(parsed, "training-values").filter(F.size("_v") > 0)
     padded = pad(F.col("_v"), MAX_TRAINING_WIDTH)
     at = lambda i: F.get(F.col("_p"), F.lit(i))
@@ -57,11 +59,22 @@ def training_matrix(readings: DataFrame) -> DataFrame:
         )
         .select(F.struct("width", "mean", "std"))
     )
-    scored = rows.select("id", padded.alias("_p"), moments.scalar().alias("_m"))
+    scored = rows.select(*kept, padded.alias("_p"), moments.scalar().alias("_m"))
     m = F.col("_m")
     std = lambda i: F.when(F.get(m["std"], i) == 0, 1.0).otherwise(F.get(m["std"], i))
     z = F.transform(F.slice("_p", F.lit(1), m["width"]), lambda x, i: (x - F.get(m["mean"], i)) / std(i))
-    return scored.select("id", z.alias("features"))
+    return scored.select(*kept, z.alias("features"))
+
+
+def training_set(readings: DataFrame, newest_rows: int = 50_000, share: float = 0.8, ratio: float = 0.05) -> DataFrame:
+    """(id, ts, features, split, label): the newest readings as a matrix, split in time order.
+
+    Rows without numbers are dropped before the split. Only validation rows have a label: 1 for
+    the share `ratio` of them with the largest variance.
+    """
+    split = materialize(ordered_split(training_matrix(newest(readings, newest_rows)), share=share), "training-set")
+    labelled = variance_labels(split.filter("split = 'validation'"), ratio).drop("variance")
+    return split.filter("split = 'train'").withColumn("label", F.lit(None).cast("int")).unionByName(labelled)
 
 
 def ordered_split(df: DataFrame, ts: str = "ts", tie_break: str = "id", share: float = 0.8) -> DataFrame:

@@ -217,6 +217,24 @@ def h4(spark, folder):
     return features.ordered_split(V.readings(spark, folder)).select("id", "split")
 
 
+@query("h4_training_set", """
+    WITH newest AS (SELECT * FROM readings ORDER BY ts DESC, id DESC LIMIT 50000),
+    numbered AS (SELECT r.id, row_number() OVER (ORDER BY n.ts DESC, n.id DESC) AS rn, count(*) OVER () AS total
+                 FROM rows_ r JOIN newest n ON n.id = r.id),
+    split AS (SELECT id, CASE WHEN rn <= floor(total * 0.8::DOUBLE) THEN 'train' ELSE 'validation' END AS split FROM numbered),
+    spread AS (SELECT c.id, var_pop((x - m) / CASE WHEN s = 0 THEN 1 ELSE s END) AS v
+               FROM cells c JOIN moments USING (position) GROUP BY c.id),
+    ranked AS (SELECT id, row_number() OVER (ORDER BY v, id) AS rn, count(*) OVER () AS total
+               FROM split JOIN spread USING (id) WHERE split = 'validation')
+    SELECT s.id, s.split, CASE WHEN s.split = 'validation' THEN CASE WHEN r.rn <= floor(r.total * 0.95::DOUBLE) THEN 0 ELSE 1 END END AS label
+    FROM split s LEFT JOIN ranked r USING (id)""",
+       {**MATRIX, "rows_": f"""
+    SELECT id, vals FROM (SELECT id, {nested_numbers()} AS vals FROM
+        (SELECT * FROM readings ORDER BY ts DESC, id DESC LIMIT 50000)) WHERE len(vals) > 0"""})
+def h4_training_set(spark, folder):
+    return features.training_set(V.readings(spark, folder)).select("id", "split", "label")
+
+
 def embeddings(spark, folder):
     return V.table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features")

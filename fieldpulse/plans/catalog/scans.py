@@ -66,10 +66,9 @@ def a5(spark, folder):
     FROM readings""")
 def a6(spark, folder):
     readings = V.readings(spark, folder).withColumn("metadata", F.lit("{}"))
-    entries = decode.to_log_entries(readings)
-    back = decode.from_log_entries(entries)
-    written = entries.select("id", "timestamp", F.col("payload").alias("entry"))
-    return written.join(back.select("id", "device_id", "ts", "payload"), "id")
+    entries = decode.to_log_entries(readings).withColumn("entry", F.col("payload"))
+    back = decode.from_log_entries(entries, keep=["timestamp", "entry"])
+    return back.select("id", "timestamp", "entry", "device_id", "ts", "payload")
 
 
 @query("a7_batch_ingest", """

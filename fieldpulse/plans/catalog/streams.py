@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from fieldpulse.functions.scalar import alert_severity
 from fieldpulse.operators import aggregates as G, detect, features
 from fieldpulse.operators.decode import decode_messages, to_log_entries
 from fieldpulse.operators.windows import latest_per_key
@@ -33,8 +34,8 @@ def read_batches(spark, path):
 def a8(spark, folder):
     path = scratch_path(spark, "stream")
     stream = V.telemetry_stream(spark, folder).drop("payload")
-    finish(jobs.append_job(stream, path, scratch_path(spark, "checkpoint"), available_now=True))
-    return read_batches(spark, path).drop("batch_id")
+    finish(jobs.append_job(stream, path, scratch_path(spark, "checkpoint"), "ts", available_now=True))
+    return read_batches(spark, path).drop("batch_id", "date")
 
 
 @query("a9_consumer_groups", """
@@ -94,9 +95,9 @@ def i3(spark, folder):
     results, alerts = scratch_path(spark, "results"), scratch_path(spark, "alerts")
     vectors = stateful.stateful_features(V.readings_of(V.telemetry_stream(spark, folder)))
     finish(jobs.scoring_job(vectors, forest, results, alerts, scratch_path(spark, "checkpoint"), available_now=True))
-    flagged = read_batches(spark, alerts).select("device_id", "ts", "severity")
-    return read_batches(spark, results).join(flagged, ["device_id", "ts"], "left").select(
-        "id", "device_id", "features", "anomaly_score", "severity"
+    # severity follows from the score, so the alerts need not be joined back
+    return read_batches(spark, results).select(
+        "id", "device_id", "features", "anomaly_score", alert_severity(F.col("anomaly_score")).alias("severity")
     )
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation, functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from fieldpulse.session import materialize
+
 WRITE_MODES = ("append", "overwrite", "ignore", "error")
 
 
@@ -46,8 +48,17 @@ def export_csv(df: DataFrame, path: str, summary: DataFrame | None = None) -> No
     out.write.option("header", True).csv(path)
 
 
-def ingest_batch(readings: DataFrame, path: str, reason: str = "reject_reason") -> dict[str, int]:
-    """Append the accepted readings; the counts come from the same pass as the write."""
+def ingest_batch(
+    readings: DataFrame, path: str, reason: str = "reject_reason", rejected_path: str | None = None
+) -> dict[str, int]:
+    """Append the accepted readings; the counts come from the same pass as the write.
+
+    With `rejected_path` the rejected ones are appended there with their reasons, from the
+    same judged rows, which are written to the shared folder first.
+    """
+    if rejected_path:
+        readings = materialize(readings, "judged")
+        write_table(readings.filter(F.col(reason).isNotNull()), rejected_path, "append")
     seen = Observation("ingest")
     accepted = (
         readings.observe(

@@ -1,7 +1,8 @@
 """Continuous queries. Each has its own checkpoint; each batch is written under its batch number.
 
 A batch that is repeated after a failure replaces what its first attempt wrote,
-so sinks hold every batch exactly once.
+so sinks hold every batch exactly once. Readings and scores are kept by day and
+batch, so that a time range prunes folders; `compact_days` gathers a closed day.
 """
 
 from __future__ import annotations
@@ -19,15 +20,38 @@ from fieldpulse.sources.sinks import split_bad_records
 from fieldpulse.sources.tables import spread
 
 FLUSH_SECONDS = 5
+NO_DAY = "1970-01-01"
 
 
 def batch_folder(path: str, batch_id: int) -> str:
     return f"{path}/batch_id={batch_id}"
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Append that can be repeated: the folder of this batch is replaced."""
-    df.write.mode("overwrite").parquet(batch_folder(path, batch_id))
+def write_batch(df: DataFrame, path: str, batch_id: int, ts: str | None = None) -> None:
+    """Append that can be repeated: the folder of this batch is replaced.
+
+    With `ts` the batch is split by day, `date=.../batch_id=...`, and only the folders it
+    writes are replaced. The first batch also leaves an empty folder, so that a table
+    nothing was written to can be read.
+    """
+    if ts is None:
+        df.write.mode("overwrite").parquet(batch_folder(path, batch_id))
+        return
+    if batch_id == 0:
+        df.limit(0).write.mode("overwrite").parquet(batch_folder(f"{path}/date={NO_DAY}", batch_id))
+    dated = df.withColumn("date", F.to_date(ts)).withColumn("batch_id", F.lit(batch_id))
+    by_day = dated.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch_id")
+    by_day.parquet(path)
+
+
+def compact_days(batches: DataFrame, target: str, first: str, last: str) -> None:
+    """Gather the closed days `first` to `last` of a table kept by day and batch into one kept by day.
+
+    A repeated run replaces the same days.
+    """
+    closed = batches.filter(F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date"))).drop("batch_id")
+    gathered = closed.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    gathered.partitionBy("date").parquet(target)
 
 
 def start(
@@ -43,9 +67,9 @@ def start(
     return writer.trigger(**trigger).start()
 
 
-def append_job(stream: DataFrame, path: str, checkpoint: str, **how) -> StreamingQuery:
-    """Append a stream to a table in micro-batches; confirmed only after the batch is written."""
-    return start(stream, lambda df, n: write_batch(df, path, n), checkpoint, **how)
+def append_job(stream: DataFrame, path: str, checkpoint: str, ts: str | None = None, **how) -> StreamingQuery:
+    """Append a stream to a table in micro-batches, by day of `ts`; confirmed only after the batch is written."""
+    return start(stream, lambda df, n: write_batch(df, path, n, ts), checkpoint, **how)
 
 
 def ingest_job(messages: DataFrame, good: str, quarantine: str, checkpoint: str, **how) -> StreamingQuery:
@@ -55,7 +79,7 @@ def ingest_job(messages: DataFrame, good: str, quarantine: str, checkpoint: str,
         checked = ingest(spread(df)).persist()
         try:
             accepted, rejected = split_bad_records(checked)
-            write_batch(accepted, good, n)
+            write_batch(accepted, good, n, "ts")
             write_batch(rejected, quarantine, n)
         finally:
             checked.unpersist()
@@ -65,7 +89,7 @@ def ingest_job(messages: DataFrame, good: str, quarantine: str, checkpoint: str,
 
 def persist_job(entries: DataFrame, path: str, checkpoint: str, **how) -> StreamingQuery:
     """Log entries to the readings table."""
-    return append_job(from_log_entries(entries), path, checkpoint, **how)
+    return append_job(from_log_entries(entries), path, checkpoint, "ts", **how)
 
 
 def scoring_job(
@@ -82,7 +106,7 @@ def scoring_job(
     def on_batch(df: DataFrame, n: int) -> None:
         scored = score_forest(df, forest).persist()
         try:
-            write_batch(scored, results, n)
+            write_batch(scored, results, n, "ts")
             write_batch(emit_alerts(scored, forest.version, threshold), alerts, n)
         finally:
             scored.unpersist()

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from conftest import as_dicts
 from fieldpulse.operators import decode, detect, features, lifecycle, merge, trend, windows
 from fieldpulse.schemas import RAW_MESSAGE, READING
+from fieldpulse.session import scratch_path
+from fieldpulse.sources import sinks
 
 NOW = datetime(2024, 1, 31)
 
@@ -104,3 +106,20 @@ def test_silent_group_has_a_backlog(spark):
     groups = spark.createDataFrame([("s", "g"), ("s", "h")], "stream string, consumer_group string")
     got = {r["consumer_group"]: r["backlog"] for r in merge.stream_backlog(published, consumed, groups).collect()}
     assert got == {"g": 6, "h": 10}
+
+
+def test_rejected_readings_are_kept_with_their_reasons(spark):
+    rows = [(i, "bad" if i % 3 == 0 else None) for i in range(9)]
+    good, bad = scratch_path(spark, "good"), scratch_path(spark, "bad")
+    counts = sinks.ingest_batch(spark.createDataFrame(rows, "id int, reject_reason string"), good, rejected_path=bad)
+    assert counts == {"accepted": 6, "rejected": 3}
+    assert sorted(tuple(r) for r in spark.read.parquet(bad).collect()) == [(0, "bad"), (3, "bad"), (6, "bad")]
+    assert spark.read.parquet(good).columns == ["id"]
+
+
+def test_training_set_splits_only_rows_with_numbers(spark):
+    rows = [(i, "d", "t", NOW + timedelta(seconds=i), '{"a":%d}' % i if i % 2 else '{"s":"x"}', "{}") for i in range(40)]
+    out = features.training_set(spark.createDataFrame(rows, READING), newest_rows=30).collect()
+    assert sorted(r["id"] for r in out) == list(range(11, 40, 2))
+    assert sorted(r["id"] for r in out if r["split"] == "validation") == [11, 13, 15]
+    assert all((r["label"] is None) == (r["split"] == "train") for r in out)

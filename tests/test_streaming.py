@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from conftest import as_dicts
 from fieldpulse.operators import features
+from fieldpulse.operators.decode import to_log_entries
+from fieldpulse.operators.filters import time_range
 from fieldpulse.operators.windows import latest_per_key
 from fieldpulse.session import scratch_path
 from fieldpulse.sources import sample_views as V, tables
@@ -132,3 +134,23 @@ def test_live_feed(spark, folder):
     rows = as_dicts(tables.live_feed(V.telemetry(spark, folder), V.alerts(spark, folder), 990, 995))
     assert sorted(r["id"] for r in rows if r["kind"] == "reading") == list(range(991, 1000))
     assert all(r["stream_length"] == 1000 for r in rows)
+
+
+def test_persisted_readings_are_pruned_by_day_and_survive_a_restart(spark, folder, tmp_path):
+    readings = V.readings(spark, folder).withColumn("device_id", F.col("device_id").cast("string")).withColumn("metadata", F.lit("{}"))
+    entries = to_log_entries(readings)
+    log, out, checkpoint = str(tmp_path / "log"), scratch_path(spark, "persisted"), scratch_path(spark, "cp")
+    schema = entries.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+    for n in range(2):
+        land(spark, log, entries.filter(F.col("id") % 2 == n), f"part{n}")
+        run(jobs.persist_job(tables.read_log(spark, log, schema), out, checkpoint, available_now=True))
+    written = spark.read.parquet(out)
+    assert written.count() == readings.count() and written.select("batch_id").distinct().count() == 2
+    day = time_range(written, "2024-01-05 00:00:00", "2024-01-05 23:59:59")
+    text = day._jdf.queryExecution().executedPlan().toString()
+    assert "date" in text.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+    assert day.count() == readings.filter(F.to_date("ts") == "2024-01-05").count() > 0
+    whole = scratch_path(spark, "compacted")
+    for _ in range(2):
+        jobs.compact_days(written, whole, "2024-01-05", "2024-01-06")
+    assert spark.read.parquet(whole).count() == readings.filter(F.to_date("ts").between("2024-01-05", "2024-01-06")).count()
