@@ -103,24 +103,30 @@ class Bands:
             for share_two in (0.0, 0.1, 0.25):
                 out, two = int(need * share_out), int(need * share_two)
                 units = need + out
-                mean = size * (1 - share) / units
-                counts = np.arange(0, 40)
-                logs = counts * math.log(mean) - mean - np.array([math.lgamma(c + 1) for c in counts])
-                poisson = np.exp(logs)
                 single, kept = units - 2 * two, units - 2 * two - out
                 if kept < 0:
                     continue
-                # the left-out segments are those with the fewest shingles
-                spare = max(0.0, out / single if single else 0.0)
-                gone = np.clip(np.cumsum(poisson) - spare, 0, poisson)
+                mean = size * (1 - share) / units
+                one, double = Bands._poisson(mean), Bands._poisson(2 * mean)
+                counts = np.arange(len(one))
                 alike = n_sets * overlap ** counts.astype(float)
-                candidates = single * (gone * alike).sum() + two * (1 + 2 * mean) * n_sets * overlap ** max(2 * mean - 1, 0)
+                # the left-out segments are those with the fewest rare shingles
+                spare = out / single if single else 0.0
+                left = np.diff(np.concatenate([[0.0], np.maximum(np.cumsum(one) - spare, 0.0)]))
+                # a segment of weight 2 meets others by all its shingles and by all but one
+                by_deletion = counts * np.concatenate([[0.0], alike[:-1]])
+                candidates = single * (left * alike).sum() + two * (double * (alike + by_deletion)).sum()
                 entries = kept + two * (1 + 2 * size / units)
                 cost = entries + CANDIDATE_COST * candidates
                 if best is None or cost < best[0]:
                     best = (cost, out, two)
         return best[1], best[2]
 
+    @staticmethod
+    def _poisson(mean: float) -> np.ndarray:
+        counts = np.arange(0, 60)
+        return np.exp(counts * math.log(max(mean, 1e-9)) - mean - np.array([math.lgamma(c + 1) for c in counts]))
+
     def is_frequent(self, found: np.ndarray) -> np.ndarray:
         if not len(self.frequent):
             return np.zeros(len(found), bool)
@@ -393,7 +399,7 @@ def _frequent(docs: DataFrame, n_rows: int) -> tuple[np.ndarray, float, float]:
     if not total:
         return frequent, 0.0, 0.0
     overlap = float(shared or 0) / max(float(rare_total or 0) * (n_rows / every), 1.0)
-    return frequent, min(0.5, overlap), min(0.9, 2 * (1 - float(rare_total or 0) / float(total)))
+    return frequent, min(0.5, overlap), min(0.6, 2 * (1 - float(rare_total or 0) / float(total)))
 
 
 def join_components(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
