@@ -34,6 +34,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from fieldpulse.llm import text as texts
@@ -429,6 +430,23 @@ def marks(docs: DataFrame) -> DataFrame:
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
+SPANS = "array<struct<begin:bigint,end:bigint>>"
+
+
+def _merge_marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Touching marks of each document made one; they come in order of their begins."""
+    for batch in batches:
+        lists = batch.column(1)
+        owner = np.repeat(np.arange(len(lists)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+        flat = lists.flatten()
+        begin, end = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        owner, begin, end = _joined(owner, begin, end)
+        offsets = np.searchsorted(owner, np.arange(len(lists) + 1)).astype(np.int32)
+        spans = pa.StructArray.from_arrays([pa.array(begin, pa.int64()), pa.array(end, pa.int64())], names=["begin", "end"])
+        merged = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)
+        yield pa.RecordBatch.from_arrays([batch.column(0), merged], names=["doc_id", "_marks"])
+
+
 def _cut(raw: bytes, found: list[dict] | None) -> tuple[bytes, int]:
     """The bytes that stay and the number of maximal removed runs."""
     spans: list[list[int]] = []
@@ -448,7 +466,8 @@ def remove_repeats(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
     """One row for every row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, `kept` (the bytes that stay)."""
     body = docs.select(F.col(row_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     found = marks(body.filter("doc_id IS NOT NULL"))
-    by_doc = materialize(found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("_marks")), "marks")
+    gathered = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("_marks"))
+    by_doc = materialize(gathered.mapInArrow(_merge_marks, f"doc_id bigint, _marks {SPANS}"), "marks")
     n_docs, n_marks = by_doc.agg(F.count(F.lit(1)), F.sum(F.size("_marks"))).first()
     small = 64 * n_docs + 40 * (n_marks or 0) <= BROADCAST_BYTES
     by_doc = F.broadcast(by_doc) if small else by_doc.hint("shuffle_hash")
