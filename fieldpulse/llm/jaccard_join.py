@@ -93,6 +93,7 @@ class Bands:
         a, b = SIMILARITY
         # |x - y| + |y - x| <= (b - a) / (a + b) * (|x| + |y|) for similar sets
         self.need = [(b - a) * 2 * (high - 1) // (a + b) + 1 for high in self.low[1:]]
+        self.parts, self.first = np.ones(len(self.need), np.int64), np.arange(len(self.need) + 1)
         self.choice = [self._choose(need, low, n_sets, overlap, share) for need, low in zip(self.need, self.low[:-1], strict=True)]
 
     @staticmethod
@@ -133,13 +134,34 @@ class Bands:
         at = np.minimum(np.searchsorted(self.frequent, found), len(self.frequent) - 1)
         return self.frequent[at] == found
 
-    def of(self, size: int) -> int:
+    def spread(self, sizes: list[tuple[float, int]]) -> int:
+        """Give every band its own bins, from (size, number of sets); the number of all bins.
+
+        A pair of sets shares many entries of at most two bands; in bins by band it comes up in
+        few bins, in bins by entry alone it would come up in nearly all of them.
+        """
+        load = np.zeros(len(self.need))
+        for size, n in sizes:
+            band = self.of(size)
+            load[band] += 16.0 * n * self.need[band]
+            load[band + 1] += 16.0 * n * self.need[band + 1]
+        self.parts = np.maximum(1, np.ceil(load / BIN_BYTES)).astype(np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.parts)])
+        return int(self.first[-1])
+
+    def of(self, size: float) -> int:
         return int(np.searchsorted(self.low, size, side="right")) - 1
 
     def entries(self, found: np.ndarray) -> np.ndarray:
         """All index entries of one set: those of its own band and of the next."""
+        return self.placed_entries(found)[0]
+
+    def placed_entries(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The index entries of one set and the bin of each."""
         band = self.of(len(found))
-        return np.concatenate([self._entries(found, band), self._entries(found, band + 1)])
+        both = [self._entries(found, band), self._entries(found, band + 1)]
+        bins = [e % np.uint64(self.parts[band + i]) + np.uint64(self.first[band + i]) for i, e in enumerate(both)]
+        return np.concatenate(both), np.concatenate(bins)
 
     def _entries(self, found: np.ndarray, band: int) -> np.ndarray:
         out, two = self.choice[band]
@@ -178,9 +200,9 @@ def _similar(x: np.ndarray, y: np.ndarray) -> bool:
     return b * common >= a * (len(x) + len(y) - common)
 
 
-def _bitmap(found: np.ndarray) -> bytes:
-    """One bit for each residue of the hashes; four bits or more for each member, a power of two in all."""
-    width = max(64, 1 << (4 * len(found) - 1).bit_length()) if len(found) else 64
+def _bitmap(found: np.ndarray, width: int | None = None) -> bytes:
+    """One bit for each residue of the hashes; without `width` four bits or more for each member, a power of two in all."""
+    width = width or (max(64, 1 << (4 * len(found) - 1).bit_length()) if len(found) else 64)
     bits = np.zeros(width, bool)
     bits[(found & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
@@ -233,7 +255,8 @@ def _packed(bins: np.ndarray, columns: list[np.ndarray], kind: int) -> pa.Record
 
 
 PACKED = "bin bigint, kind int, x binary, y binary, z binary"
-ENTRIES, PAIRS = 0, 1
+ENTRIES, PAIRS, SKETCHES = 0, 1, 2
+SKETCH_BITS = 1024  # width of the bitmaps in the bins of the second round
 
 
 def _star(entries: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,37 +275,42 @@ def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _index(docs: DataFrame, bands: Bands, bins: int, labelled: bool) -> DataFrame:
     """Packed index entries of (doc_id, text[, component]). Unlabelled: combined per block, with its star pairs."""
-    def packed(entries: list, ids: list, labels: list) -> Iterator[pa.RecordBatch]:
-        e, d = np.concatenate(entries), np.concatenate(ids)
+    def packed(entries: list, places: list, ids: list, labels: list, sketches: dict) -> Iterator[pa.RecordBatch]:
+        e, own, d = np.concatenate(entries), np.concatenate(places), np.concatenate(ids)
         if labelled:
-            yield _packed(e % np.uint64(bins), [e, d, np.concatenate(labels)], ENTRIES)
+            yield _packed(own, [e, d, np.concatenate(labels)], ENTRIES)
+            seen_in = np.unique(np.stack([own.astype(np.int64), d], axis=1), axis=0)
+            bits = np.array([np.frombuffer(sketches[i][1], np.uint64) for i in seen_in[:, 1].tolist()])
+            sizes = np.array([sketches[i][0] for i in seen_in[:, 1].tolist()], np.int64)
+            yield _packed(seen_in[:, 0], [seen_in[:, 1], sizes, bits], SKETCHES)
             return
         order = np.lexsort((d, e))
-        e, d = e[order], d[order]
+        e, d, own = e[order], d[order], own[order]
         new, a, b = _star(e, d)
-        yield _packed(e[new] % np.uint64(bins), [e[new], d[new]], ENTRIES)
+        yield _packed(own[new], [e[new], d[new]], ENTRIES)
         a, b = _unique_pairs(a, b)
         if len(a):
             yield _packed(texts.mix(a.astype(np.uint64)) % np.uint64(bins), [a, b], PAIRS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries, ids, labels, size, seen = [], [], [], 0, set()
+        held, size, seen = ([], [], [], [], {}), 0, set()
         for batch in texts.blocks(batches):
             marks = batch.column(2).to_pylist() if labelled else [0] * batch.num_rows
             for doc_id, mark, found in zip(batch.column(0).to_pylist(), marks, shingle_sets(batch), strict=True):
                 if not len(found) or (digest := _digest(found)) in seen:
                     continue  # a copy of a text of this block: its class is known
                 seen.add(digest)
-                own = bands.entries(found)
-                entries.append(own)
-                ids.append(np.full(len(own), doc_id, np.int64))
-                labels.append(np.full(len(own), mark, np.int64))
+                own, places = bands.placed_entries(found)
+                for part, values in zip(held, (own, places, np.full(len(own), doc_id, np.int64), np.full(len(own), mark, np.int64)), strict=False):
+                    part.append(values)
+                if labelled:
+                    held[4][doc_id] = (len(found), _bitmap(found, SKETCH_BITS))
                 size += len(own)
             if size >= FLUSH_ENTRIES:
-                yield from packed(entries, ids, labels)
-                entries, ids, labels, size, seen = [], [], [], 0, set()
+                yield from packed(*held)
+                held, size, seen = ([], [], [], [], {}), 0, set()
         if size:
-            yield from packed(entries, ids, labels)
+            yield from packed(*held)
 
     return docs.mapInArrow(run, PACKED)
 
@@ -300,37 +328,49 @@ def _star_candidates(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": a, "b": b})
 
 
-def _cross_candidates(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of each bucket whose components differ, a bucket at a time."""
-    part = pd.concat(list(parts))
-    e, d, c = _numbers(part["x"], np.uint64), _numbers(part["y"], np.int64), _numbers(part["z"], np.int64)
+def _cross_candidates(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Pairs of each bucket whose components differ and whose sizes and bitmaps allow similarity."""
+    own, sketches = part[part["kind"] == ENTRIES], part[part["kind"] == SKETCHES]
+    e, d, c = _numbers(own["x"], np.uint64), _numbers(own["y"], np.int64), _numbers(own["z"], np.int64)
+    ids, first = np.unique(_numbers(sketches["x"], np.int64), return_index=True)
+    n = _numbers(sketches["y"], np.int64)[first]
+    bits = _numbers(sketches["z"], np.uint64).reshape(-1, SKETCH_BITS // 64)[first]
+    d = np.searchsorted(ids, d)  # from here on documents are rows of `ids`
     order = np.lexsort((c, e))
     e, d, c = e[order], d[order], c[order]
     edges = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1], [True]]))
+    s, t = SIMILARITY
+
+    def possible(held: list[np.ndarray]) -> pd.DataFrame:
+        pairs = np.unique(np.concatenate(held))
+        a, b = pairs // len(ids), pairs % len(ids)
+        near = t * np.minimum(n[a], n[b]) >= s * np.maximum(n[a], n[b])
+        a, b = a[near], b[near]
+        differ = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+        good = (s + t) * differ <= (t - s) * (n[a] + n[b])
+        a, b = ids[a[good]], ids[b[good]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
     done, held, size = set(), [], 0
     for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        if high - low < 2 or c[low] == c[high - 1]:
-            continue
-        key = (d[low:high].tobytes())
-        if key in done:
+        if high - low < 2 or c[low] == c[high - 1] or (key := d[low:high].tobytes()) in done:
             continue
         done.add(key)
         for i in range(low, high):
             after = int(np.searchsorted(c[low:high], c[i], side="right")) + low
             if after < high:
-                held.append(np.stack([np.minimum(d[i], d[after:high]), np.maximum(d[i], d[after:high])], axis=1))
+                other = d[after:high]
+                held.append(np.minimum(d[i], other) * len(ids) + np.maximum(d[i], other))
                 size += high - after
             if size > 500_000:
-                pairs = np.unique(np.concatenate(held), axis=0)
-                yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+                yield possible(held)
                 held, size = [], 0
     if held:
-        pairs = np.unique(np.concatenate(held), axis=0)
-        yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        yield possible(held)
 
 
 def _cross_group(part: pd.DataFrame) -> pd.DataFrame:
-    return pd.concat([pd.DataFrame({"a": [], "b": []}, dtype="int64"), *_cross_candidates(iter([part]))])
+    return pd.concat([pd.DataFrame({"a": [], "b": []}, dtype="int64"), *_cross_candidates(part)]).drop_duplicates()
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -411,13 +451,15 @@ def join_components(docs: DataFrame, row_id: str = "doc_id", text: str = "text")
     joined = rows.drop("bits").join(classes, ["d1", "d2", "n"], "left")
     members = materialize(joined.select("doc_id", "n", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")), "members")
     one = members.filter("doc_id = class_id AND n > 0").select("doc_id", "n").distinct()
-    n_sets, total, largest = one.agg(F.count(F.lit(1)), F.sum("n"), F.max("n")).first()
+    n_sets, largest = one.agg(F.count(F.lit(1)), F.max("n")).first()
     links = spark.createDataFrame([], "a bigint, b bigint")
     if n_sets:
         texted = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
         frequent, overlap, share = _frequent(texted, n_sets)
         bands = Bands(largest, n_sets, overlap, frequent, share)
-        bins = int(max(1, -(-total * 10 // BIN_BYTES)))
+        # sizes to within a quarter are enough to spread the bins
+        step = F.floor(F.log(F.col("n").cast("double")) / math.log(1.25))
+        bins = bands.spread([(1.25 ** r["step"], r["count"]) for r in one.groupBy(step.alias("step")).count().collect()])
         sketches = rows.filter("doc_id IS NOT NULL AND n > 0").select("doc_id", "n", "bits").dropDuplicates(["doc_id"])
         links = _linked(texted, members, sketches, bands, bins)
     parts = connected_components(links)

@@ -6,6 +6,8 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from fieldpulse.llm import components, jaccard_join, suffix_dedup
@@ -107,6 +109,25 @@ def test_bitmaps_never_refuse_a_similar_pair():
     assert refused > 100
 
 
+def test_crossing_bins_lose_no_similar_pair():
+    docs = near_copies(3, 14, 9)
+    sets = jaccard_join.shingle_sets(pa.RecordBatch.from_arrays([pa.array([t for _, t in docs])], names=["text"]))
+    bands = jaccard_join.Bands(300, 200, 0.01)
+    bands.spread([(30.0, 50), (200.0, 60)])
+    ids = np.arange(len(sets), dtype=np.int64)
+    entries = [bands.entries(s) if len(s) else np.zeros(0, np.uint64) for s in sets]
+    owner = np.repeat(ids, [len(e) for e in entries])
+    sketches = [jaccard_join._bitmap(s, jaccard_join.SKETCH_BITS) for s in sets]
+    part = pd.DataFrame([
+        {"kind": jaccard_join.ENTRIES, "x": np.concatenate(entries).tobytes(), "y": owner.tobytes(), "z": owner.tobytes()},
+        {"kind": jaccard_join.SKETCHES, "x": ids.tobytes(), "y": np.array([len(s) for s in sets], np.int64).tobytes(), "z": b"".join(sketches)},
+    ])
+    got = {tuple(r) for r in jaccard_join._cross_group(part).itertuples(index=False)}
+    same = lambda x, y: x.tobytes() == y.tobytes()
+    want = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and not same(x, y) and jaccard_join._similar(x, y)}
+    assert want and want <= got | {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if same(x, y)}
+
+
 def test_allocations_use_deletions_and_left_out_segments():
     chosen = {c for n, overlap in ((10, 0.0), (10**9, 0.2), (10**12, 0.45)) for c in jaccard_join.Bands(5000, n, overlap).choice}
     assert any(out for out, _ in chosen) and any(two for _, two in chosen)
