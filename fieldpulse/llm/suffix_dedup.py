@@ -219,6 +219,8 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], list[in
     at = [0] * size
     current = [s[0] if s else None for s in strings]
     loser, common = [0] * size, [0] * size
+    # the nodes between each run and the root
+    paths = [[(run + size) >> level for level in range(1, size.bit_length())] for run in range(size)]
 
     def play(a: int, b: int, known: int) -> tuple[int, int, int]:
         """(winner, loser, prefix they share)"""
@@ -254,16 +256,16 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], list[in
         else:
             current[player] = None
             shared = -1  # a finished run loses every game
-        node = (player + size) >> 1
-        while node:
+        for node in paths[player]:
             known = common[node]
+            if known < shared:
+                continue
             if known > shared:
                 # the waiting player is nearer to the last winner
                 player, loser[node] = loser[node], player
                 common[node], shared = shared, known
-            elif known == shared >= 0:
+            elif known >= 0:
                 player, loser[node], common[node] = play(player, loser[node], known)
-            node >>= 1
         winner = player
     return order, out
 
