@@ -100,6 +100,10 @@ def _planes(numbers: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(numbers.astype(np.int64).view(np.uint8).reshape(-1, 8).T)
 
 
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=3)
+
+
 class Run:
     """Suffixes of a block in order: `key` (zero-padded rows), its length, the bytes before, document and place."""
 
@@ -174,7 +178,7 @@ class Run:
             parts = [np.array([b - a, len(rest), len(left)], np.int64), shared.astype(np.uint8), size, left_size,
                      _planes(self.doc[a:b]), _planes(self.place[a:b]), rest, left]
             raw = b"".join(p.tobytes() for p in parts)
-            yield int(bins[a]), len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+            yield int(bins[a]), len(raw).to_bytes(8, "little") + _codec().compress(raw, asbytes=True)
 
 
 def _unpacked(blob: bytes) -> tuple:
