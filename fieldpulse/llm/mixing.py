@@ -9,8 +9,7 @@ at zero. A text's rate follows from its posteriors and the residuals of all roun
 one vector for each round reaches the driver and no rate has to be stored between rounds.
 
 Rates become whole numbers of copies: the whole part, and one more with the probability of the
-rest, by hash. Rates within `SNAP` of a whole number are rounded to it, so that a rate of 0.98
-loses no text by chance.
+rest, by hash, whatever the rate, so that the expected tokens of the copies are those of the rates.
 
 Defined cases: a NULL or empty text has no tokens and gets a rate like any other; repeated rows
 have equal rates and are drawn alike; domains that no row is labelled with have posterior 0;
@@ -203,7 +202,10 @@ def fit_rates(soft: DataFrame, targets: Sequence[float], budget: float | None =
 
 
 def copies_column(rate: Column, key: Column, snap: float = SNAP) -> Column:
-    """Whole copies of a text with this rate; `key` decides the rest by hash."""
+    """Whole copies of a text with this rate; `key` decides the rest by hash.
+
+    A rate within `snap` of a whole number is rounded to it, which moves the totals off their targets; 0 rounds none.
+    """
     near = F.abs(rate - F.round(rate)) <= snap
     share = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = F.floor(rate) + F.when(share < rate - F.floor(rate), 1).otherwise(0)
@@ -218,7 +220,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TAR
     slim = materialize(soft.select("tokens", "p"), "posteriors")
     rate = rate_column(fit_rates(slim, list(targets.values()), budget))
     key = F.coalesce(F.col("row").getField(row_id).cast("string"), F.col("row").getField(text), F.lit(""))
-    return soft.withColumn("rate", rate).withColumn("copies", copies_column(F.col("rate"), key))
+    return soft.withColumn("rate", rate).withColumn("copies", copies_column(F.col("rate"), key, snap=0.0))
 
 
 def draw(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, budget: float | None = None) -> DataFrame:

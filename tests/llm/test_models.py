@@ -166,6 +166,43 @@ def test_copies(spark):
     assert rows.filter("one <> 1").count() == 0
 
 
+def two_kinds(spark, n=4000, poor=0.3):
+    """Texts of two vocabularies, every tenth row twice, and labels of all; the text tells the domain."""
+    pick = random.Random(12)
+    words = {1: [f"good{i}" for i in range(40)], 0: [f"poor{i}" for i in range(40)]}
+    rows = []
+    for i in range(n):
+        kind = int(pick.random() >= poor)
+        rows += [(i, " ".join(pick.choices(words[kind], k=pick.randint(5, 60))))] * (1 + (i % 10 == 0))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = spark.createDataFrame([(d, int(t.startswith("good"))) for d, t in dict(rows).items()], "doc_id bigint, quality int")
+    return docs, marks
+
+
+def test_copies_meet_the_targets(spark):
+    docs, marks = two_kinds(spark)
+    rows = mixing.mix(docs, marks.select("doc_id", mixing.domain_of_labels().alias("domain"))).collect()
+    n = np.array([r["tokens"] for r in rows])
+    p = np.array([r["p"] for r in rows])
+    x, copies = (np.array([r[c] for r in rows]) for c in ("rate", "copies"))
+    assert ((np.floor(x) <= copies) & (copies <= np.ceil(x))).all()
+    totals = (n * copies) @ p
+    assert totals / totals.sum() == pytest.approx([0.98, 0.02], abs=5e-3)
+    assert totals[0] == pytest.approx((n @ p)[0], rel=2e-2)
+    repeated = {}
+    for r in rows:
+        repeated.setdefault(r["row"]["doc_id"], set()).add(r["copies"])
+    assert all(len(c) == 1 for c in repeated.values())
+
+
+def test_pipeline_mixing_meets_the_targets(spark, tmp_path):
+    docs, marks = two_kinds(spark)
+    marks.write.parquet(str(tmp_path / "labels.parquet"))
+    drawn = [r["text"] for r in corpus_pipeline.mixed(spark, docs, str(tmp_path)).collect()]
+    tokens = {kind: sum(len(t.split()) for t in drawn if t.startswith(kind)) for kind in ("good", "poor")}
+    assert tokens["poor"] / sum(tokens.values()) == pytest.approx(0.02, abs=5e-3)
+
+
 def test_pipeline_stages(spark, folder):
     from test_duplicates import plain_components
     from test_native import checked
