@@ -10,7 +10,8 @@ Learning counts trigrams and words by language over a bounded share of the label
 one aggregation whose result has at most 2 * 2**16 rows for each language.
 
 Defined cases: a NULL text or one without a letter is `und` with score 0; words in a script no
-learned language uses count for none of them; ties go to the alphabetically first language;
+learned language uses count for none of them, and a text that has no others is `und` or, with
+`all_scripts` as in the query, gets the learned language with the best score; ties go to the alphabetically first language;
 repeated rows are all returned; without any learned row every text with a letter is `und`.
 """
 
@@ -52,11 +53,10 @@ NO_LETTERS = texts.SPACES.copy()
 NO_LETTERS[[b for b in range(128) if not chr(b).isalpha()]] = True
 
 
-def first_scripts(words: texts.Words) -> np.ndarray:
-    """The script of each word, from its first character."""
-    data = np.concatenate([words.data, np.zeros(4, np.uint8)]).astype(np.int32)
-    lead = data[words.begin]
-    one, two, three = (data[words.begin + k] & 0x3F for k in (1, 2, 3))
+def _scripts_at(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The scripts of the characters that begin at these bytes; `data` has three bytes more than the text."""
+    lead = data[place].astype(np.int32)
+    one, two, three = (data[place + k].astype(np.int32) & 0x3F for k in (1, 2, 3))
     code = np.select(
         [lead < 0x80, lead < 0xE0, lead < 0xF0],
         [lead, ((lead & 0x1F) << 6) | one, ((lead & 0x0F) << 12) | (one << 6) | two],
@@ -65,6 +65,22 @@ def first_scripts(words: texts.Words) -> np.ndarray:
     return _kinds[np.searchsorted(_starts, code, side="right") - 1]
 
 
+def first_scripts(words: texts.Words) -> np.ndarray:
+    """The script of each word, from its first letter; 0 for a word without one."""
+    data = np.concatenate([words.data, np.zeros(3, np.uint8)])
+    out = _scripts_at(data, words.begin)
+    rest = np.flatnonzero(out == 0)  # a word that begins with a quote, a dash and the like is read on
+    n = words.end[rest] - words.begin[rest]
+    owner = np.repeat(rest, n)
+    place = np.arange(n.sum()) + np.repeat(words.begin[rest] - (np.cumsum(n) - n), n)
+    starts = (data[place] & 0xC0) != 0x80
+    owner, script = owner[starts], _scripts_at(data, place[starts])
+    owner, script = owner[script > 0], script[script > 0]
+    owner, at = np.unique(owner, return_index=True)
+    out[owner] = script[at]
+    return out
+
+
 def features(words: texts.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all trigrams, the first trigram of each word, and the bucket of each word.
 
@@ -125,15 +141,24 @@ class Model:
         share = scripts / np.maximum(scripts.sum(axis=0), 1)
         self.candidates = share >= SCRIPT_SHARE
 
-    def scores(self, words: texts.Words) -> np.ndarray:
-        """One row for each word: how much it speaks for each language, 0 at best."""
+    def scores(self, words: texts.Words, all_scripts: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """One row for each word: how much it speaks for each language, 0 at best; and whether it counts.
+
+        With `all_scripts`, a text that has no word in a learned script is scored for all languages.
+        """
         trigram, first, whole = features(words)
         out = np.empty((len(whole), len(self.langs)), np.float32)
         for i in range(len(self.langs)):
             column = np.ascontiguousarray(self.logs[:, i])
             out[:, i] = np.add.reduceat(column[trigram], first[:-1]) + column[whole] if len(whole) else 0
-        allowed = self.candidates[first_scripts(words)]
+        script = first_scripts(words)
+        allowed = self.candidates[script]
         known = allowed.any(axis=1)
+        if all_scripts:
+            has = lambda marks: np.repeat(np.diff(np.concatenate([[0], np.cumsum(marks)])[words.first]) > 0, np.diff(words.first))
+            left = ~has(known) & ((script > 0) | ~has(script > 0))
+            allowed[left] = True
+            known |= left
         out[~allowed] = -np.inf
         out[~known] = 0  # no learned language uses the script: no evidence
         out -= out.max(axis=1, keepdims=True)
@@ -174,8 +199,12 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = SWITCH) -> n
 SPANS = "array<struct<lang:string,begin:bigint,end:bigint>>"
 
 
-def identify(docs: DataFrame, model: Model, row_id: str = "doc_id", text: str = "text", penalty: float = SWITCH) -> DataFrame:
-    """doc_id, lang_pred, score and `lang_spans` (language and word numbers, end exclusive) of every row."""
+def identify(docs: DataFrame, model: Model, row_id: str = "doc_id", text: str = "text", penalty: float = SWITCH,
+             all_scripts: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score and `lang_spans` (language and word numbers, end exclusive) of every row.
+
+    With `all_scripts`, every text with a letter gets a learned language, also if none of them uses its script.
+    """
     df = docs.select(F.col(row_id).alias("doc_id"), F.col(text).alias("text"))
     id_type = df.schema["doc_id"].dataType.simpleString()
     span = pa.struct([("lang", pa.string()), ("begin", pa.int64()), ("end", pa.int64())])
@@ -183,7 +212,7 @@ def identify(docs: DataFrame, model: Model, row_id: str = "doc_id", text: str =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in texts.blocks(batches, limit=BLOCK):
             words = _block_words(batch)
-            scores, known = model.scores(words) if model.langs else (np.zeros((len(words.begin), 1), np.float32), np.zeros(len(words.begin), bool))
+            scores, known = model.scores(words, all_scripts) if model.langs else (np.zeros((len(words.begin), 1), np.float32), np.zeros(len(words.begin), bool))
             labels = viterbi(scores, words.first, penalty)
             weight = np.where(known, words.end - words.begin, 0)
             lettered = [t is not None and _letter.search(t) is not None for t in batch.column(1).to_pylist()]
@@ -228,4 +257,4 @@ def op8_language_id(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
     model = learn(docs.filter(~held_out))
-    return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return identify(docs, model, all_scripts=True).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

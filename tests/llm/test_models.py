@@ -65,6 +65,30 @@ def test_language_edge_rows(spark, edge, none, edge_rows):
     assert greek["lang_pred"] == "und"
 
 
+def test_script_of_the_first_letter():
+    made = ["«été", "¿qué", "“the", "—and", "«это", "…", "日本", "plain", "€", "🙂ok", "«“—где"]
+    data = " ".join(made).encode()
+    words = language.texts.Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), language.NO_LETTERS)
+    want = ["latin", "latin", "latin", "latin", "cyrillic", "common", "han", "latin", "common", "latin", "cyrillic"]
+    assert [language.SCRIPTS[k] for k in language.first_scripts(words)] == want
+
+
+def test_every_text_with_a_letter_gets_a_language(spark, tmp_path):
+    words = {"de": "der die und nicht ist eine".split(), "en": "the and of with that this".split()}
+    pick = random.Random(4)
+    rows = [(i, " ".join(pick.choices(words[lang], k=30)), lang) for i, lang in enumerate(list(words) * 100)]
+    odd = ["это что как", "日本語", "αυτό είναι", "«und» “nicht” —ist", "¿the “and", "µ", "ℝ", "это … — the"]
+    blank = [None, "", "12 34", "— … «»", "🙂"]
+    rows += [(1000 + i, t, "en") for i, t in enumerate(odd)] + [(2000 + i, t, "en") for i, t in enumerate(blank)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    of = {r["doc_id"]: r for r in QUERIES["op8_language_id"].run(spark, str(tmp_path)).collect()}
+    assert len(of) == len(rows)
+    assert all(of[1000 + i]["lang_pred"] in words and 0 < of[1000 + i]["score"] <= 1 for i in range(len(odd)))
+    assert all(of[2000 + i]["lang_pred"] == "und" and of[2000 + i]["score"] == 0 for i in range(len(blank)))
+    assert of[1003]["lang_pred"] == "de" and of[1004]["lang_pred"] == "en"
+
+
 def test_quality_on_held_out_rows(spark):
     labels = spark.read.parquet(f"{MEDIUM}/labels.parquet").select("doc_id", "quality")
     rows = QUERIES["op6_quality_model"].run(spark, MEDIUM).join(labels, "doc_id").collect()
