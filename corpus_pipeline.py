@@ -5,7 +5,8 @@ the shared folder and read again as the next stage's `docs`. All stages but the
 the columns of `documents`.
 
 ORACLE_SQL is None: the Jaccard join, the suffix automaton and the learned mixing weights have no
-SQL form; tests/llm/test_pipeline.py runs the stages against plain versions instead.
+SQL form; tests/llm/test_models.py holds the rules against op9, the join, the decontamination and the
+copies of the mixing against plain versions, and checks the order and sizes of the shards.
 
 Defined cases: rows with a NULL text have no words and go in the first stage; repeated rows
 stand or fall together; an empty table passes through all stages empty.

@@ -252,6 +252,76 @@ def test_pipeline_stages(spark, folder):
     checked(shards.values(), corpus_pipeline.SHARDS)
 
 
+def signed(x):
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def xxhash64(data, seed=42):
+    """Spark's hash of a string, in plain Python."""
+    p1, p2, p3, p4, p5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+    m = (1 << 64) - 1
+    rotl = lambda x, r: ((x << r) | (x >> (64 - r))) & m
+    lane = lambda acc, x: rotl((acc + x * p2) & m, 31) * p1 & m
+    word = lambda i, k: int.from_bytes(data[i : i + k], "little")
+    i, n = 0, len(data)
+    if n >= 32:
+        v = [(seed + p1 + p2) & m, (seed + p2) & m, seed, (seed - p1) & m]
+        while i + 32 <= n:
+            v = [lane(v[k], word(i + 8 * k, 8)) for k in range(4)]
+            i += 32
+        h = sum(rotl(x, r) for x, r in zip(v, (1, 7, 12, 18), strict=True)) & m
+        for x in v:
+            h = ((h ^ lane(0, x)) * p1 + p4) & m
+    else:
+        h = (seed + p5) & m
+    h = (h + n) & m
+    while i + 8 <= n:
+        h = (rotl(h ^ lane(0, word(i, 8)), 27) * p1 + p4) & m
+        i += 8
+    if i + 4 <= n:
+        h = (rotl(h ^ (word(i, 4) * p1 & m), 23) * p2 + p3) & m
+        i += 4
+    for b in data[i:]:
+        h = rotl(h ^ (b * p5 & m), 11) * p1 & m
+    h = (h ^ (h >> 33)) * p2 & m
+    h = (h ^ (h >> 29)) * p3 & m
+    return h ^ (h >> 32)
+
+
+def plain_copies(docs, n, p, targets):
+    """Copies of every row: gradient rounds over whole arrays, then the draw by hash of the id."""
+    weights = np.array(targets) / sum(targets)
+    total = (n @ p / n.sum())[weights.argmax()] / weights.max()
+    x, step, before = np.ones(len(n)), 1.0, np.inf
+    for _ in range(mixing.ROUNDS):
+        residual = (n * x) @ p / n.sum() - total * weights
+        if np.abs(residual).max() <= mixing.TOLERANCE:
+            break
+        live = n * (x > 0)
+        step = step / 2 if np.abs(residual).max() > before else min(1.0, 1.5 * step)
+        before = np.abs(residual).max()
+        x = np.maximum(x - p @ (step * np.linalg.pinv((p * live[:, None]).T @ p / n.sum(), rcond=1e-6) @ residual), 0)
+    share = np.array([signed(xxhash64(str(d).encode())) % (1 << 30) / (1 << 30) for d in docs])
+    return np.floor(x) + (share < x - np.floor(x))
+
+
+def test_pipeline_mixing_stage_against_plain_copies(spark, tmp_path):
+    """The copies of every row that the stage returns, repeats included, but the posteriors are those of the model."""
+    docs, marks = two_kinds(spark, 1500)
+    marks.write.parquet(str(tmp_path / "labels.parquet"))
+    labels = marks.select("doc_id", mixing.domain_of_labels().alias("domain"))
+    soft = mixing.with_posteriors(docs, mixing.learn(docs, labels, list(mixing.TARGETS))).collect()
+    ids = [r["row"]["doc_id"] for r in soft]
+    copies = plain_copies(ids, np.array([r["tokens"] for r in soft], float), np.array([r["p"] for r in soft]), list(mixing.TARGETS.values()))
+    want, got = {}, {}
+    for d, c in zip(ids, copies, strict=True):
+        if c:
+            want[d] = want.get(d, 0) + int(c)
+    for r in corpus_pipeline.mixed(spark, docs, str(tmp_path)).collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
+    assert got == want
+
+
 def test_pipeline_of_nothing(spark, none, tmp_path):
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
