@@ -7,8 +7,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
 from fieldpulse.session import get_session  # noqa: E402
-
-SMALL = "/root/testdata/sf0.001"
+from support import SMALL  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -26,7 +25,3 @@ def spark():
 @pytest.fixture(scope="session")
 def folder():
     return SMALL
-
-
-def as_dicts(df):
-    return [r.asDict(recursive=True) for r in df.collect()]

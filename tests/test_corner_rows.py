@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import as_dicts
+from support import as_dicts
 from fieldpulse.operators import decode, detect, features, lifecycle, merge, trend, windows
 from fieldpulse.schemas import RAW_MESSAGE, READING
 from fieldpulse.session import scratch_path

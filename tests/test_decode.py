@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from conftest import as_dicts
+from support import as_dicts
 from fieldpulse.functions.scalar import iso_timestamp, normalise_path, parse_timestamp, version_from_file_name
 from fieldpulse.operators import decode
 from fieldpulse.schemas import LOG_ENTRY, RAW_MESSAGE, READING

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import as_dicts
+from support import as_dicts
 from fieldpulse.functions.scalar import alert_severity, anomaly_probability
 from fieldpulse.operators import detect
 from fieldpulse.operators.isolation import expected_path, grow_tree, mean_path, pack

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import as_dicts
+from support import as_dicts
 from fieldpulse.plans.jobs import run_job
 from fieldpulse.session import scratch_path
 from fieldpulse.sources import sample_views as V

@@ -3,7 +3,7 @@
 import oracle
 import pytest
 
-from conftest import SMALL
+from support import SMALL
 from fieldpulse.plans.catalog import QUERIES
 
 

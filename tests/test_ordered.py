@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from conftest import as_dicts
+from support import as_dicts
 from fieldpulse.operators import features, hot_keys, ranking, windows
 from fieldpulse.sources import sample_views as V, tables
 

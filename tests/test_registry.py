@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from conftest import as_dicts
+from support import as_dicts
 from fieldpulse.functions import vectors as X
 from fieldpulse.operators import lifecycle, merge, placement
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import as_dicts
+from support import as_dicts
 from fieldpulse.operators import aggregates as G, filters, health, trend
 from fieldpulse.session import scratch_path
 from fieldpulse.sources import sinks

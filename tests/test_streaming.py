@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import as_dicts
+from support import as_dicts
 from fieldpulse.operators import features
 from fieldpulse.operators.decode import to_log_entries
 from fieldpulse.operators.filters import time_range
