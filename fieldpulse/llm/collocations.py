@@ -39,7 +39,7 @@ LEAST = 30  # occurrences of a candidate
 LONGEST = 4  # words
 SHARD = 400_000  # candidates of one trie
 SHARDS_AT_ONCE = 8
-CHUNK_BYTES = 16 << 20  # text whose positions are advanced together
+CHUNK_BYTES = 6 << 20  # word codes (8 bytes each) whose positions are advanced together
 FLUSH_WORDS = 500_000
 COVERED = 80  # per cent of the occurrences that lie in a longer candidate
 TOP = 2000
@@ -200,8 +200,8 @@ class Shard:
         parts = np.load(io.BytesIO(packed))
         self.trie = DoubleArray.__new__(DoubleArray)
         self.trie.base, self.trie.check = parts["base"], parts["check"]
-        states, place = parts["states"], parts["accept"].astype(np.int64)
-        self.accept = np.where(states >= 0, place[states], -1)
+        states, place = parts["states"], parts["accept"]
+        self.accept = np.where(states >= 0, place[states], -1).astype(np.int32)
         self.width, self.size = int(parts["width"]), len(place)
         self.word = {w: i for i, w in enumerate(parts["words"].tobytes().split(b" "))}
         self.lang = {w: i for i, w in enumerate(parts["langs"].tobytes().split(_BREAK))}
@@ -221,7 +221,7 @@ class Shard:
             sign = symbol[at + step]
             at, state, sign = at[sign >= 0], state[sign >= 0], sign[sign >= 0]
             at, state = self._advance(at, state, sign)
-        return at, self.accept[state]
+        return at, self.accept[state].astype(np.int64)
 
     def _advance(self, at: np.ndarray, state: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for i in range(self.width):
@@ -272,15 +272,19 @@ def _counter(shards: list, length: int, least: int, complete: bool):
     ends with it is a candidate as well.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = Shard(shards[0][1].value) if len(shards) == 1 else None
         for chunk in _chunks(batches):
             phrase = np.full(len(chunk.code) + 1, -1, np.int64)
+            shard = None
             for number, packed in shards:
-                shard = Shard(packed.value)
+                shard = None  # one trie at a time
+                shard = only or Shard(packed.value)
                 at, place = shard.accepted(chunk, length)
                 phrase[at] = (number << 32) + place
                 n = np.bincount(place, minlength=shard.size)
                 seen = np.flatnonzero(n)
                 yield from _numbers((number << 32) + seen, None, n[seen])
+            shard = None
             if length < LONGEST:
                 yield from _next_words(chunk, phrase, length, least, complete)
     return run
@@ -292,8 +296,10 @@ def _next_words(chunk: Chunk, phrase: np.ndarray, length: int, least: int, compl
     at, follows = at[follows > 0], follows[follows > 0]
     ids, dense = np.unique(phrase[at], return_inverse=True)
     key, n = np.unique(dense * len(chunk.words) + follows, return_counts=True)
-    words = np.array(chunk.words, object)[key % len(chunk.words)]
-    yield from _numbers(ids[key // len(chunk.words)], words, np.minimum(n, least))
+    words, size = np.array(chunk.words, object), len(chunk.words)
+    for i in range(0, len(key), 100_000):
+        part = key[i : i + 100_000]
+        yield from _numbers(ids[part // size], words[part % size], np.minimum(n[i : i + 100_000], least))
 
 
 def _numbers(ids: np.ndarray, word: np.ndarray | None, n: np.ndarray) -> Iterator[pa.RecordBatch]:
