@@ -17,8 +17,9 @@ from fieldpulse.plans.catalog.scans import TELEMETRY_ROWS
 from fieldpulse.schemas import CONSUMER_GROUPS
 from fieldpulse.session import materialize, scratch_path
 from fieldpulse.sources import sample_views as V, tables
-from fieldpulse.streaming import jobs, stateful
+from fieldpulse.streaming import batches, jobs, lateness, stateful
 
+READING_COLUMNS = "id bigint, device_id string, device_type string, ts timestamp, payload string"
 READING_ROWS = "SELECT id, CAST(device_id AS VARCHAR) AS device_id, device_type, ts, payload FROM readings"
 
 
@@ -63,10 +64,10 @@ def a10(spark, folder):
     readings = V.readings_of(V.telemetry_stream(spark, folder, 1)).withColumn("device_id", F.col("device_id").cast("string"))
 
     def flush_twice(df, n):
-        jobs.write_batch(df, path, n)
-        jobs.write_batch(df, path, n)
+        batches.write_batch(df, path, n)
+        batches.write_batch(df, path, n)
 
-    finish(jobs.start(readings, flush_twice, scratch_path(spark, "checkpoint"), available_now=True))
+    finish(batches.start(readings, flush_twice, scratch_path(spark, "checkpoint"), available_now=True))
     return read_batches(spark, path).drop("batch_id")
 
 
@@ -120,17 +121,17 @@ def window_sql(width: str, where: str = "true") -> str:
 
 @query("i4_ingest_rate_5m", window_sql("5 minutes"))
 def i4_ingest(spark, folder):
-    path = scratch_path(spark, "windows")
+    path, late = scratch_path(spark, "windows"), scratch_path(spark, "late")
     stream = V.telemetry_stream(spark, folder)
-    finish(jobs.window_count_job(stream, "5 minutes", path, scratch_path(spark, "checkpoint"), ["device_type"], available_now=True))
+    finish(jobs.window_count_job(stream, "5 minutes", path, late, scratch_path(spark, "checkpoint"), ["device_type"], available_now=True))
     return jobs.final_windows(read_batches(spark, path), ["device_type"])
 
 
 @query("i4_anomaly_rate_1h", window_sql("1 hour", "metric = 'error'"))
 def i4_anomaly(spark, folder):
-    path = scratch_path(spark, "windows")
+    path, late = scratch_path(spark, "windows"), scratch_path(spark, "late")
     stream = V.telemetry_stream(spark, folder).filter(F.col("metric") == "error")
-    finish(jobs.window_count_job(stream, "1 hour", path, scratch_path(spark, "checkpoint"), ["device_type"], available_now=True))
+    finish(jobs.window_count_job(stream, "1 hour", path, late, scratch_path(spark, "checkpoint"), ["device_type"], available_now=True))
     return jobs.final_windows(read_batches(spark, path), ["device_type"])
 
 
@@ -151,7 +152,9 @@ def i6(spark, folder):
     path = scratch_path(spark, "unique")
     readings = V.readings_of(V.telemetry_stream(spark, folder)).withColumn("device_id", F.col("device_id").cast("string"))
     twice = readings.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
-    unique = jobs.without_redelivery(twice).drop("content_id")
+    log, late = scratch_path(spark, "on-time"), scratch_path(spark, "late")
+    finish(lateness.on_time_log_job(twice, log, late, scratch_path(spark, "checkpoint"), available_now=True))
+    unique = jobs.without_redelivery(lateness.on_time_stream(spark, log, READING_COLUMNS)).drop("content_id")
     finish(jobs.append_job(unique, path, scratch_path(spark, "checkpoint"), available_now=True))
     return read_batches(spark, path).drop("batch_id")
 
@@ -173,6 +176,9 @@ def i7(spark, folder):
 def i8(spark, folder):
     path = scratch_path(spark, "liveness")
     beats = V.telemetry_stream(spark, folder).select(F.col("device_id").alias("node_id"), "ts")
+    log, late = scratch_path(spark, "on-time"), scratch_path(spark, "late")
+    finish(lateness.on_time_log_job(beats, log, late, scratch_path(spark, "checkpoint"), lateness="0 seconds", available_now=True))
+    beats = lateness.on_time_stream(spark, log, "node_id bigint, ts timestamp")
     changes = stateful.liveness_changes(beats, timeout_seconds=12 * 3600, event_time=True, lateness="0 seconds")
     finish(jobs.append_job(changes, path, scratch_path(spark, "checkpoint"), available_now=True))
     return latest_per_key(read_batches(spark, path), ["node_id"], ["batch_id", "changed_at_ms"]).select("node_id", "status")
@@ -182,7 +188,7 @@ def i8(spark, folder):
     SELECT time_bucket(INTERVAL '2 seconds', ts) AS window_start, round(count(*) / 2, 1) AS readings_per_second
     FROM telemetry GROUP BY 1""")
 def i9(spark, folder):
-    path = scratch_path(spark, "throughput")
+    path, late = scratch_path(spark, "throughput"), scratch_path(spark, "late")
     stream = V.telemetry_stream(spark, folder)
-    finish(jobs.window_count_job(stream, "2 seconds", path, scratch_path(spark, "checkpoint"), available_now=True))
+    finish(jobs.window_count_job(stream, "2 seconds", path, late, scratch_path(spark, "checkpoint"), available_now=True))
     return G.rate_of(jobs.final_windows(read_batches(spark, path)), 2)

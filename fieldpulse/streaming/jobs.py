@@ -1,13 +1,14 @@
 """Continuous queries. Each has its own checkpoint; each batch is written under its batch number.
 
 A batch that is repeated after a failure replaces what its first attempt wrote,
-so sinks hold every batch exactly once. Readings and scores are kept by day and
+so sinks hold every batch exactly once. Late rows are set aside before a stateful
+step (`lateness`). Readings and scores are kept by day and
 batch, so that a time range prunes folders; `compact_days` gathers a closed day.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,34 +16,10 @@ from pyspark.sql.streaming import StreamingQuery
 from fieldpulse.operators.aggregates import tumbling_counts
 from fieldpulse.operators.decode import from_log_entries, ingest
 from fieldpulse.operators.detect import ALERT_THRESHOLD, Forest, emit_alerts, score_forest
-from fieldpulse.operators.windows import latest_per_key
 from fieldpulse.sources.sinks import split_bad_records
 from fieldpulse.sources.tables import spread
-
-FLUSH_SECONDS = 5
-NO_DAY = "1970-01-01"
-
-
-def batch_folder(path: str, batch_id: int) -> str:
-    return f"{path}/batch_id={batch_id}"
-
-
-def write_batch(df: DataFrame, path: str, batch_id: int, ts: str | None = None) -> None:
-    """Append that can be repeated: the folder of this batch is replaced.
-
-    With `ts` the batch is split by day, `date=.../batch_id=...`, and only the folders it
-    writes are replaced. The first batch also leaves an empty folder, so that a table
-    nothing was written to can be read.
-    """
-    if ts is None:
-        df.write.mode("overwrite").parquet(batch_folder(path, batch_id))
-        return
-    if batch_id == 0:
-        df.limit(0).write.mode("overwrite").parquet(batch_folder(f"{path}/date={NO_DAY}", batch_id))
-    dated = df.withColumn("date", F.to_date(ts)).withColumn("batch_id", F.lit(batch_id))
-    by_day = dated.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch_id")
-    by_day.parquet(path)
-
+from fieldpulse.streaming.batches import start, write_batch
+from fieldpulse.streaming.lateness import interval_micros, start_without_late
 
 def compact_days(batches: DataFrame, target: str, first: str, last: str) -> None:
     """Gather the closed days `first` to `last` of a table kept by day and batch into one kept by day.
@@ -54,19 +31,6 @@ def compact_days(batches: DataFrame, target: str, first: str, last: str) -> None
     gathered.partitionBy("date").parquet(target)
 
 
-def start(
-    stream: DataFrame,
-    on_batch: Callable[[DataFrame, int], None],
-    checkpoint: str,
-    output_mode: str = "append",
-    available_now: bool = False,
-    every: str = f"{FLUSH_SECONDS} seconds",
-) -> StreamingQuery:
-    writer = stream.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint).foreachBatch(on_batch)
-    trigger = {"availableNow": True} if available_now else {"processingTime": every}
-    return writer.trigger(**trigger).start()
-
-
 def append_job(stream: DataFrame, path: str, checkpoint: str, ts: str | None = None, **how) -> StreamingQuery:
     """Append a stream to a table in micro-batches, by day of `ts`; confirmed only after the batch is written."""
     return start(stream, lambda df, n: write_batch(df, path, n, ts), checkpoint, **how)
@@ -115,21 +79,32 @@ def scoring_job(
 
 
 def window_count_job(
-    stream: DataFrame, width: str, path: str, checkpoint: str, keys: Sequence[str] = (), ts: str = "ts",
+    stream: DataFrame, width: str, path: str, late: str, checkpoint: str, keys: Sequence[str] = (), ts: str = "ts",
     lateness: str = "24 hours", **how,
 ) -> StreamingQuery:
-    """Tumbling counts; every batch writes the windows it changed. Read them with `final_windows`."""
-    counted = tumbling_counts(stream.withWatermark(ts, lateness), width, keys, ts)
-    return start(counted, lambda df, n: write_batch(df, path, n), checkpoint, output_mode="update", **how)
+    """Tumbling counts; every batch writes what it adds to its windows. Add up with `final_windows`.
+
+    Rows whose window was closed by the batches before go to the table `late`. Counts add up,
+    so no window is kept between batches and none is written again.
+    """
+    size = interval_micros(stream.sparkSession, width)
+    micros = F.unix_micros(ts)
+    end = F.timestamp_micros(micros - F.pmod(micros, F.lit(size)) + size)
+    count = lambda df, n: write_batch(tumbling_counts(df, width, keys, ts), path, n)
+    return start_without_late(stream, count, late, checkpoint, ts, lateness, end, **how)
 
 
 def final_windows(written: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Last written state of each window."""
-    return latest_per_key(written, ["window_start", "window_end", *keys], ["batch_id"]).drop("batch_id")
+    """The whole count of each window."""
+    return written.groupBy("window_start", "window_end", *keys).agg(F.sum("count").alias("count"))
 
 
 def without_redelivery(readings: DataFrame, lateness: str = "24 hours") -> DataFrame:
-    """Drop repeated deliveries. The id is a function of the content, so a repeat has the same one."""
+    """Drop repeated deliveries. The id is a function of the content, so a repeat has the same one.
+
+    A repeat is known as long as its first delivery is within `lateness` of the newest reading.
+    Read from `lateness.on_time_stream`, so that readings behind that are counted and not lost.
+    """
     content = F.concat_ws("|", F.col("device_id").cast("string"), F.unix_micros("ts").cast("string"), F.col("payload"))
     return (
         readings.withColumn("content_id", F.sha2(content, 256))

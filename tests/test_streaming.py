@@ -14,7 +14,7 @@ from fieldpulse.operators.filters import time_range
 from fieldpulse.operators.windows import latest_per_key
 from fieldpulse.session import scratch_path
 from fieldpulse.sources import sample_views as V, tables
-from fieldpulse.streaming import jobs, stateful
+from fieldpulse.streaming import batches, jobs, lateness, stateful
 
 T0 = datetime(2024, 1, 1)
 READINGS = "id bigint, device_id string, device_type string, ts timestamp, payload string"
@@ -55,11 +55,11 @@ def test_failed_batch_is_repeated_without_duplicates(spark, tmp_path):
     stream = lambda: tables.read_log(spark, log, "id bigint")
 
     def crash(df, n):
-        jobs.write_batch(df, out, n)
+        batches.write_batch(df, out, n)
         raise RuntimeError("lost before the confirmation")
 
     with pytest.raises(Exception):
-        run(jobs.start(stream(), crash, checkpoint, available_now=True))
+        run(batches.start(stream(), crash, checkpoint, available_now=True))
     run(jobs.append_job(stream(), out, checkpoint, available_now=True))
     assert spark.read.parquet(out).count() == 100
     land(spark, log, spark.range(100, 130).select("id"), "b")
@@ -93,7 +93,7 @@ def test_windows_end_with_their_final_count(spark, tmp_path):
     for n in range(3):
         land(spark, log, spark.range(10).select((F.lit(T0) + F.make_dt_interval(mins=F.col("id") * 2)).alias("ts")), f"f{n}")
     stream = tables.read_log(spark, log, "ts timestamp", max_files_per_trigger=1)
-    run(jobs.window_count_job(stream, "5 minutes", out, scratch_path(spark, "cp"), available_now=True))
+    run(jobs.window_count_job(stream, "5 minutes", out, scratch_path(spark, "late"), scratch_path(spark, "cp"), available_now=True))
     final = jobs.final_windows(spark.read.parquet(out)).orderBy("window_start")
     assert [r["count"] for r in final.collect()] == [9, 6, 9, 6]
 
@@ -154,3 +154,79 @@ def test_persisted_readings_are_pruned_by_day_and_survive_a_restart(spark, folde
     for _ in range(2):
         jobs.compact_days(written, whole, "2024-01-05", "2024-01-06")
     assert spark.read.parquet(whole).count() == readings.filter(F.to_date("ts").between("2024-01-05", "2024-01-06")).count()
+
+
+def test_window_counts_and_late_rows_add_up(spark, tmp_path):
+    """A file that comes too late, over several batches and a restart; rows without a time are late too."""
+    log, out, late, checkpoint = str(tmp_path / "log"), scratch_path(spark, "out"), scratch_path(spark, "late"), scratch_path(spark, "cp")
+    minutes = lambda first, n: spark.range(n).select((F.lit(T0) + F.make_dt_interval(mins=F.col("id") + first)).alias("ts"))
+    stream = lambda: tables.read_log(spark, log, "ts timestamp", max_files_per_trigger=1)
+    job = lambda: jobs.window_count_job(stream(), "5 minutes", out, late, checkpoint, lateness="10 minutes", available_now=True)
+    land(spark, log, minutes(0, 10), "a")
+    land(spark, log, minutes(60, 10), "b")
+    run(job())
+    land(spark, log, minutes(20, 10), "c")  # behind the 59 minutes that file b has left
+    run(job())
+    land(spark, log, minutes(62, 10).unionByName(spark.createDataFrame([(None,)], "ts timestamp")), "d")
+    run(job())
+    windows = {r["window_start"]: r["count"] for r in jobs.final_windows(spark.read.parquet(out)).collect()}
+    assert sum(windows.values()) == 30 and windows[T0 + timedelta(minutes=60)] == 5 + 3
+    assert {r["batch_id"]: r["late_rows"] for r in lateness.late_counts(spark.read.parquet(late)).collect()} == {2: 10, 3: 1}
+
+
+def test_a_row_behind_the_watermark_counts_while_its_window_is_open(spark, tmp_path):
+    log, out, late = str(tmp_path / "log"), scratch_path(spark, "out"), scratch_path(spark, "late")
+    at = lambda *minutes: spark.createDataFrame([(T0 + timedelta(minutes=m),) for m in minutes], "ts timestamp")
+    land(spark, log, at(22), "a")  # leaves a watermark of 12 minutes
+    land(spark, log, at(11, 14, 9), "b")  # the window from 10 to 15 is open, the one before is not
+    stream = tables.read_log(spark, log, "ts timestamp", max_files_per_trigger=1)
+    run(jobs.window_count_job(stream, "5 minutes", out, late, scratch_path(spark, "cp"), lateness="10 minutes", available_now=True))
+    assert {r["window_start"].minute: r["count"] for r in jobs.final_windows(spark.read.parquet(out)).collect()} == {20: 1, 10: 2}
+    assert [r["ts"].minute for r in spark.read.parquet(late).collect()] == [9]
+
+
+def test_failed_batch_is_split_alike_when_repeated(spark, tmp_path):
+    log, out, late, checkpoint = str(tmp_path / "log"), scratch_path(spark, "out"), scratch_path(spark, "late"), scratch_path(spark, "cp")
+    at = lambda *minutes: spark.createDataFrame([(T0 + timedelta(minutes=m),) for m in minutes], "ts timestamp")
+    land(spark, log, at(60), "a")
+    land(spark, log, at(10, 200), "b")
+    stream = lambda: tables.read_log(spark, log, "ts timestamp", max_files_per_trigger=1)
+    job = lambda write: lateness.start_without_late(stream(), write, late, checkpoint, lateness="30 minutes", available_now=True)
+
+    def crash(df, n):
+        batches.write_batch(df, out, n)
+        if n == 1:
+            raise RuntimeError("lost before the confirmation")
+
+    with pytest.raises(Exception):
+        run(job(crash))
+    run(job(lambda df, n: batches.write_batch(df, out, n)))
+    assert sorted((r["ts"] - T0).seconds // 60 for r in spark.read.parquet(out).collect()) == [60, 200]
+    assert [(r["ts"] - T0).seconds // 60 for r in spark.read.parquet(late).collect()] == [10]
+
+
+def test_redelivery_and_late_readings_add_up(spark, tmp_path):
+    log, kept, late, out = str(tmp_path / "log"), scratch_path(spark, "kept"), scratch_path(spark, "late"), scratch_path(spark, "out")
+    rows = [(i, "d", "t", T0 + timedelta(hours=i), f'{{"a":{i}}}') for i in range(40)]
+    land(spark, log, spark.createDataFrame(rows, READINGS), "a")
+    again = [(100 + r[0], *r[1:]) for r in rows]  # those up to 15 hours are behind 24 hours of lateness
+    land(spark, log, spark.createDataFrame(again, READINGS), "b")
+    stream = tables.read_log(spark, log, READINGS, max_files_per_trigger=1)
+    run(lateness.on_time_log_job(stream, kept, late, scratch_path(spark, "cp"), available_now=True))
+    unique = jobs.without_redelivery(lateness.on_time_stream(spark, kept, READINGS, 1))
+    run(jobs.append_job(unique, out, scratch_path(spark, "cp"), available_now=True))
+    assert spark.read.parquet(late).count() == 16
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(40))
+
+
+def test_late_heartbeats_are_counted(spark, tmp_path):
+    log, kept, late, out = str(tmp_path / "log"), scratch_path(spark, "kept"), scratch_path(spark, "late"), scratch_path(spark, "out")
+    beat = lambda rows: spark.createDataFrame([(n, T0 + timedelta(seconds=s)) for n, s in rows], "node_id string, ts timestamp")
+    land(spark, log, beat([("a", 0), ("clock", 30)]), "a")
+    land(spark, log, beat([("a", 5), ("clock", 40)]), "b")
+    stream = tables.read_log(spark, log, "node_id string, ts timestamp", max_files_per_trigger=1)
+    run(lateness.on_time_log_job(stream, kept, late, scratch_path(spark, "cp"), lateness="1 second", available_now=True))
+    beats = lateness.on_time_stream(spark, kept, "node_id string, ts timestamp", 1)
+    run(jobs.append_job(stateful.liveness_changes(beats, 10, True, "1 second"), out, scratch_path(spark, "cp"), available_now=True))
+    assert [(r["node_id"], r["late_rows"]) for r in spark.read.parquet(late).groupBy("node_id").agg(F.count("*").alias("late_rows")).collect()] == [("a", 1)]
+    assert spark.read.parquet(kept).count() == 3
