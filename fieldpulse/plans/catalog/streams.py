@@ -23,6 +23,9 @@ READING_COLUMNS = "id bigint, device_id string, device_type string, ts timestamp
 READING_ROWS = "SELECT id, CAST(device_id AS VARCHAR) AS device_id, device_type, ts, payload FROM readings"
 
 
+FEW_BUCKETS = 64  # groups of the sample's 1,500 devices
+
+
 def finish(started) -> None:
     started.awaitTermination()
 
@@ -94,7 +97,7 @@ def i3(spark, folder):
     history = features.feature_vectors(V.readings(spark, folder)).select("id", "features")
     forest = detect.train_forest(materialize(history, "vectors"))
     results, alerts = scratch_path(spark, "results"), scratch_path(spark, "alerts")
-    vectors = stateful.stateful_features(V.readings_of(V.telemetry_stream(spark, folder)))
+    vectors = stateful.stateful_features(V.readings_of(V.telemetry_stream(spark, folder)), buckets=FEW_BUCKETS)
     finish(jobs.scoring_job(vectors, forest, results, alerts, scratch_path(spark, "checkpoint"), available_now=True))
     # severity follows from the score, so the alerts need not be joined back
     return read_batches(spark, results).select(
@@ -106,7 +109,7 @@ def i3(spark, folder):
        VECTOR_VIEWS)
 def i3_features(spark, folder):
     path = scratch_path(spark, "vectors")
-    vectors = stateful.stateful_features(V.readings_of(V.telemetry_stream(spark, folder)))
+    vectors = stateful.stateful_features(V.readings_of(V.telemetry_stream(spark, folder)), buckets=FEW_BUCKETS)
     finish(jobs.append_job(vectors, path, scratch_path(spark, "checkpoint"), available_now=True))
     return read_batches(spark, path).select(
         "id", *[F.round(F.get("features", F.lit(i)), 6).alias(f"f{i}") for i in range(8)]

@@ -2,8 +2,11 @@
 
 import os
 import shutil
+import time
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,7 +44,7 @@ def test_features_over_several_files_equal_batch(spark, folder, tmp_path):
         land(spark, log, readings.filter((F.col("id") >= 250 * n) & (F.col("id") < 250 * (n + 1))), f"part{n}")
     stream = tables.read_log(spark, log, READINGS, max_files_per_trigger=1)
     out = scratch_path(spark, "vectors")
-    run(jobs.append_job(stateful.stateful_features(stream), out, scratch_path(spark, "cp"), available_now=True))
+    run(jobs.append_job(stateful.stateful_features(stream, buckets=8), out, scratch_path(spark, "cp"), available_now=True))
     got = {r["id"]: r["features"] for r in spark.read.parquet(out).collect()}
     want = {r["id"]: r["features"] for r in features.feature_vectors(readings).collect()}
     assert spark.read.parquet(out).select("batch_id").distinct().count() == 4
@@ -230,3 +233,50 @@ def test_late_heartbeats_are_counted(spark, tmp_path):
     run(jobs.append_job(stateful.liveness_changes(beats, 10, True, "1 second"), out, scratch_path(spark, "cp"), available_now=True))
     assert [(r["node_id"], r["late_rows"]) for r in spark.read.parquet(late).groupBy("node_id").agg(F.count("*").alias("late_rows")).collect()] == [("a", 1)]
     assert spark.read.parquet(kept).count() == 3
+
+
+@pytest.mark.parametrize("slice_size", [2_000_000, 30])
+def test_feature_rows_against_plain_statistics(monkeypatch, slice_size):
+    """Readings of 0 to 9 numbers, taken in several calls with the state of the calls before."""
+    monkeypatch.setattr(stateful, "SLICE", slice_size)
+    rng = np.random.default_rng(3)
+    values = [rng.normal(100, 5, rng.integers(0, 10)) for _ in range(60)]
+
+    class State(dict):
+        getValue = dict.get
+        updateValue = dict.__setitem__
+
+    processor = stateful.RecentReadings(10)
+    processor.recent = State()
+    device = rng.choice(["a", "b", None], 60)
+    got = {}
+    for begin, end in ((0, 1), (1, 25), (25, 60)):
+        ids = rng.permutation(np.arange(begin, end))
+        frame = pd.DataFrame({"id": ids, "device_id": device[ids], "ts": [T0] * len(ids), "device_type": "t", "payload": "{}",
+                              "values": [list(values[i]) for i in ids]})
+        parts = iter([frame.iloc[:3], frame.iloc[3:]])
+        for out in processor.handleInputRows((5,), parts, None):
+            got |= {r.id: (r.device_id, r.features) for r in out.itertuples()}
+    assert len(got) == 60 and {k: len(v[0]) for k, v in processor.recent.items()} == {("=a",): 10, ("=b",): 10, ("",): 10}
+    for i, (name, vector) in got.items():
+        own = [j for j in range(i + 1) if device[j] == device[i]]
+        flat = np.concatenate([values[j] for j in own[-10:]])
+        stats = [flat.mean(), flat.std(), flat.min(), flat.max()] if len(flat) else [0.0] * 4
+        if len(own) == 1:
+            stats = [values[i][0] if len(values[i]) else 0.0] * 4
+        want = ([*values[i], *stats] + [0.0] * 8)[:8]
+        assert name == device[i] and list(vector) == pytest.approx(want)
+
+
+def test_features_of_a_stream_that_forgets(spark, folder, tmp_path):
+    readings = V.readings(spark, folder).withColumn("device_id", F.col("device_id").cast("string"))
+    log, out = str(tmp_path / "log"), scratch_path(spark, "vectors")
+    land(spark, log, readings, "a")
+    vectors = stateful.stateful_features(tables.read_log(spark, log, READINGS), forget_after_ms=86_400_000, buckets=8)
+    job = jobs.append_job(vectors, out, scratch_path(spark, "cp"))  # with processing time there is always a next batch
+    while not any(p.numInputRows for p in job.recentProgress) and job.isActive:
+        time.sleep(0.2)
+    job.stop()
+    got = {r["id"]: r["features"] for r in spark.read.parquet(out).collect()}
+    want = {r["id"]: r["features"] for r in features.feature_vectors(readings).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
