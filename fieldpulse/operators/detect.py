@@ -53,8 +53,10 @@ def train_forest(
 ) -> Forest:
     """Grow one tree per group of sampled rows; only the finished trees come to the driver.
 
-    Every tree samples the whole table by a hash of its own: a threshold lets about twice the
-    rows wanted through, of which the tree's task takes the smallest. The offset is the exact
+    Every tree samples the whole table: a hash of the row first lets through about as many rows as all
+    trees together want twice over, and only those meet the trees, each with a hash of its own; a
+    tree's task takes the smallest of about twice the rows wanted. So the rows times trees that are
+    looked at do not grow with the table. The offset is the exact
     contamination quantile of the scores of all rows. `vectors` is read several times;
     materialize it first when computing it costs much.
     """
@@ -63,11 +65,13 @@ def train_forest(
         raise ValueError("no rows to train on")
     sample_size = min(SAMPLE_PER_TREE, n)
     share = min(1.0, 2.0 * sample_size / n)
+    pool = min(1.0, n_trees * share)
     tree = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree")
     samples = (
-        spread(vectors).select(id_column, "features", tree)
+        spread(vectors.filter(_hash(F.col(id_column), F.lit(seed)) <= int(HASH_RANGE * pool)))
+        .select(id_column, "features", tree)
         .withColumn("order", _hash(F.col(id_column), F.lit(seed), F.col("tree")))
-        .filter(F.col("order") <= int(HASH_RANGE * share))
+        .filter(F.col("order") <= int(HASH_RANGE * share / pool))
         .select("tree", "order", "features")
     )
 

@@ -117,10 +117,19 @@ def stream_backlog(published: DataFrame, consumed: DataFrame, groups: DataFrame
     `groups` (stream, consumer_group) names all known groups, so that one that has consumed
     nothing yet is listed with the whole stream as its backlog.
     """
-    known = consumed.select("stream", "consumer_group") if groups is None else groups.select("stream", "consumer_group").distinct()
-    done = known.join(consumed, ["stream", "consumer_group"], "left")
-    backlog = F.coalesce("published", F.lit(0)) - F.coalesce("consumed", F.lit(0))
-    return done.join(published, "stream", "left").select("stream", "consumer_group", backlog.alias("backlog"))
+    part = lambda df, n, known: df.select("stream", "consumer_group", n.cast("bigint").alias("consumed"), F.lit(known).alias("known"))
+    rows = part(consumed, F.col("consumed"), groups is None)
+    if groups is not None:
+        rows = rows.unionByName(part(groups, F.lit(0), True))
+    per_group = rows.groupBy("stream", "consumer_group").agg(F.sum("consumed").alias("consumed"), F.bool_or("known").alias("known")).filter("known")
+    # a stream has few groups: they are gathered beside its length, as a join on a stream that is the
+    # same in all rows would lose its key and become a product
+    listed = per_group.select("stream", F.lit(None).cast("bigint").alias("published"), F.struct("consumer_group", "consumed").alias("group"))
+    lengths = published.select("stream", F.col("published").cast("bigint").alias("published"), F.lit(None).cast(listed.schema["group"].dataType).alias("group"))
+    per_stream = listed.unionByName(lengths).groupBy("stream").agg(F.max("published").alias("published"), F.collect_list("group").alias("groups"))
+    return per_stream.select("stream", "published", F.inline("groups")).select(
+        "stream", "consumer_group", (F.coalesce("published", F.lit(0)) - F.coalesce("consumed", F.lit(0))).alias("backlog")
+    )
 
 
 def admit(readings: DataFrame, devices: DataFrame) -> DataFrame:

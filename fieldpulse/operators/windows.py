@@ -215,6 +215,11 @@ def histogram_quantile(buckets: DataFrame, labels: Sequence[str], q: float = 0.9
     per_label = buckets.groupBy(*labels).agg(
         F.array_sort(F.collect_list(F.struct("le", "cumulative"))).alias("b")
     )
+    return _quantile_of_buckets(per_label, labels, q)
+
+
+def _quantile_of_buckets(per_label: DataFrame, labels: Sequence[str], q: float) -> DataFrame:
+    """`b` holds the (le, cumulative) of one histogram, in order."""
     total = F.element_at("b", -1)["cumulative"]
     ranked = per_label.withColumn("_rank", q * total).withColumn(
         "_before", F.filter("b", lambda x: x["cumulative"] < F.col("_rank"))
@@ -232,6 +237,26 @@ def histogram_quantile(buckets: DataFrame, labels: Sequence[str], q: float = 0.9
     return ranked.select(*labels, total.alias("total"), quantile.alias("quantile"))
 
 
+def rate_quantile(
+    samples: DataFrame, labels: Sequence[str], seconds: int, q: float = 0.99, value: str = "value",
+    max_rows: int = MAX_ROWS_PER_SLOT,
+) -> DataFrame:
+    """Quantile at every sample time of what was observed in the last `seconds`, from bucket counters.
+
+    `samples` are (labels, le, ts, value): cumulative bucket counts that may fall back to 0. Growth is
+    reset-aware in every (labels, le) series, as in `counter_increase`. A reset seen by some buckets
+    only can leave a bucket with less growth than a lower one; it then counts as much as that
+    one. `total` is the growth of the highest bucket; a time without growth has quantile NULL.
+    """
+    grown = counter_increase(samples, [*labels, "le"], seconds, value, max_rows)
+    # one entry per bucket bound
+    buckets = grown.groupBy(*labels, "ts").agg(F.array_sort(F.collect_list(F.struct("le", "increase"))).alias("g"))
+    rising = F.transform("g", lambda x, i: F.struct(
+        x["le"].alias("le"), F.array_max(F.transform(F.slice("g", F.lit(1), i + 1), lambda y: y["increase"])).alias("cumulative")
+    ))
+    return _quantile_of_buckets(buckets.withColumn("b", rising), [*labels, "ts"], q)
+
+
 def replay_rollout(nodes: DataFrame, canary: bool = False) -> DataFrame:
     """Outcome per node of a rollout that stops at its first unhealthy node.
 

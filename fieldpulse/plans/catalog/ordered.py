@@ -152,6 +152,29 @@ def e7(spark, folder):
     return windows.histogram_quantile(buckets, ["device_type", "metric"]).withColumn("quantile", F.round("quantile", 6))
 
 
+BUCKET_BOUNDS = "(VALUES (0.001::DOUBLE), (0.005), (0.01), (0.025), (0.05), (0.1), (0.25), (0.5), (1.0), ('inf'::DOUBLE)) v(le)"
+
+
+@query("e7_quantile_of_rate", f"""
+    WITH c AS (SELECT device_type, le, make_timestamp((epoch_us(ts) // 15000000 * 15 + 15) * 1000000) AS ts,
+                      count(*) FILTER (CAST(value AS DOUBLE) / 200 <= le) AS n
+               FROM telemetry, {BUCKET_BOUNDS} GROUP BY ALL),
+    s AS (SELECT device_type, le, ts, sum(n) OVER (PARTITION BY device_type, le, ts < '2024-01-15 00:02:00' ORDER BY ts) AS value FROM c),
+    g AS (SELECT device_type, le, ts, CASE WHEN p IS NULL THEN 0 WHEN value < p THEN value ELSE value - p END AS growth
+          FROM (SELECT *, lag(value) OVER (PARTITION BY device_type, le ORDER BY ts) AS p FROM s)),
+    i AS (SELECT device_type, le, ts, sum(growth) OVER (PARTITION BY device_type, le ORDER BY ts RANGE BETWEEN INTERVAL 299 SECONDS PRECEDING AND CURRENT ROW) AS grown FROM g),
+    b AS (SELECT device_type, ts, le, max(grown) OVER (PARTITION BY device_type, ts ORDER BY le) AS cum FROM i),
+    l AS (SELECT *, max(cum) OVER (PARTITION BY device_type, ts) AS total, lag(le, 1, 0) OVER w AS low, lag(cum, 1, 0) OVER w AS low_cum
+          FROM b WINDOW w AS (PARTITION BY device_type, ts ORDER BY le))
+    SELECT device_type, ts, total::BIGINT AS total,
+           round(CASE WHEN total = 0 THEN NULL WHEN le = 'inf'::DOUBLE THEN 1.0 ELSE low + (le - low) * (0.99 * total - low_cum) / nullif(cum - low_cum, 0) END, 6) AS quantile
+    FROM l WHERE cum >= 0.99 * total QUALIFY row_number() OVER (PARTITION BY device_type, ts ORDER BY le) = 1""")
+def e7_rate(spark, folder):
+    """99 % quantile over the last five minutes at every 15-second sample, with a reset inside a window."""
+    out = windows.rate_quantile(V.bucket_samples(spark, folder), ["device_type"], 300)
+    return out.select("device_type", "ts", F.col("total").cast("bigint").alias("total"), F.round("quantile", 6).alias("quantile"))
+
+
 @query("e8_rollout_replay", """
     WITH o AS (SELECT *, max(CASE WHEN healthy THEN 0 ELSE 1 END) OVER (PARTITION BY rollout_id ORDER BY position
                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS failed FROM rollout_nodes)

@@ -67,8 +67,8 @@ def a10(spark, folder):
     readings = V.readings_of(V.telemetry_stream(spark, folder, 1)).withColumn("device_id", F.col("device_id").cast("string"))
 
     def flush_twice(df, n):
-        batches.write_batch(df, path, n)
-        batches.write_batch(df, path, n)
+        batches.write_batch(df, path, n, flush_rows=batches.FLUSH_ROWS)
+        batches.write_batch(df, path, n, flush_rows=batches.FLUSH_ROWS)
 
     finish(batches.start(readings, flush_twice, scratch_path(spark, "checkpoint"), available_now=True))
     return read_batches(spark, path).drop("batch_id")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from fieldpulse.schemas import CONSUMER_GROUPS, DEVICE_STATUSES, DEVICE_TYPES, NODE_STATUSES, RAW_TELEMETRY
+from fieldpulse.schemas import CONSUMER_GROUPS, DEVICE_STATUSES, DEVICE_TYPES, NODE_STATUSES, PROCESSING_BUCKETS, RAW_TELEMETRY
 from fieldpulse.sources.tables import read_log, read_table, spread
 
 AS_OF = "2024-01-31 00:00:00"
@@ -240,6 +240,19 @@ def counters(spark, folder) -> DataFrame:
     return hourly.select("device_type", "metric", "ts", F.sum("n").over(running).alias("value"))
 
 
+def bucket_samples(spark, folder) -> DataFrame:
+    """Running bucket counts of `value` / 200 seconds per device type, sampled every 15 seconds, reset within 15 January."""
+    second = F.col("value").cast("double") / 200
+    sampled = telemetry(spark, folder).withColumn("ts", F.timestamp_seconds(F.floor(F.unix_seconds("ts") / 15) * 15 + 15))
+    counts = [F.count_if(second <= le).alias(f"n{i}") for i, le in enumerate(PROCESSING_BUCKETS)]
+    per_sample = sampled.groupBy("device_type", "ts").agg(*counts, F.count(F.lit(1)).alias("n_all"))
+    bounds = [(F.lit(float(le)), F.col(f"n{i}")) for i, le in enumerate(PROCESSING_BUCKETS)] + [(F.lit(float("inf")), F.col("n_all"))]
+    series = per_sample.select("device_type", "ts", F.inline(F.array(*[F.struct(le.alias("le"), n.alias("n")) for le, n in bounds])))
+    # one row per sample and bucket, however many events
+    running = Window.partitionBy("device_type", "le", F.col("ts") < "2024-01-15 00:02:00").orderBy("ts")
+    return series.select("device_type", "le", "ts", F.sum("n").over(running).alias("value"))
+
+
 def inference_results(spark, folder) -> DataFrame:
     t = telemetry(spark, folder)
     return t.select(

@@ -31,9 +31,15 @@ def compact_days(batches: DataFrame, target: str, first: str, last: str) -> None
     gathered.partitionBy("date").parquet(target)
 
 
-def append_job(stream: DataFrame, path: str, checkpoint: str, ts: str | None = None, **how) -> StreamingQuery:
-    """Append a stream to a table in micro-batches, by day of `ts`; confirmed only after the batch is written."""
-    return start(stream, lambda df, n: write_batch(df, path, n, ts), checkpoint, **how)
+def append_job(
+    stream: DataFrame, path: str, checkpoint: str, ts: str | None = None, flush_rows: int | None = None, **how
+) -> StreamingQuery:
+    """Append a stream to a table in micro-batches, by day of `ts`; confirmed only after the batch is written.
+
+    A batch is due every five seconds; with `flush_rows` (100 in the service this follows) it is
+    written in files of at most so many rows.
+    """
+    return start(stream, lambda df, n: write_batch(df, path, n, ts, flush_rows), checkpoint, **how)
 
 
 def ingest_job(messages: DataFrame, good: str, quarantine: str, checkpoint: str, **how) -> StreamingQuery:

@@ -247,3 +247,23 @@ def test_retention_and_cursor(spark):
     assert [r["id"] for r in page.collect()] == [33, 36, 39, 42, 45]
     assert tables.next_cursor(page, 30).first()["cursor"] == 45
     assert tables.next_cursor(tables.after_cursor(df, 999), 999).first()["cursor"] == 999
+
+
+def test_quantile_of_a_rate_with_a_reset(spark):
+    """Three buckets sampled every 15 seconds; all fall back to 0 after the third sample."""
+    t0 = datetime(2024, 1, 1)
+    counts = [(0, 0, 0), (10, 20, 20), (10, 20, 30), (5, 5, 5), (5, 15, 15)]
+    rows = [("x", le, t0 + timedelta(seconds=15 * i), c) for i, at in enumerate(counts) for le, c in zip((0.1, 0.5, float("inf")), at)]
+    df = spark.createDataFrame(rows, "l string, le double, ts timestamp, value bigint")
+    got = [(r["total"], r["quantile"]) for r in windows.rate_quantile(df, ["l"], 30, 0.5).orderBy("ts").collect()]
+    # growth of the last 30 seconds: 0 0 0; 10 20 20; 10 20 30; 5 5 15; 5 15 15
+    assert got == [(0, None), (20, pytest.approx(0.1)), (30, pytest.approx(0.3)), (15, 0.5), (15, pytest.approx(0.2))]
+
+
+def test_quantile_of_buckets_that_do_not_rise(spark):
+    """A bucket whose reset was missed counts as much as the one below it."""
+    t0 = datetime(2024, 1, 1)
+    rows = [("x", le, t0 + timedelta(seconds=15 * i), c) for i, at in enumerate([(0, 0, 0), (10, 4, 20)]) for le, c in zip((0.1, 0.5, float("inf")), at)]
+    df = spark.createDataFrame(rows, "l string, le double, ts timestamp, value bigint")
+    last = windows.rate_quantile(df, ["l"], 60, 0.5).orderBy(F.desc("ts")).first()
+    assert (last["total"], last["quantile"]) == (20, pytest.approx(0.1))

@@ -9,8 +9,8 @@ from fieldpulse.sources import sample_views as V
 LAZY_WITHOUT_ACTIONS = [
     "c1_sensor_aggregation", "c2_aggregation_summary", "c3_anomaly_report", "c5_anomaly_summary", "c8_fleet_stats",
     "c11_experiment_summary", "c14_latency_histogram", "d1_device_health", "d2_recent_health", "d3_new_firmware", "d5_approval_merge",
-    "d6_config_merge", "d7_alert_inhibition", "d9_telemetry_admission", "e1_moving_average", "e2_sliding_device_stats",
-    "e3_latest_node_report", "e4_rate_limit", "e6_counter_increase_1h", "e8_canary_replay", "h1_trend_regression",
+    "d6_config_merge", "d7_alert_inhibition", "d8_stream_backlog", "d9_telemetry_admission", "e1_moving_average", "e2_sliding_device_stats",
+    "e3_latest_node_report", "e4_rate_limit", "e6_counter_increase_1h", "e7_quantile_of_rate", "e8_canary_replay", "h1_trend_regression",
     "h6_flagged_errors", "h11_placement_ranking", "j1_judged_events", "j2_provisioning_requests", "j5_activity_status",
 ]
 

@@ -280,3 +280,19 @@ def test_features_of_a_stream_that_forgets(spark, folder, tmp_path):
     got = {r["id"]: r["features"] for r in spark.read.parquet(out).collect()}
     want = {r["id"]: r["features"] for r in features.feature_vectors(readings).collect()}
     assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+
+
+def test_flushed_files_hold_at_most_the_bound(spark, tmp_path):
+    log, out, checkpoint = str(tmp_path / "log"), scratch_path(spark, "out"), scratch_path(spark, "cp")
+    rows = spark.range(950).select("id", (F.lit(T0) + F.make_dt_interval(hours=F.col("id") % 30)).alias("ts"))
+    land(spark, log, rows, "a")
+    stream = lambda: tables.read_log(spark, log, "id bigint, ts timestamp")
+    run(jobs.append_job(stream(), out, checkpoint, flush_rows=batches.FLUSH_ROWS, available_now=True))
+    land(spark, log, rows.limit(120), "b")
+    run(jobs.append_job(stream(), out, checkpoint, flush_rows=batches.FLUSH_ROWS, available_now=True))
+    sizes = [r["count"] for r in spark.read.parquet(out).groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 1070 and max(sizes) == 100
+    dated = scratch_path(spark, "dated")
+    run(jobs.append_job(stream(), dated, scratch_path(spark, "cp"), "ts", flush_rows=100, available_now=True))
+    sizes = [r["count"] for r in spark.read.parquet(dated).groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 1070 and max(sizes) <= 100
