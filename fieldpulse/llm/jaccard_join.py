@@ -56,7 +56,7 @@ _factors = texts.mix(np.arange(101, 101 + SHINGLE, dtype=np.uint64)) | np.uint64
 def shingle_sets(batch: pa.RecordBatch) -> list[np.ndarray]:
     """The sorted distinct 64-bit shingle hashes of every text of the block."""
     words = texts.Words(*texts.joined(batch.column(batch.schema.get_field_index("text"))))
-    hashes = words.hashes()
+    hashes = words.strong_hashes()
     n = len(hashes)
     rolling = np.zeros(max(n - SHINGLE + 1, 0), np.uint64)
     for k in range(SHINGLE):

@@ -78,6 +78,8 @@ class TokenAutomaton:
                 opened.append(state)
                 run = []
             elif part == "]]":
+                if not opened:
+                    raise ValueError(f"]] without [[ in {template!r}")
                 self.free[opened.pop()].append(state)
                 run = []
             elif part.startswith("{{"):
@@ -94,6 +96,10 @@ class TokenAutomaton:
                     state = self._to_new(state, word)
                     run = [] if opened else [*run, word]
                     self.anchor = max(self.anchor, run, key=len)
+        if opened:
+            raise ValueError(f"[[ without ]] in {template!r}")
+        if not self.anchor:
+            raise ValueError(f"no mandatory wording in {template!r}")
         self.accepting = state
         self.closure = [self._reach(s) for s in range(len(self.step))]
         self.first = {word for s in self.closure[0] for word, _ in self.step[s]}

@@ -18,6 +18,7 @@ without labelled rows all posteriors are equal shares; an empty table gives an e
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
@@ -36,7 +37,6 @@ RATE = 0.05
 DECAY = 1e-4
 ROUNDS = 40  # most gradient rounds
 TOLERANCE = 1e-4  # largest residual, as a share of all tokens, at which the rounds end
-SNAP = 0.1
 
 DOMAINS = ("good", "poor")
 TARGETS = {"good": 0.98, "poor": 0.02}
@@ -168,14 +168,15 @@ def fit_rates(soft: DataFrame, targets: Sequence[float], budget: float | None =
     its tokens; the others are then thinned out or repeated to meet their shares.
     The residual is whitened with the token-weighted second moments of the posteriors of the
     texts whose rate is above zero, so that rare domains converge as fast as common ones; the
-    step is halved whenever the residual has grown.
+    step is halved whenever the residual has grown. Targets that the texts cannot meet are warned
+    of with what is missing; the moves are those up to the smallest residual.
     """
     k = len(targets)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     weights = np.array(targets, float) / sum(targets)
     p = lambda i: F.get("p", F.lit(i))
     moves: list[list[float]] = []
-    n, step, size_before = 0.0, 1.0, np.inf
+    n, step, size_before, best = 0.0, 1.0, np.inf, (np.inf, 0)
     while True:
         live = F.when(F.col("x") > 0, F.col("tokens")).otherwise(0)
         row = soft.select("tokens", "p", rate_column(moves).alias("x")).agg(
@@ -194,22 +195,22 @@ def fit_rates(soft: DataFrame, targets: Sequence[float], budget: float | None =
             moments[i, j] = moments[j, i] = value / n
         residual = expected - total * weights
         size = np.abs(residual).max()
+        if size < best[0]:
+            best = size, len(moves)
         if size <= tolerance or len(moves) == rounds:
-            return moves
+            if best[0] > tolerance:
+                shares = ", ".join(f"{x:.4f}" for x in (expected / max(expected.sum(), 1e-300)))
+                warnings.warn(f"targets missed: residual {best[0]:.2e} of the tokens after {len(moves)} rounds, shares {shares}", stacklevel=2)
+            return moves[: best[1]]
         step = step / 2 if size > size_before else min(1.0, 1.5 * step)
         size_before = size
         moves.append((step * np.linalg.pinv(moments, rcond=1e-6) @ residual).tolist())
 
 
-def copies_column(rate: Column, key: Column, snap: float = SNAP) -> Column:
-    """Whole copies of a text with this rate; `key` decides the rest by hash.
-
-    A rate within `snap` of a whole number is rounded to it, which moves the totals off their targets; 0 rounds none.
-    """
-    near = F.abs(rate - F.round(rate)) <= snap
+def copies_column(rate: Column, key: Column) -> Column:
+    """Whole copies of a text with this rate: its whole part, and one more with the probability of the rest, by hash of `key`."""
     share = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = F.floor(rate) + F.when(share < rate - F.floor(rate), 1).otherwise(0)
-    return F.when(near, F.round(rate)).otherwise(drawn).cast("int")
+    return (F.floor(rate) + F.when(share < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, budget: float | None = None,
@@ -220,7 +221,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TAR
     slim = materialize(soft.select("tokens", "p"), "posteriors")
     rate = rate_column(fit_rates(slim, list(targets.values()), budget))
     key = F.coalesce(F.col("row").getField(row_id).cast("string"), F.col("row").getField(text), F.lit(""))
-    return soft.withColumn("rate", rate).withColumn("copies", copies_column(F.col("rate"), key, snap=0.0))
+    return soft.withColumn("rate", rate).withColumn("copies", copies_column(F.col("rate"), key))
 
 
 def draw(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, budget: float | None = None) -> DataFrame:

@@ -124,7 +124,8 @@ def scan_versions(versions: DataFrame, ledger: str | None = None, row_id: str =
     spark = versions.sparkSession
     ledger = ledger or scratch_path(spark, "ledger")
     hashed = update_ledger(versions, ledger, row_id, text)
-    findings = _read_ledger(spark, ledger).drop("rule_version")
+    # runs that overlap may both have scanned a blob
+    findings = _read_ledger(spark, ledger).drop("rule_version").dropDuplicates(["blob"])
     return hashed.withColumnRenamed("_id", "doc_id").join(findings, "blob")
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
+POLYNOMIAL_BYTES = 32
 BLOCK_BYTES = 2 << 20  # texts worked on together; a longer text is a block of its own
 
 _OTHERS = bytes(b for b in range(128) if not (48 <= b <= 57 or 97 <= b <= 122))
@@ -111,5 +113,17 @@ class Words:
         self.first = np.searchsorted(self.begin, offsets)
 
     def hashes(self) -> np.ndarray:
-        """64-bit hash of each word."""
+        """64-bit hash of each word, for buckets."""
         return hashes_of(self.data, self.begin, self.end)
+
+    def strong_hashes(self) -> np.ndarray:
+        """64-bit hash of each word, for telling words apart.
+
+        A polynomial modulo 2^64 is the same for some pairs of long words of regular build;
+        words longer than `POLYNOMIAL_BYTES` get BLAKE2 hashes.
+        """
+        out = self.hashes()
+        for i in np.flatnonzero(self.end - self.begin > POLYNOMIAL_BYTES):
+            word = self.data[self.begin[i] : self.end[i]].tobytes()
+            out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return out

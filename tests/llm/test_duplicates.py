@@ -226,3 +226,14 @@ def test_removal_edge_rows(spark, edge, none, edge_rows):
     assert of[8]["n_removed"] == of[8]["n_bytes"] and bytes(of[8]["kept"]) == b""
     assert of[4]["n_removed"] == 0  # repeats within one document stay
     assert suffix_dedup.remove_repeats(none).count() == 0
+
+
+def test_long_words_of_regular_build_are_told_apart(spark):
+    """A word of 1024 bytes and its complement, on which polynomials modulo 2^64 agree."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    docs = [(1, f"p q r s {word}"), (2, f"p q r s {other}"), (3, f"p q r s {word}")]
+    rows = jaccard_join.join_components(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {1: 1, 2: 2, 3: 1}

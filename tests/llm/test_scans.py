@@ -196,3 +196,20 @@ def test_license_edges(spark, edge, none, edge_rows):
     assert rows[None][0]["base_labels"] == "mit" and rows[None][0]["first_word"] == 3
     assert rows[1][0]["n_words"] == 0 == rows[10][0]["n_words"] and rows[1][0]["score"] == 0
     assert licenses.scan(none).count() == 0
+
+
+def test_overlapping_ledger_runs_give_one_row_each(spark):
+    """Two runs that began on one ledger have both appended the same blob."""
+    ledger = scratch_path(spark, "ledger-test")
+    versions = spark.createDataFrame([(1, "token=abcdefgh"), (2, "nothing"), (3, "nothing")], "doc_id bigint, text string")
+    secrets.update_ledger(versions, ledger)
+    spark.read.parquet(ledger).write.mode("append").parquet(ledger + "-twice")
+    spark.read.parquet(ledger).write.mode("append").parquet(ledger + "-twice")
+    rows = secrets.scan_versions(versions, ledger + "-twice").collect()
+    assert sorted((r["doc_id"], r["n_assign"]) for r in rows) == [(1, 1), (2, 0), (3, 0)]
+
+
+@pytest.mark.parametrize("template", ["[[maybe]] {{name 3}}", "under the [[terms of license", "under ]] the license", ""])
+def test_templates_that_cannot_match_are_refused(template):
+    with pytest.raises(ValueError):
+        licenses.TokenAutomaton(template)
