@@ -1,7 +1,7 @@
 """Ordered per-key computations that survive a key holding a large share of all rows.
 
 A window partitioned by device puts a device's whole history into one task. Here
-the keys with more than `max_rows` rows are cut into time slots, the window runs
+the keys with more than `max_rows` rows are cut into slots of so many rows in order, the window runs
 per (key, slot), and what a slot needs from the slots before it is carried over
 through one small summary row per slot. All other keys keep a plain window.
 """
@@ -12,6 +12,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fieldpulse.operators.ranking import global_rank
+from fieldpulse.session import materialize
+
 MAX_ROWS_PER_SLOT = 1_000_000
 # a broadcast hint is given only below this number of hot keys (about 40 bytes each)
 MAX_BROADCAST_KEYS = 200_000
@@ -21,14 +24,15 @@ HOT = "_hot"
 
 
 def with_slots(
-    df: DataFrame, keys: Sequence[str], ts: str, max_rows: int = MAX_ROWS_PER_SLOT
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int = MAX_ROWS_PER_SLOT
 ) -> tuple[DataFrame, bool]:
     """Add `_slot` (0 for ordinary keys) and `_hot`, and tell whether any key is hot.
 
-    Counting is one map-side-combined aggregation over the key and time columns.
-    With several keys the first is counted alone to begin with: a combination can
-    only be hot if its first key is, and mostly none is.
-    Slots of a hot key have equal width in time and on average `max_rows` rows.
+    Counting is one map-side-combined aggregation over the key columns. With several keys the
+    first is counted alone to begin with: a combination can only be hot if its first key is,
+    and mostly none is. The rows of hot keys are sorted by (keys, order) and numbered; every
+    `max_rows` of them are a slot, so a slot's size is exact even if all rows of a key fall into one
+    instant. Slots follow each other in the order of `order`.
     """
     plain = df.withColumn(SLOT, F.lit(0).cast("bigint")).withColumn(HOT, F.lit(False))
     counted = df
@@ -39,29 +43,20 @@ def with_slots(
             return plain, False
         first = F.broadcast(first) if n_first <= MAX_BROADCAST_KEYS else first
         counted = df.join(first, keys[0], "left_semi")
-    hot = (
-        counted.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min(F.unix_micros(ts)).alias("_from"),
-            F.max(F.unix_micros(ts)).alias("_to"),
-        )
-        .filter(F.col("_n") > max_rows)
-    )
+    hot = materialize(counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows).select(*keys), "hot-keys")
     n_hot = hot.count()
     if n_hot == 0:
         return plain, False
     if n_hot <= MAX_BROADCAST_KEYS:
         hot = F.broadcast(hot)
-    n_slots = F.ceil(F.col("_n") / F.lit(max_rows))
-    width = F.greatest(F.ceil((F.col("_to") - F.col("_from") + 1) / n_slots), F.lit(1))
-    slot = F.floor((F.unix_micros(ts) - F.col("_from")) / width).cast("bigint")
-    slotted = (
-        df.join(hot, list(keys), "left")
-        .withColumn(SLOT, F.coalesce(slot, F.lit(0).cast("bigint")))
-        .withColumn(HOT, F.col("_n").isNotNull())
-        .drop("_n", "_from", "_to")
-    )
+    total = [F.col(f"`{c}`").asc_nulls_first() for c in (*keys, *order)]
+    numbered = global_rank(df.join(hot, list(keys), "left_semi"), total, "_number")
+    begins = numbered.groupBy(*keys).agg(F.min("_number").alias("_begin"))
+    if n_hot <= MAX_BROADCAST_KEYS:
+        begins = F.broadcast(begins)
+    slot = F.floor((F.col("_number") - F.col("_begin")) / F.lit(max_rows)).cast("bigint")
+    of_hot = numbered.join(begins, list(keys)).select(*df.columns, slot.alias(SLOT), F.lit(True).alias(HOT))
+    slotted = df.join(hot, list(keys), "left_anti").select(*df.columns, F.lit(0).cast("bigint").alias(SLOT), F.lit(False).alias(HOT)).unionByName(of_hot)
     # explicit, because input already partitioned by the keys alone would satisfy the
     # window and leave all slots of a hot key in one task
     return slotted.repartition(*keys, SLOT), True
@@ -79,7 +74,7 @@ def with_previous(
 
     `order` starts with the timestamp column and ends with a unique tie-break.
     """
-    slotted, any_hot = with_slots(df, keys, order[0], max_rows)
+    slotted, any_hot = with_slots(df, keys, order, max_rows)
     slotted = slotted.withColumn("_value", value)
     in_order = Window.partitionBy(*keys, SLOT).orderBy(*order)
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
@@ -122,7 +117,7 @@ def with_recent(
     are found on the key and order columns alone, and `value`, which may cost much,
     is computed again for those few rows only.
     """
-    slotted, any_hot = with_slots(df, keys, order[0], max_rows)
+    slotted, any_hot = with_slots(df, keys, order, max_rows)
     in_order = Window.partitionBy(*keys, SLOT).orderBy(*order)
     frame = in_order.rowsBetween(1 - size, 0)
     out = slotted.withColumn("_value", value).withColumn(name, F.collect_list("_value").over(frame))

@@ -31,7 +31,7 @@ def rate_limit(
     """Fixed-window limit per client: the n-th request of a window is denied when n > limit.
 
     Excluded paths pass and are not counted. A client's window with very many
-    requests is cut into time slots whose sizes are added up before numbering.
+    requests is cut into slots whose sizes are added up before numbering.
     """
     multiplier = F.lit(1.0)
     for role, factor in ROLE_MULTIPLIERS.items():
@@ -43,7 +43,7 @@ def rate_limit(
     # excluded requests form groups of their own and their numbers are not used
     numbered = counted.withColumn("_excluded", F.col("path").isin(*RATE_LIMIT_EXCLUDED_PATHS))
     keys = ["client_id", "window", "_excluded"]
-    slotted, any_hot = with_slots(numbered, keys, "ts", max_rows)
+    slotted, any_hot = with_slots(numbered, keys, ["ts", "id"], max_rows)
     n = F.row_number().over(Window.partitionBy(*keys, SLOT).orderBy("ts", "id")).cast("bigint")
     out = slotted.withColumn("_n", n)
     if any_hot:
@@ -137,13 +137,13 @@ def smoothed_latency(
     """Exponential average and adaptive CPU threshold per key, after all observations.
 
     Observations of one key and slot are folded in time order in one row, at most
-    about `max_rows` of them; missing ones are left out. Slots of a hot key are joined up afterwards: the
+    `max_rows` of them; missing ones are left out. Slots of a hot key are joined up afterwards: the
     average enters a slot as `factor * before + started`, the threshold as one
     clamped shift per slot.
     """
     slotted, any_hot = with_slots(
         df.select(F.col(key).alias("_key"), *order, F.col(value).cast("double").alias("_x")).filter("_x IS NOT NULL"),
-        ["_key"], order[0], max_rows,
+        ["_key"], order, max_rows,
     )
     folded = slotted.groupBy("_key", SLOT, HOT).agg(
         F.array_sort(F.collect_list(F.struct(*order, "_x"))).alias("_obs"), F.count(F.lit(1)).alias("_n")

@@ -267,3 +267,19 @@ def test_quantile_of_buckets_that_do_not_rise(spark):
     df = spark.createDataFrame(rows, "l string, le double, ts timestamp, value bigint")
     last = windows.rate_quantile(df, ["l"], 60, 0.5).orderBy(F.desc("ts")).first()
     assert (last["total"], last["quantile"]) == (20, pytest.approx(0.1))
+
+
+def test_a_key_whose_rows_share_one_instant_is_cut_by_rows(spark):
+    """Slots of 7 rows and of a million agree, for all rows of a key in one second."""
+    t0 = datetime(2024, 1, 1)
+    rng = random.Random(8)
+    rows = [("hot", t0, i, rng.choice([0.0, 20.0, 95.0, 400.0])) for i in range(500)] + [("cold", t0, i, 50.0) for i in range(3)] + [(None, t0, 1, 1.0)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, id bigint, x double")
+    cut, any_hot = hot_keys.with_slots(df, ["k"], ["ts", "id"], 7)
+    assert any_hot and cut.count() == len(rows)
+    sizes = cut.filter("_hot").groupBy("_slot").agg(F.count("*").alias("n"), F.min("id").alias("low")).orderBy("_slot").collect()
+    assert [r["n"] for r in sizes] == [7] * 71 + [3] and [r["low"] for r in sizes] == list(range(0, 500, 7))
+    one, many = (sorted(as_dicts(windows.smoothed_latency(df, "k", ["ts", "id"], "x", max_rows=n)), key=lambda r: str(r["k"])) for n in (1_000_000, 7))
+    for a, b in zip(one, many, strict=True):
+        assert (a["k"], a["observations"], a["cpu_threshold"]) == (b["k"], b["observations"], b["cpu_threshold"])
+        assert a["ema_latency"] == pytest.approx(b["ema_latency"], rel=1e-9)
