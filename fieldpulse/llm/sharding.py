@@ -6,8 +6,10 @@ first key with at least j/n of all bytes before it. The splitters are found by c
 each round cuts the cells that still hold a wanted splitter into 1024 smaller ones, sums
 their exact bytes in one aggregation over the sizes, and keeps at most one cell for each
 splitter, until the bytes before every splitter are within the tolerance or the cell holds
-one key only. Then the small rows (no text) are exchanged once, by cells of equal width
-that are finer than shards, to number the rows of each shard without gaps.
+one key only. Then the small rows (no text) are exchanged once, by cells that are finer than
+shards, to number the rows of each shard without gaps. The cells come from counting too: a cell
+of too many rows is cut by the next bits of the key until its pieces are small, so a text that a
+third of all rows share is numbered by many tasks, along the bits of the row ids.
 
 Law `bytes`: shard sizes differ from the mean by at most one key's bytes and the tolerance.
 Defined cases: a NULL text has no bytes and checksum 0; a NULL id hashes like an empty one;
@@ -26,7 +28,7 @@ KEY_BITS = 60
 ROUND_BITS = 10  # each round looks at 2**10 cells for each splitter
 ROW_OVERHEAD = 8  # bytes added to every text
 SHARDS = 24
-ROWS_PER_CELL = 500_000  # rows that one task numbers, on average
+ROWS_PER_CELL = 500_000  # rows that one task numbers: on average, and at most twice as many but for equal keys
 
 
 def _md5_bits(value: Column, digits: int) -> Column:
@@ -85,6 +87,33 @@ def find_splitters(sized: DataFrame, n_shards: int, tolerance: int = 0) -> list[
     return [found[j] for j in sorted(found)]
 
 
+def find_cells(sized: DataFrame, n_rows: int, rows_per_cell: int) -> list[tuple[int, list[int]]]:
+    """[(shift, cells of at most that width that are cut further)], widest first; the last list is empty.
+
+    Each round counts the rows inside the cells that are too full, by the next bits of the key.
+    The driver holds only full cells, of which there are at most n_rows / (2 * rows_per_cell).
+    """
+    shift = KEY_BITS - max(0, (n_rows // rows_per_cell).bit_length())
+    levels: list[tuple[int, list[int]]] = []
+    while True:
+        inside = sized if not levels else sized.filter(F.shiftright("_key", levels[-1][0]).isin(levels[-1][1]))
+        cells = inside.groupBy(F.shiftright("_key", shift).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+        full = [r["cell"] for r in cells.filter(F.col("n") > 2 * rows_per_cell).collect()] if shift else []
+        levels.append((shift, full))
+        if not full:
+            return levels
+        shift = max(shift - ROUND_BITS, 0)
+
+
+def cell_of(levels: list[tuple[int, list[int]]]) -> Column:
+    """The lowest key of a row's cell. A cell that was cut is no cell, so the lowest keys differ."""
+    cell = None
+    for shift, full in reversed(levels):
+        own = F.shiftleft(F.shiftright("_key", shift), shift)
+        cell = own if cell is None else F.when(F.shiftright("_key", shift).isin(full), cell).otherwise(own)
+    return cell
+
+
 def shard(docs: DataFrame, n_shards: int = SHARDS, row_id: str = "doc_id", text: str = "text",
           tolerance: int = 0) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (NULL: the law is not `key`) of every row."""
@@ -92,10 +121,8 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, row_id: str = "doc_id", text:
     splitters = find_splitters(sized, n_shards, tolerance)
     at_or_below = sum((F.when(F.col("_key") >= s, 1).otherwise(0) for s in splitters), F.lit(0))
     n_rows = sized.count()
-    cell_bits = max(0, (n_rows // ROWS_PER_CELL).bit_length())
-    placed = sized.withColumn("shard", at_or_below.cast("int")).withColumn(
-        "_cell", F.shiftright("_key", KEY_BITS - cell_bits)
-    )
+    cells = find_cells(sized, n_rows, ROWS_PER_CELL)
+    placed = sized.withColumn("shard", at_or_below.cast("int")).withColumn("_cell", cell_of(cells))
     # rows before each piece of a shard: one small row for each shard and cell
     pieces = placed.groupBy("shard", "_cell").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)

@@ -84,6 +84,27 @@ def test_cells_and_tolerance(spark, folder, monkeypatch):
     assert sum(sizes.values()) == sum(loose.values())
 
 
+def test_hot_text_is_numbered_in_small_cells(spark, monkeypatch):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "x").otherwise(F.col("id").cast("string")).alias("text"))
+    sized = sharding.with_key(docs)
+    levels = sharding.find_cells(sized, 6000, 20)
+    assert len(levels) > 3 and levels[-1][1] == []
+    cells = sized.groupBy(sharding.cell_of(levels).alias("cell")).count()
+    assert cells.agg(F.max("count")).first()[0] <= 40
+    monkeypatch.setattr(sharding, "ROWS_PER_CELL", 20)
+    rows = sharding.shard(docs, 5).collect()
+    sizes = checked(rows, 5)
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * 12
+    monkeypatch.setattr(sharding, "ROWS_PER_CELL", 10_000)
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, sharding.shard(docs, 5).collect()))
+
+
+def test_rows_of_one_key_end_the_cutting(spark):
+    docs = spark.range(100).select(F.lit(1).alias("doc_id"), F.lit("x").alias("text"))
+    levels = sharding.find_cells(sharding.with_key(docs), 100, 5)
+    assert levels[-1] == (0, [])
+
+
 def test_sharding_edge_rows(spark, edge, none, edge_rows):
     rows = sharding.shard(edge, 3).collect()
     assert len(rows) == len(edge_rows) and sharding.shard(none, 3).count() == 0
