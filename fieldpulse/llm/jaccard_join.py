@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fieldpulse.llm import text as texts
 from fieldpulse.llm.components import connected_components
+from fieldpulse.llm.dealing import join_dealt
 from fieldpulse.llm.registry import query, table
 from fieldpulse.session import materialize
 
@@ -336,32 +337,33 @@ def _cross_candidates(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
     n = _numbers(sketches["y"], np.int64)[first]
     bits = _numbers(sketches["z"], np.uint64).reshape(-1, SKETCH_BITS // 64)[first]
     d = np.searchsorted(ids, d)  # from here on documents are rows of `ids`
-    order = np.lexsort((c, e))
-    e, d, c = e[order], d[order], c[order]
+    sizes = n[d]
+    order = np.lexsort((d, sizes, e))
+    e, d, c, sizes = e[order], d[order], c[order], sizes[order]
     edges = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1], [True]]))
     s, t = SIMILARITY
 
     def possible(held: list[np.ndarray]) -> pd.DataFrame:
         pairs = np.unique(np.concatenate(held))
         a, b = pairs // len(ids), pairs % len(ids)
-        near = t * np.minimum(n[a], n[b]) >= s * np.maximum(n[a], n[b])
-        a, b = a[near], b[near]
         differ = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
         good = (s + t) * differ <= (t - s) * (n[a] + n[b])
         a, b = ids[a[good]], ids[b[good]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
+    mixed = np.minimum.reduceat(c, edges[:-1]) != np.maximum.reduceat(c, edges[:-1]) if len(c) else []
     done, held, size = set(), [], 0
-    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        if high - low < 2 or c[low] == c[high - 1] or (key := d[low:high].tobytes()) in done:
+    for low, high in zip(edges[:-1][mixed].tolist(), edges[1:][mixed].tolist(), strict=True):
+        if (key := d[low:high].tobytes()) in done:
             continue
         done.add(key)
-        for i in range(low, high):
-            after = int(np.searchsorted(c[low:high], c[i], side="right")) + low
-            if after < high:
-                other = d[after:high]
+        # in the order of sizes, the partners of a set end where sizes grow too large for it
+        ends = low + np.searchsorted(s * sizes[low:high], t * sizes[low:high], side="right")
+        for i, end in enumerate(ends.tolist(), low):
+            other = d[i + 1 : end][c[i + 1 : end] != c[i]]
+            if len(other):
                 held.append(np.minimum(d[i], other) * len(ids) + np.maximum(d[i], other))
-                size += high - after
+                size += len(other)
             if size > 500_000:
                 yield possible(held)
                 held, size = [], 0
@@ -448,7 +450,7 @@ def join_components(docs: DataFrame, row_id: str = "doc_id", text: str = "text")
     docs = docs.select(F.col(row_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     rows = materialize(profile(docs), "profile")
     classes = rows.filter("doc_id IS NOT NULL AND n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id"))
-    joined = rows.drop("bits").join(classes, ["d1", "d2", "n"], "left")
+    joined = join_dealt(rows.drop("bits"), classes, ["d1", "d2", "n"], "left")
     members = materialize(joined.select("doc_id", "n", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")), "members")
     one = members.filter("doc_id = class_id AND n > 0").select("doc_id", "n").distinct()
     n_sets, largest = one.agg(F.count(F.lit(1)), F.max("n")).first()

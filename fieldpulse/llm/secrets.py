@@ -24,8 +24,9 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from fieldpulse.llm.dealing import join_dealt
 from fieldpulse.llm.registry import query, table
-from fieldpulse.session import scratch_path
+from fieldpulse.session import materialize, scratch_path
 
 # The base patterns, with the smallest length of the part that counts.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -95,7 +96,7 @@ def update_ledger(versions: DataFrame, ledger: str, row_id: str = "doc_id", text
     spark = versions.sparkSession
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = versions.select(F.col(row_id).alias("_id"), body.alias("_text")).withColumn("blob", F.sha2("_text", 256))
-    hashed = rows.select("_id", "blob")
+    hashed = materialize(rows.select("_id", "blob"), "versions")
     unseen = hashed.groupBy("blob").agg(F.min("_id").alias("_chosen"))
     seen = _read_ledger(spark, ledger)
     if seen is not None:
@@ -126,7 +127,7 @@ def scan_versions(versions: DataFrame, ledger: str | None = None, row_id: str =
     hashed = update_ledger(versions, ledger, row_id, text)
     # runs that overlap may both have scanned a blob
     findings = _read_ledger(spark, ledger).drop("rule_version").dropDuplicates(["blob"])
-    return hashed.withColumnRenamed("_id", "doc_id").join(findings, "blob")
+    return join_dealt(hashed.withColumnRenamed("_id", "doc_id"), findings, ["blob"])
 
 
 @query("op1_secret_scan")

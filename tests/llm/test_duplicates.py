@@ -11,7 +11,9 @@ import pyarrow as pa
 import pytest
 
 from fieldpulse.llm import components, jaccard_join, suffix_dedup
+from fieldpulse.llm.dealing import join_dealt
 from fieldpulse.llm.queries import QUERIES
+from fieldpulse.session import materialize
 
 
 class Sets:
@@ -237,3 +239,32 @@ def test_long_words_of_regular_build_are_told_apart(spark):
     docs = [(1, f"p q r s {word}"), (2, f"p q r s {other}"), (3, f"p q r s {word}")]
     rows = jaccard_join.join_components(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in rows} == {1: 1, 2: 2, 3: 1}
+
+
+def test_dealt_join_equals_join(spark):
+    rows = materialize(spark.range(4000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN -1 WHEN id % 50 = 1 THEN NULL ELSE id % 700 END AS k"), "dealt-test")
+    one = spark.range(-1, 650).selectExpr("id AS k", "id * 2 AS v")
+    for how in ("inner", "left"):
+        got, plain = (sorted(map(tuple, df.select("id", "k", "v").fillna(-7).collect())) for df in (join_dealt(rows, one, ["k"], how), rows.join(one, "k", how)))
+        assert got == plain
+    assert join_dealt(rows.limit(0), one, ["k"]).count() == 0
+
+
+def test_large_bucket_compares_sets_of_like_size_only():
+    """2 000 sets of one bucket, all in components of their own, of 1 to 2 000 shingles."""
+    n, words = 2000, jaccard_join.SKETCH_BITS // 64
+    numbers = np.random.default_rng(1)
+    bits = np.zeros((n, words), np.uint64)
+    bits[:, 0] = numbers.integers(0, 2**63, n, dtype=np.uint64)
+    ids, sizes = np.arange(n, dtype=np.int64), np.arange(1, n + 1, dtype=np.int64)
+    part = pd.DataFrame([
+        {"kind": jaccard_join.ENTRIES, "x": np.zeros(n, np.uint64).tobytes(), "y": ids.tobytes(), "z": ids.tobytes()},
+        {"kind": jaccard_join.SKETCHES, "x": ids.tobytes(), "y": sizes.tobytes(), "z": bits.tobytes()},
+    ])
+    got = {tuple(r) for r in jaccard_join._cross_group(part).itertuples(index=False)}
+    want = set()
+    for a in range(n):
+        differ = np.bitwise_count(bits[a, 0] ^ bits[a + 1 :, 0]).astype(np.int64)
+        fits = (100 * sizes[a] >= 80 * sizes[a + 1 :]) & (180 * differ <= 20 * (sizes[a + 1 :] + sizes[a]))
+        want |= {(a, a + 1 + b) for b in np.flatnonzero(fits).tolist()}
+    assert got == want and 0 < len(want) < n * n // 4
