@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, functions as F
 
 from fieldpulse.operators.hot_keys import MAX_ROWS_PER_SLOT, with_previous
 
 
+FIELDS = ("status", "firmware", "name", "device_type", "metadata")  # those an event table has are folded
+ID_RANGE = Decimal(10**19)  # above every event id
+
+
 def judge_events(events: DataFrame, max_rows: int = MAX_ROWS_PER_SLOT) -> DataFrame:
     """Every lifecycle event with `reject_reason`, NULL when it took effect.
 
-    Events are (event_id, device_id, event_type, status, firmware, ts), ordered by
-    (ts, event_id). The rules need no row-by-row replay: a device starts with its
+    Events are (event_id, device_id, event_type, status, firmware, ts) and perhaps further
+    fields, ordered by (ts, event_id). The rules need no row-by-row replay: a device starts with its
     first `created`; every later update counts until the device is decommissioned,
     by an update to that status or by the first request that finds the device in a
     status other than active; whatever comes first ends the device's life.
@@ -40,30 +46,45 @@ def judge_events(events: DataFrame, max_rows: int = MAX_ROWS_PER_SLOT) -> DataFr
     return judged.withColumn("reject_reason", reason).select(*events.columns, "reject_reason")
 
 
+def _fields(df: DataFrame) -> list[str]:
+    return [f for f in FIELDS if f in df.columns]
+
+
 def device_snapshot(judged: DataFrame) -> DataFrame:
-    """Current state per device from the events that took effect: last write per field."""
-    position = F.struct("ts", "event_id")
-    kind = F.col("event_type")
-    accepted = judged.filter(F.col("reject_reason").isNull())
-    status = (
+    """Current state per device from the events that took effect: last write per field.
+
+    An event writes the fields it holds a value for. The place of every field's last write is a
+    fixed-width maximum, event ids being whole numbers; only the few events at those places, at most one per field, are then
+    picked by a join on the device.
+    """
+    kind, fields = F.col("event_type"), _fields(judged)
+    place = F.coalesce(F.unix_micros("ts"), F.lit(-(1 << 63))).cast("decimal(19,0)") * F.lit(ID_RANGE) + F.col("event_id").cast("decimal(19,0)")
+    writes = {f: F.when(kind != "decommissioned", F.col(f)) for f in fields}
+    writes["status"] = (
         F.when(kind == "created", "registered")
         .when(kind == "decommissioned", "decommissioned")
         .otherwise(F.col("status"))
     )
-    changes_fields = kind != "decommissioned"
-    return accepted.groupBy("device_id").agg(
-        F.max_by(status, F.when(status.isNotNull(), position)).alias("status"),
-        F.max_by("firmware", F.when(changes_fields & F.col("firmware").isNotNull(), position)).alias("firmware"),
+    accepted = judged.filter(F.col("reject_reason").isNull()).select(
+        "device_id", "ts", "event_type", place.alias("_place"), *[write.alias(f) for f, write in writes.items()]
+    )
+    last = accepted.groupBy("device_id").agg(
+        *[F.max(F.when(F.col(f).isNotNull(), F.col("_place"))).alias(f"_last_{f}") for f in fields],
         F.min(F.when(kind == "created", F.col("ts"))).alias("created_at"),
         F.max("ts").alias("updated_at"),
     )
+    wins = {f: F.col("_place") == F.col(f"_last_{f}") for f in fields}
+    picked = accepted.drop("ts", "event_type").join(last, "device_id").filter(F.greatest(*[F.coalesce(w, F.lit(False)) for w in wins.values()]))
+    return picked.groupBy("device_id", "created_at", "updated_at").agg(
+        *[F.max(F.when(win, F.col(f))).alias(f) for f, win in wins.items()]
+    ).select("device_id", *fields, "created_at", "updated_at")
 
 
 def emit_events(judged: DataFrame) -> DataFrame:
     """One outgoing event per accepted change. The id depends on the content, so a rerun repeats it."""
     accepted = judged.filter(F.col("reject_reason").isNull())
     name = F.concat(F.lit("device_"), F.col("event_type"))
-    payload = F.to_json(F.struct("status", "firmware"))
+    payload = F.to_json(F.struct(*_fields(accepted)))
     return accepted.select(
         F.sha2(F.concat_ws("|", F.col("device_id").cast("string"), name, F.col("event_id").cast("string")), 256).alias("id"),
         name.alias("event_type"), "device_id", F.col("ts").alias("timestamp"), payload.alias("payload"),

@@ -227,6 +227,55 @@ def j1_snapshot(spark, folder):
     return lifecycle.device_snapshot(lifecycle.judge_events(V.device_events(spark, folder)))
 
 
+# the same replay with partial updates of all five fields
+FIELD_REPLAY = {
+    "changes": """
+        SELECT event_id, device_id, event_type, CASE WHEN event_id % 13 <> 1 THEN status END AS status,
+               CASE WHEN event_type = 'created' OR event_id % 3 = 1 THEN firmware END AS firmware,
+               CASE WHEN event_type = 'created' THEN 'device-' || device_id
+                    WHEN event_type = 'updated' AND event_id % 5 = 0 THEN 'renamed-' || event_id % 50 END AS name,
+               CASE WHEN event_type = 'created' THEN 'smart_meter'
+                    WHEN event_type = 'updated' AND event_id % 7 = 0 THEN 'type-' || event_id % 4 END AS device_type,
+               CASE WHEN event_type = 'created' THEN '{}'
+                    WHEN event_type = 'updated' AND event_id % 2 = 0 THEN '{"zone":"z' || event_id % 6 || '"}' END AS metadata,
+               ts FROM device_events""",
+    "numbered": """
+        SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY ts, event_id) AS rn FROM changes""",
+    "replay": """
+        SELECT device_id, rn, event_type = 'created' AS taken, ts, CASE WHEN event_type = 'created' THEN ts END AS created_at,
+               CASE WHEN event_type = 'created' THEN 'registered' END AS status,
+               CASE WHEN event_type = 'created' THEN firmware END AS firmware,
+               CASE WHEN event_type = 'created' THEN name END AS name,
+               CASE WHEN event_type = 'created' THEN device_type END AS device_type,
+               CASE WHEN event_type = 'created' THEN metadata END AS metadata
+        FROM numbered WHERE rn = 1
+        UNION ALL
+        SELECT device_id, rn, taken, ts, CASE WHEN taken AND old_status IS NULL THEN ts ELSE created_at END,
+               CASE WHEN NOT taken THEN old_status WHEN event_type = 'created' THEN 'registered'
+                    WHEN event_type = 'decommissioned' THEN 'decommissioned' ELSE coalesce(status, old_status) END,
+               CASE WHEN writes THEN coalesce(firmware, old_firmware) ELSE old_firmware END,
+               CASE WHEN writes THEN coalesce(name, old_name) ELSE old_name END,
+               CASE WHEN writes THEN coalesce(device_type, old_type) ELSE old_type END,
+               CASE WHEN writes THEN coalesce(metadata, old_metadata) ELSE old_metadata END
+        FROM (SELECT *, taken AND event_type <> 'decommissioned' AS writes
+              FROM (SELECT n.*, r.created_at, r.status AS old_status, r.firmware AS old_firmware, r.name AS old_name,
+                           r.device_type AS old_type, r.metadata AS old_metadata,
+                           CASE WHEN r.status IS NULL THEN n.event_type = 'created'
+                                WHEN n.event_type = 'created' OR r.status = 'decommissioned' THEN false
+                                ELSE n.event_type = 'updated' OR r.status <> 'active' END AS taken
+                    FROM replay r JOIN numbered n ON n.device_id = r.device_id AND n.rn = r.rn + 1))""",
+}
+
+
+@query("j1_field_snapshot", """
+    SELECT device_id, arg_max(status, rn) AS status, arg_max(firmware, rn) AS firmware, arg_max(name, rn) AS name,
+           arg_max(device_type, rn) AS device_type, arg_max(metadata, rn) AS metadata,
+           min(created_at) AS created_at, max(ts) FILTER (taken) AS updated_at
+    FROM replay GROUP BY device_id HAVING count(status) > 0""", FIELD_REPLAY)
+def j1_fields(spark, folder):
+    return lifecycle.device_snapshot(lifecycle.judge_events(V.device_changes(spark, folder)))
+
+
 INCOMING = """
     SELECT event_id AS request_id, CASE WHEN event_id % 10 = 0 THEN device_id + 1000000 ELSE device_id END AS device_id,
            ts AS requested_at FROM device_events WHERE event_type = 'created'"""

@@ -16,7 +16,7 @@ from fieldpulse.plans.catalog.registry import query
 from fieldpulse.plans.catalog.scans import TELEMETRY_ROWS
 from fieldpulse.schemas import CONSUMER_GROUPS
 from fieldpulse.session import materialize, scratch_path
-from fieldpulse.sources import sample_views as V, tables
+from fieldpulse.sources import dated, sample_views as V, tables
 from fieldpulse.streaming import batches, jobs, lateness, stateful
 
 READING_COLUMNS = "id bigint, device_id string, device_type string, ts timestamp, payload string"
@@ -42,6 +42,35 @@ def a8(spark, folder):
     return read_batches(spark, path).drop("batch_id", "date")
 
 
+def dated_telemetry(spark, folder, name):
+    """The telemetry log, written by day and batch."""
+    path = scratch_path(spark, name)
+    stream = V.telemetry_stream(spark, folder).drop("payload")
+    finish(jobs.append_job(stream, path, scratch_path(spark, "checkpoint"), "ts", available_now=True))
+    return path
+
+
+@query("a8_gathered_days", TELEMETRY_ROWS)
+def a8_gathered(spark, folder):
+    batches = read_batches(spark, dated_telemetry(spark, folder, "stream"))
+    gathered = scratch_path(spark, "gathered")
+    jobs.compact_days(batches, gathered, "2024-01-02", "2024-01-20")
+    return dated.with_gathered(batches, read_batches(spark, gathered)).drop("date")
+
+
+@query("a14_dated_retention", f"""
+    SELECT * FROM ({TELEMETRY_ROWS}) QUALIFY row_number() OVER (ORDER BY ts DESC, id DESC) <= 4321""")
+def a14_dated(spark, folder):
+    log = read_batches(spark, dated_telemetry(spark, folder, "stream"))
+    return dated.keep_newest_days(log, 4321).drop("batch_id", "date")
+
+
+@query("a15_day_lengths", """
+    SELECT 'raw_telemetry' AS stream, CAST(ts AS DATE) AS date, count(*) AS length FROM telemetry GROUP BY ALL""")
+def a15_days(spark, folder):
+    return dated.day_lengths({"raw_telemetry": read_batches(spark, dated_telemetry(spark, folder, "stream"))})
+
+
 @query("a9_consumer_groups", """
     SELECT g AS consumer_group, count(*) AS entries, min(id) AS first_id, max(id) AS last_id
     FROM telemetry, (VALUES ('ml_inference'), ('data_persistence'), ('alert_handler')) v(g) GROUP BY g""")

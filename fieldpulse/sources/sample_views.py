@@ -179,6 +179,22 @@ def device_events(spark, folder) -> DataFrame:
     )
 
 
+def device_changes(spark, folder) -> DataFrame:
+    """The lifecycle log with all fields; an update names only some of them."""
+    key, new = F.col("event_id"), F.col("event_type") == "created"
+    changed = lambda every, value: F.when((F.col("event_type") == "updated") & (key % every == 0), value)
+    at_first = lambda value, later: F.when(new, value).otherwise(later)
+    return device_events(spark, folder).select(
+        "event_id", "device_id", "event_type",
+        F.when(key % 13 != 1, F.col("status")).alias("status"),
+        F.when(new | (key % 3 == 1), F.col("firmware")).alias("firmware"),
+        at_first(F.concat(F.lit("device-"), F.col("device_id").cast("string")), changed(5, F.concat(F.lit("renamed-"), (key % 50).cast("string")))).alias("name"),
+        at_first(F.lit("smart_meter"), changed(7, F.concat(F.lit("type-"), (key % 4).cast("string")))).alias("device_type"),
+        at_first(F.lit("{}"), changed(2, F.concat(F.lit('{"zone":"z'), (key % 6).cast("string"), F.lit('"}')))).alias("metadata"),
+        "ts",
+    )
+
+
 def node_reports(spark, folder) -> DataFrame:
     """One current report per node, some of them stale."""
     key = F.col("s_suppkey")

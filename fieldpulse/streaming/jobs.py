@@ -3,7 +3,7 @@
 A batch that is repeated after a failure replaces what its first attempt wrote,
 so sinks hold every batch exactly once. Late rows are set aside before a stateful
 step (`lateness`). Readings and scores are kept by day and
-batch, so that a time range prunes folders; `compact_days` gathers a closed day.
+batch, so that a time range prunes folders; `compact_days` gathers closed days.
 """
 
 from __future__ import annotations
@@ -21,14 +21,20 @@ from fieldpulse.sources.tables import spread
 from fieldpulse.streaming.batches import start, write_batch
 from fieldpulse.streaming.lateness import interval_micros, start_without_late
 
+
 def compact_days(batches: DataFrame, target: str, first: str, last: str) -> None:
     """Gather the closed days `first` to `last` of a table kept by day and batch into one kept by day.
 
-    A repeated run replaces the same days.
+    The folder `through=n` names the last batch that was there; `sources.dated.with_gathered` reads both
+    tables as one. A repeated run replaces the same folders, a run after further batches adds newer ones.
     """
-    closed = batches.filter(F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date"))).drop("batch_id")
-    gathered = closed.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    gathered.partitionBy("date").parquet(target)
+    through = batches.agg(F.max("batch_id")).first()[0]
+    if through is None:
+        return
+    closed = batches.filter(F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date")) & (F.col("batch_id") <= through))
+    dated = closed.drop("batch_id").withColumn("through", F.lit(through))
+    gathered = dated.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    gathered.partitionBy("date", "through").parquet(target)
 
 
 def append_job(

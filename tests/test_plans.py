@@ -1,8 +1,9 @@
 """Plans: what reaches the scan, what is shuffled, what must not appear."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from fieldpulse.operators import filters, hot_keys, placement, trend, windows
+from fieldpulse.operators import filters, hot_keys, lifecycle, placement, trend, windows
 from fieldpulse.plans.catalog import QUERIES
 from fieldpulse.sources import sample_views as V
 
@@ -11,7 +12,7 @@ LAZY_WITHOUT_ACTIONS = [
     "c11_experiment_summary", "c14_latency_histogram", "d1_device_health", "d2_recent_health", "d3_new_firmware", "d5_approval_merge",
     "d6_config_merge", "d7_alert_inhibition", "d8_stream_backlog", "d9_telemetry_admission", "e1_moving_average", "e2_sliding_device_stats",
     "e3_latest_node_report", "e4_rate_limit", "e6_counter_increase_1h", "e7_quantile_of_rate", "e8_canary_replay", "h1_trend_regression",
-    "h6_flagged_errors", "h11_placement_ranking", "j1_judged_events", "j2_provisioning_requests", "j5_activity_status",
+    "h6_flagged_errors", "h11_placement_ranking", "j1_judged_events", "j1_device_snapshot", "j1_field_snapshot", "j4_event_emission", "j2_provisioning_requests", "j5_activity_status",
 ]
 
 
@@ -43,6 +44,14 @@ def test_only_needed_columns_are_read(spark, folder):
     assert "ReadSchema: struct<ts:timestamp,user_id:bigint,value:double>" in text
 
 
+def test_change_log_is_folded_by_hash(spark, folder):
+    """Only the few events that hold a field's last write meet a sort aggregation."""
+    judged = V.device_changes(spark, folder).withColumn("reject_reason", F.when(F.col("event_id") % 10 == 0, "no"))
+    text = plan(lifecycle.device_snapshot(judged))
+    assert text.count("HashAggregate") == 2 and text.count("SortAggregate") == 2
+    assert "SortAggregate" not in text.split("Join", 1)[1]
+
+
 def test_top_reports_keep_sort_and_limit_together(spark, folder):
     for name in ("a12_newest", "a13_incremental_tail", "c4_top_devices", "f4_newest_sample", "b7_telemetry_listing"):
         assert "TakeOrderedAndProject" in plan(QUERIES[name].run(spark, folder)), name

@@ -1,5 +1,6 @@
 """Registry merges, device lifecycle, version vectors, placement."""
 
+import json
 import random
 from datetime import datetime, timedelta
 
@@ -56,6 +57,34 @@ def test_lifecycle_against_replay(spark, max_rows):
     assert emitted.count() == emitted.select("id").distinct().count() == sum(r is None for r in reasons.values())
 
 
+def test_fields_against_replay(spark):
+    """Partial updates of five fields, events in one instant, NULL times, and a missing field column."""
+    rng = random.Random(16)
+    some = lambda *values: rng.choice([None, None, *values])
+    kinds = ["created"] * 2 + ["updated"] * 8 + ["decommissioned"]
+    events = [(i, rng.choice("aabcdefgh"), rng.choice(kinds), some("active", "inactive"), some("v1", "v2"), some("n1", "n2"), some("t1", "t2"),
+               some("{}", '{"a":1}'), rng.choice([None] + [T0 + timedelta(seconds=rng.randrange(40))] * 30)) for i in range(400)]
+    fields = ("status", "firmware", "name", "device_type", "metadata")
+    first = (T0 - timedelta(days=1))
+    state = {}
+    for e in sorted(events, key=lambda e: (e[8] or first, e[0])):
+        now, kind = state.get(e[1]), e[2]
+        if now is None:
+            if kind == "created":
+                state[e[1]] = dict(zip(fields, ("registered", *e[4:8]), strict=True))
+        elif kind == "updated" and now["status"] != "decommissioned":
+            now.update({f: v for f, v in zip(fields, e[3:8], strict=True) if v is not None})
+        elif kind == "decommissioned" and now["status"] != "active":
+            now["status"] = "decommissioned"
+    schema = "event_id bigint, device_id string, event_type string, status string, firmware string, name string, device_type string, metadata string, ts timestamp"
+    judged = lifecycle.judge_events(spark.createDataFrame(events, schema))
+    shown = lifecycle.device_snapshot(judged)
+    assert {r["device_id"]: {f: r[f] for f in fields} for r in shown.collect()} == state
+    assert lifecycle.device_snapshot(judged.drop("name", "metadata")).columns == ["device_id", "status", "firmware", "device_type", "created_at", "updated_at"]
+    keys = {k for r in lifecycle.emit_events(judged).collect() for k in json.loads(r["payload"])}
+    assert keys == set(fields)
+
+
 def test_activity(spark):
     devices = spark.createDataFrame([("a", "provisioned"), ("b", "provisioned"), ("c", "active"), ("d", "active"), ("e", "active"), ("f", "decommissioned")],
                                     "id string, status string")
