@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+NO_ID_SLOTS = 4096  # tasks that rows without an id are dealt to, at most
+
 
 def accept_new(incoming: DataFrame, existing: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Mark incoming rows whose key exists already, or came earlier in the same batch.
@@ -133,13 +135,18 @@ def stream_backlog(published: DataFrame, consumed: DataFrame, groups: DataFrame
 
 
 def admit(readings: DataFrame, devices: DataFrame) -> DataFrame:
-    """Readings with `reject_reason`: `unknown`, or the status of a device that may not send."""
-    status = devices.select(F.col("id").alias("device_id"), F.col("status").alias("_status"))
+    """Readings with `reject_reason`: `unknown`, or the status of a device that may not send.
+
+    Readings without a device id meet no device; a second key deals them over many tasks.
+    """
+    status = devices.select(F.col("id").alias("device_id"), F.col("status").alias("_status"), F.lit(0).cast("bigint").alias("_aside"))
+    aside = F.when(F.col("device_id").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(NO_ID_SLOTS))).otherwise(0)
     reason = (
         F.when(F.col("_status").isNull(), "unknown")
         .when(~F.col("_status").isin("provisioned", "active"), F.col("_status"))
     )
-    return readings.join(status, "device_id", "left").withColumn("reject_reason", reason).drop("_status")
+    joined = readings.withColumn("_aside", aside).join(status, ["device_id", "_aside"], "left")
+    return joined.withColumn("reject_reason", reason).select(*[c for c in readings.columns if c != "reject_reason"], "reject_reason")
 
 
 def merge_version_vectors(counters: DataFrame, key: str = "object_id") -> DataFrame:

@@ -79,6 +79,14 @@ def a7(spark, folder):
     return spark.createDataFrame([counts], "accepted bigint, rejected bigint")
 
 
+@query("a7_ingest_errors", """
+    SELECT id, coalesce(decode_error, rule) AS reject_reason FROM checked WHERE coalesce(decode_error, rule) IS NOT NULL""", INGEST_VIEWS)
+def a7_errors(spark, folder):
+    rejected = scratch_path(spark, "rejected")
+    sinks.ingest_batch(decode.ingest(V.messages(spark, folder)), scratch_path(spark, "ingest"), rejected_path=rejected)
+    return spark.read.parquet(rejected).select("id", "reject_reason")
+
+
 @query("a11_bad_record_split", """
     SELECT id, coalesce(decode_error, rule) IS NULL AS good, coalesce(decode_error, rule) AS reject_reason
     FROM checked""", INGEST_VIEWS)

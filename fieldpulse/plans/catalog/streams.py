@@ -17,7 +17,7 @@ from fieldpulse.plans.catalog.scans import TELEMETRY_ROWS
 from fieldpulse.schemas import CONSUMER_GROUPS
 from fieldpulse.session import materialize, scratch_path
 from fieldpulse.sources import dated, sample_views as V, tables
-from fieldpulse.streaming import batches, jobs, lateness, stateful
+from fieldpulse.streaming import batches, feed, jobs, lateness, stateful
 
 READING_COLUMNS = "id bigint, device_id string, device_type string, ts timestamp, payload string"
 READING_ROWS = "SELECT id, CAST(device_id AS VARCHAR) AS device_id, device_type, ts, payload FROM readings"
@@ -201,6 +201,19 @@ def i7(spark, folder):
     return tables.live_feed(V.telemetry(spark, folder), V.alerts(spark, folder), 700, 500)
 
 
+@query("i7_feed_stream", """
+    SELECT 'reading' AS kind, id, ts, (SELECT count(*) FROM telemetry) AS reading_length, (SELECT count(*) FROM alerts) AS alert_length FROM telemetry
+    UNION ALL SELECT 'alert', id, ts, (SELECT count(*) FROM telemetry), (SELECT count(*) FROM alerts) FROM alerts""")
+def i7_stream(spark, folder):
+    telemetry = V.telemetry_stream(spark, folder)
+    streams = {"reading": telemetry, "alert": telemetry.filter(F.col("metric") == "error")}
+    paths = {kind: scratch_path(spark, f"feed-{kind}") for kind in streams}
+    running = [feed.feed_job(stream, paths[kind], scratch_path(spark, "checkpoint"), available_now=True) for kind, stream in streams.items()]
+    for started in running:
+        finish(started)
+    return feed.poll_feed(spark, paths, "id bigint, ts timestamp")[0]
+
+
 @query("i8_liveness", """
     SELECT CAST(device_id AS VARCHAR) AS node_id,
            CASE WHEN silent > 2 * 43200000 THEN 'dead' WHEN silent > 43200000 THEN 'suspect' ELSE 'alive' END AS status

@@ -103,9 +103,11 @@ def test_soft_delete(spark):
 
 def test_admission(spark):
     devices = spark.createDataFrame([("r", "registered"), ("p", "provisioned"), ("a", "active"), ("d", "decommissioned")], "id string, status string")
-    readings = spark.createDataFrame([("u",), ("r",), ("p",), ("a",), ("d",)], "device_id string")
-    got = {r["device_id"]: r["reject_reason"] for r in merge.admit(readings, devices).collect()}
-    assert got == {"u": "unknown", "r": "registered", "p": None, "a": None, "d": "decommissioned"}
+    readings = spark.createDataFrame([("u",), ("r",), ("p",), ("a",), ("d",), (None,), (None,)], "device_id string")
+    judged = merge.admit(readings, devices.union(spark.createDataFrame([(None, "active")], devices.schema)))
+    assert judged.count() == 7 and merge.admit(judged, devices).columns == judged.columns
+    got = {r["device_id"]: r["reject_reason"] for r in judged.collect()}
+    assert got == {None: "unknown", "u": "unknown", "r": "registered", "p": None, "a": None, "d": "decommissioned"}
 
 
 def test_config_merge(spark):

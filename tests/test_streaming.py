@@ -17,7 +17,7 @@ from fieldpulse.operators.filters import time_range
 from fieldpulse.operators.windows import latest_per_key
 from fieldpulse.session import scratch_path
 from fieldpulse.sources import sample_views as V, tables
-from fieldpulse.streaming import batches, jobs, lateness, stateful
+from fieldpulse.streaming import batches, feed, jobs, lateness, stateful
 
 T0 = datetime(2024, 1, 1)
 READINGS = "id bigint, device_id string, device_type string, ts timestamp, payload string"
@@ -139,6 +139,33 @@ def test_live_feed(spark, folder):
     assert all(r["stream_length"] == 1000 for r in rows)
 
 
+def test_feed_polls_new_batches_only(spark, tmp_path):
+    """Three batches with a restart, polls in between, a batch written twice, an empty poll and an empty stream."""
+    log, path, checkpoint = str(tmp_path / "log"), scratch_path(spark, "feed"), scratch_path(spark, "cp")
+    part = lambda first, n: spark.range(first, first + n).select("id", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("ts"))
+    schema = "id bigint, ts timestamp"
+    job = lambda: feed.feed_job(tables.read_log(spark, log, schema, max_files_per_trigger=1), path, checkpoint, available_now=True)
+    nothing = scratch_path(spark, "feed")
+    paths = {"reading": path, "alert": nothing}
+    rows, cursor = feed.poll_feed(spark, paths, schema)
+    assert rows.count() == 0 and cursor == {"reading": -1, "alert": -1}
+    land(spark, log, part(0, 10).coalesce(1), "a")
+    run(job())
+    rows, cursor = feed.poll_feed(spark, paths, schema, cursor)
+    assert {(r["id"], r["reading_length"], r["alert_length"]) for r in rows.collect()} == {(i, 10, 0) for i in range(10)}
+    land(spark, log, part(10, 7).coalesce(1), "b")
+    run(job())
+    land(spark, log, part(17, 3).coalesce(1), "c")
+    run(job())
+    rows, later = feed.poll_feed(spark, paths, schema, cursor)
+    assert sorted(r["id"] for r in rows.collect()) == list(range(10, 20)) and rows.first()["reading_length"] == 20
+    assert later["reading"] > cursor["reading"]
+    assert not any(f"batch_id={n}/" in f for f in rows.inputFiles() for n in range(cursor["reading"] + 1))
+    rows, same = feed.poll_feed(spark, paths, schema, later)
+    assert rows.count() == 0 and same == later
+    assert feed.totals_of(spark, path, later["reading"])[0] == 20
+
+
 def test_persisted_readings_are_pruned_by_day_and_survive_a_restart(spark, folder, tmp_path):
     readings = V.readings(spark, folder).withColumn("device_id", F.col("device_id").cast("string")).withColumn("metadata", F.lit("{}"))
     entries = to_log_entries(readings)
