@@ -39,6 +39,22 @@ def test_order_changes_no_verdict(spark, folder):
     assert sorted(quality_rules.cascade_order(docs, rules)) == sorted(rules)
 
 
+def test_order_goes_by_clear_differences_only():
+    assert quality_rules.by_worth({"a": 1.0, "b": 1.9, "c": 5.0, "d": 0.0, "e": 4.0}) == ["c", "e", "a", "b", "d"]
+    assert quality_rules.by_worth({"a": 0.0, "b": 0.0}) == ["a", "b"] and quality_rules.by_worth({}) == []
+
+
+def test_order_is_estimated_from_all_rows(spark):
+    """Only the last tenth of the rows breaks the rule on symbols, the others are rejected by none."""
+    good = " ".join(f"plain{i}" for i in range(80))
+    bad = " ".join(f"#plain{i}##" for i in range(80))
+    docs = spark.range(0, 4000, 1, 8).select(F.when(F.col("id") < 3600, good).otherwise(bad).alias("text"))
+    rules = quality_rules.default_rules()
+    orders = [quality_rules.cascade_order(docs, rules) for _ in range(2)]
+    assert {order[0] for order in orders} == {"symbols"}
+    assert quality_rules.cascade_order(docs.limit(0), rules) == list(rules)
+
+
 def test_quality_edge_rows(spark, edge, none, edge_rows):
     out = quality_rules.apply_rules(edge, measures=quality_rules.MEASURES)
     assert out.count() == len(edge_rows)
