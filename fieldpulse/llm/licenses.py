@@ -8,8 +8,9 @@ places where one of its possible first words stands.
 
 Beside the templates' own labels, places of the three base phrases give the base labels.
 
-Defined cases: a NULL or wordless text has no words, no labels and score 0; repeated rows are
-all returned; an empty table gives an empty result.
+Defined cases: a NULL or wordless text has no words, no labels and score 0; very long texts are
+read whole; runs of one template do not overlap, those of several templates may, and each gives its
+label; repeated rows are all returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -59,6 +60,73 @@ TEMPLATES = {
         " license as published by the free software foundation either version {{version 2}} of the license or [[at your"
         " option]] any later version"
     ),
+    "lgpl-text": (
+        "is free software you can redistribute it and or modify it under the terms of the gnu lesser general public"
+        " license as published by the free software foundation either version {{version 2}} of the license or [[at your"
+        " option]] any later version"
+    ),
+    "agpl-text": (
+        "is free software you can redistribute it and or modify it under the terms of the gnu affero general public"
+        " license as published by the free software foundation either version {{version 2}} of the license or [[at your"
+        " option]] any later version"
+    ),
+    "mit-whole": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this {{work 6}} to deal in the"
+        " {{work 4}} without restriction including without limitation the rights to use copy modify merge publish"
+        " distribute sublicense and or sell copies of the {{work 4}} and to permit persons to whom the {{work 4}} is"
+        " furnished to do so subject to the following conditions the above copyright notice and this permission notice"
+        " [[including the next paragraph]] shall be included in all copies or substantial portions of the {{work 4}}"
+        " the {{work 4}} is provided as is without warranty of any kind express or implied including but not limited to"
+        " the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the"
+        " {{holders 6}} be liable for any claim damages or other liability whether in an action of contract tort or"
+        " otherwise arising from out of or in connection with the {{work 4}} or the use or other dealings in the {{work 4}}"
+    ),
+    "bsd-3-clause": (
+        "neither the name of {{holder 12}} nor the names of [[its]] [[their]] [[the]] contributors may be used to endorse or"
+        " promote products derived from this software without specific prior written permission"
+    ),
+    "bsd-disclaimer": (
+        "this software is provided by {{holder 12}} as is and any express or implied warranties including but not limited to"
+        " the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall"
+        " {{holder 12}} be liable for any direct indirect incidental special exemplary or consequential damages including"
+        " but not limited to procurement of substitute goods or services loss of use data or profits or business"
+        " interruption however caused and on any theory of liability whether in contract strict liability or tort"
+        " including negligence or otherwise arising in any way out of the use of this software even if advised of the"
+        " possibility of such damage"
+    ),
+    "isc": (
+        "permission to use copy modify [[and]] [[or]] distribute this software for any purpose with or without fee is"
+        " hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+    ),
+    "mpl-2.0": (
+        "this source code form is subject to the terms of the mozilla public license v 2.0 [[if a copy of the mpl was not"
+        " distributed with this file you can obtain one at {{address 10}}]]"
+    ),
+    "epl-2.0": (
+        "this program and the accompanying materials are made available under the terms of the eclipse public license"
+        " [[v]] [[version]] 2.0 [[which accompanies this distribution and]] [[which]] [[is available at {{address 10}}]]"
+    ),
+    "unlicense": (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use"
+        " compile sell or distribute this software either in source code form or as a compiled binary for any purpose"
+        " commercial or non commercial and by any means"
+    ),
+    "cc0-1.0": (
+        "to the extent possible under law {{holder 12}} has waived all copyright and related or neighboring rights to {{work 8}}"
+    ),
+    "cc-by-sa-4.0": "licensed under [[a]] [[the]] creative commons attribution sharealike 4.0 [[international]] [[license]]",
+    "boost-1.0": (
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and"
+        " accompanying documentation covered by this license the software to use reproduce display distribute execute and"
+        " transmit the software and to prepare derivative works of the software and to permit third parties to whom the"
+        " software is furnished to do so"
+    ),
+    "zlib": (
+        "this software is provided as is without any express or implied warranty in no event [[will]] [[shall]] the"
+        " {{authors 4}} be held liable for any damages arising from the use of this software permission is granted to"
+        " anyone to use this software for any purpose including commercial applications and to alter it and redistribute"
+        " it freely subject to the following restrictions"
+    ),
 }
 
 MARKUP = re.compile(r"\[\[|\]\]|\{\{\w+ \d+\}\}|[^\s\[\]{}]+")
