@@ -36,17 +36,32 @@ SCRIPT_SHARE = 0.02  # a language is a candidate in a script in which it has thi
 UNKNOWN = "und"
 BLOCK = 6 << 20
 
-# First code points of ranges and the script of each; 0 stands for no letters.
-SCRIPTS = ("common", "latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "indic", "thai", "georgian", "hangul", "kana", "han")
+# First code points of ranges of characters and the script of their letters; `common` has none,
+# `other` gathers scripts that are not told apart.
 RANGES = (
-    (0x0, 0), (0x41, 1), (0x5B, 0), (0x61, 1), (0x7B, 0), (0xAA, 1), (0xAB, 0), (0xBA, 1), (0xBB, 0), (0xC0, 1), (0xD7, 0),
-    (0xD8, 1), (0xF7, 0), (0xF8, 1), (0x300, 0), (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x900, 7),
-    (0xE00, 8), (0xE80, 7), (0x10A0, 9), (0x1100, 10), (0x1200, 7), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x3040, 11),
-    (0x3100, 12), (0xAC00, 10), (0xD7B0, 0), (0xF900, 12), (0xFB00, 1), (0xFB1D, 5), (0xFB50, 6), (0xFE00, 0), (0xFE70, 6),
-    (0xFF00, 0), (0xFF66, 11), (0x1F000, 0), (0x20000, 12),
+    (0x0, "common"), (0x41, "latin"), (0x5B, "common"), (0x61, "latin"), (0x7B, "common"), (0xAA, "latin"),
+    (0xAB, "common"), (0xBA, "latin"), (0xBB, "common"), (0xC0, "latin"), (0xD7, "common"), (0xD8, "latin"),
+    (0xF7, "common"), (0xF8, "latin"), (0x300, "common"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"),
+    (0x590, "hebrew"), (0x600, "arabic"), (0x700, "syriac"), (0x750, "arabic"), (0x780, "thaana"), (0x7C0, "nko"),
+    (0x800, "other"), (0x860, "syriac"), (0x870, "arabic"), (0x900, "devanagari"), (0x980, "bengali"),
+    (0xA00, "gurmukhi"), (0xA80, "gujarati"), (0xB00, "odia"), (0xB80, "tamil"), (0xC00, "telugu"),
+    (0xC80, "kannada"), (0xD00, "malayalam"), (0xD80, "sinhala"), (0xE00, "thai"), (0xE80, "lao"), (0xF00, "tibetan"),
+    (0x1000, "burmese"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "ethiopic"), (0x13A0, "cherokee"),
+    (0x1400, "canadian"), (0x1680, "other"), (0x1780, "khmer"), (0x1800, "mongolian"), (0x18B0, "canadian"),
+    (0x1900, "other"), (0x1C80, "cyrillic"), (0x1C90, "georgian"), (0x1CC0, "other"), (0x1CD0, "common"),
+    (0x1D00, "latin"), (0x1DC0, "common"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "common"),
+    (0x2C00, "other"), (0x2C60, "latin"), (0x2C80, "other"), (0x2D00, "georgian"), (0x2D30, "other"),
+    (0x2D80, "ethiopic"), (0x2DE0, "common"), (0x3040, "kana"), (0x3100, "han"), (0xA000, "other"),
+    (0xA640, "cyrillic"), (0xA6A0, "other"), (0xA720, "latin"), (0xA800, "other"), (0xA8E0, "devanagari"),
+    (0xA900, "other"), (0xAB30, "latin"), (0xAB70, "cherokee"), (0xABC0, "other"), (0xAC00, "hangul"),
+    (0xD7B0, "common"), (0xF900, "han"), (0xFB00, "latin"), (0xFB1D, "hebrew"), (0xFB50, "arabic"),
+    (0xFE00, "common"), (0xFE70, "arabic"), (0xFF00, "common"), (0xFF21, "latin"), (0xFF3B, "common"),
+    (0xFF41, "latin"), (0xFF5B, "common"), (0xFF66, "kana"), (0xFFA0, "hangul"), (0xFFE0, "common"),
+    (0x10000, "other"), (0x1F000, "common"), (0x20000, "han"),
 )
+SCRIPTS = ("common", *sorted({name for _, name in RANGES} - {"common"}))
 _starts = np.array([r[0] for r in RANGES])
-_kinds = np.array([r[1] for r in RANGES], dtype=np.int8)
+_kinds = np.array([SCRIPTS.index(r[1]) for r in RANGES], dtype=np.int8)
 _letter = re.compile(r"[^\W\d_]")
 
 NO_LETTERS = texts.SPACES.copy()

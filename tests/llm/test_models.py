@@ -66,10 +66,10 @@ def test_language_edge_rows(spark, edge, none, edge_rows):
 
 
 def test_script_of_the_first_letter():
-    made = ["«été", "¿qué", "“the", "—and", "«это", "…", "日本", "plain", "€", "🙂ok", "«“—где"]
+    made = ["«été", "¿qué", "“the", "—and", "«это", "…", "日本", "plain", "€", "🙂ok", "«“—где", "ລາວ", "ខ្មែរ", "አማርኛ", "தமிழ்", "ᚠᚢ"]
     data = " ".join(made).encode()
     words = language.texts.Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), language.NO_LETTERS)
-    want = ["latin", "latin", "latin", "latin", "cyrillic", "common", "han", "latin", "common", "latin", "cyrillic"]
+    want = ["latin", "latin", "latin", "latin", "cyrillic", "common", "han", "latin", "common", "latin", "cyrillic", "lao", "khmer", "ethiopic", "tamil", "other"]
     assert [language.SCRIPTS[k] for k in language.first_scripts(words)] == want
 
 
