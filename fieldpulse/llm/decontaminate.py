@@ -5,18 +5,24 @@ are streamed through it; at every word the state gives the longest match that en
 all words inside an occurrence of a window (13 words of an item, or a whole shorter item) are
 known. Words in such spans are hit.
 
-The automaton is broadcast. Items are grouped into blocks of at most `BLOCK_WORDS` words, each
-an automaton of its own of bounded size; with several blocks the documents pass through one
-after another in the same stage, without an exchange, and each pass adds to the row's spans.
+Items are dealt over tasks, and each task builds automata of at most `BLOCK_WORDS` words; an item
+with more words is cut into pieces that overlap by a window less one word, so no window is lost. The
+automata are written to the shared folder and broadcast, `AT_ONCE` at a time: the documents pass
+through these one after another in one stage, without an exchange, and each pass adds to the row's
+spans. With more automata the rows are written between the rounds and the last round's are let go,
+so neither the driver nor a task ever holds more than `AT_ONCE`, whatever the number of items.
 Documents are never grouped or exchanged.
 
 Defined cases: a NULL or wordless text has no words and is not contaminated; a NULL or wordless
-item has no window; item rows of equal id count as one item, a NULL id shows as `null`; repeated
-document rows are all returned; empty tables give empty or unhit results.
+item has no window; very long texts and items are read whole; item rows of equal id count as one item,
+a NULL id shows as `null`; a passage that several items share counts for each of them; repeated document
+rows are all returned; empty tables give empty or unhit results.
 """
 
 from __future__ import annotations
 
+import functools
+import pickle
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -24,11 +30,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldpulse.llm.registry import query, table
 from fieldpulse.llm.text import plain_words
+from fieldpulse.session import materialize
 
 WINDOW = 13
-BLOCK_WORDS = 100_000  # words of the items in one automaton; a larger item is a block of its own
+BLOCK_WORDS = 100_000  # words of the items in one automaton, at most
+AT_ONCE = 4  # automata that are broadcast together
 COVERAGE = 20  # contaminated from one hit word in twenty
 
+# a word of `plain_words`, before lower-casing
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SPANS = "array<int>"  # begin, end, begin, end, ... as word numbers, end exclusive, apart from each other
 
 
@@ -165,30 +175,54 @@ def _merged(flat: list[int] | None, spans: list[list[int]]) -> list[int]:
     return [x for span in out for x in span]
 
 
-def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text",
-                block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items in blocks of bounded size, read one partition at a time."""
+def _item_blocks(items: Iterable[tuple[str, list[bytes]]], window: int, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items, longer ones in overlapping pieces, in blocks of at most `block_words` words."""
+    longest = max(block_words, window)
     block, size = [], 0
-    name = F.coalesce(F.col(item_id).cast("string"), F.lit("null"))
-    for row in benchmark.select(name.alias("name"), F.col(text).cast("binary").alias("text")).toLocalIterator():
-        words = plain_words(bytes(row["text"])) if row["text"] is not None else []
-        if block and size + len(words) > block_words:
-            yield block
-            block, size = [], 0
-        if words:
-            block.append((row["name"], words))
-            size += len(words)
+    for name, words in items:
+        for begin in range(0, max(1, len(words) - window + 1), longest - window + 1):
+            piece = words[begin : begin + longest]
+            if block and size + len(piece) > longest:
+                yield block
+                block, size = [], 0
+            block.append((name, piece))
+            size += len(piece)
     if block:
         yield block
 
 
+def build_automata(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW,
+                   block_words: int = BLOCK_WORDS) -> DataFrame | None:
+    """Pickled automata of all items, one a row, built in tasks and written to the shared folder; None without words."""
+    name = F.coalesce(F.col(item_id).cast("string"), F.lit("null"))
+    items = benchmark.select(name.alias("name"), F.col(text).alias("text")).filter("text IS NOT NULL").distinct()
+    n_words = items.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0]
+    if not n_words:
+        return None
+
+    def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = ((n.as_py(), plain_words(t.as_py())) for batch in batches for n, t in zip(batch.column(0), batch.column(1), strict=True))
+        for block in _item_blocks(pairs, window, block_words):
+            data = pickle.dumps(vars(SuffixAutomaton(block, window)), pickle.HIGHEST_PROTOCOL)
+            yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["automaton"])
+
+    n_tasks = -(-n_words // max(block_words, window))
+    dealt = items.select("name", F.col("text").cast("binary")).repartition(n_tasks, "name", "text")
+    return materialize(dealt.mapInArrow(build, "automaton binary"), "automata")
+
+
+@functools.lru_cache(maxsize=AT_ONCE)
+def _loaded(data: bytes) -> SuffixAutomaton:
+    """The automaton of a broadcast, kept for the worker's next tasks."""
+    own = SuffixAutomaton.__new__(SuffixAutomaton)
+    vars(own).update(pickle.loads(data))
+    return own
+
+
 def _pass(automaton) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """One pass over the texts: fills or extends the columns n_words, spans and items."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = None
-        if automaton:  # the broadcast holds plain lists and dictionaries only
-            own = SuffixAutomaton.__new__(SuffixAutomaton)
-            vars(own).update(automaton.value)
+        own = _loaded(automaton.value) if automaton else None
         for batch in batches:
             names = batch.schema.names
             numbers, spans, items = [], [], []
@@ -214,10 +248,18 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", wind
         F.lit(0).cast("bigint").alias("_n_words"), F.array().cast(SPANS).alias("_spans"),
         F.array().cast("array<string>").alias("_items"),
     )
-    built = (SuffixAutomaton(block, window) for block in item_blocks(benchmark, block_words=block_words))
-    automata = [spark.sparkContext.broadcast(vars(automaton)) for automaton in built]
-    for automaton in automata or [None]:
-        df = df.mapInArrow(_pass(automaton), df.schema)
+    automata = build_automata(benchmark, window=window, block_words=block_words)
+    if automata is None:
+        return df.mapInArrow(_pass(None), df.schema).select("_row", "_n_words", "_spans", "_items")
+    schema, sent = df.schema, []
+    for row in automata.toLocalIterator():
+        if len(sent) == AT_ONCE:
+            df = materialize(df, "matches")
+            for old in sent:
+                old.destroy()
+            sent = []
+        sent.append(spark.sparkContext.broadcast(bytes(row["automaton"])))
+        df = df.mapInArrow(_pass(sent[-1]), schema)
     return df.select("_row", "_n_words", "_spans", "_items")
 
 

@@ -125,6 +125,26 @@ def test_automaton_against_plain_search(spark, block_words):
         assert (row["_n_words"], row["n_hit"], row["_items"]) == (n, hit, found)
 
 
+@pytest.mark.parametrize("limit", [4, 7, 100])
+def test_blocks_are_bounded_and_keep_every_window(limit):
+    pick = random.Random(5)
+    items = [(str(i), [pick.choice("abc").encode() for _ in range(n)]) for i, n in enumerate([1, 3, 4, 5, 20, 60, 4])]
+    blocks = list(decontaminate._item_blocks(items, 4, limit))
+    assert all(sum(len(words) for _, words in block) <= limit for block in blocks)
+    windows = lambda pairs: {(n, tuple(w[i : i + 4])) for n, w in pairs for i in range(max(1, len(w) - 3))}
+    assert windows(p for block in blocks for p in block) == windows(items)
+
+
+def test_automata_are_sent_in_rounds(spark, monkeypatch):
+    """With more automata than go at once the result is that of a single one."""
+    monkeypatch.setattr(decontaminate, "AT_ONCE", 2)
+    pick = random.Random(4)
+    items = spark.createDataFrame([(i, " ".join(pick.choices("abcd", k=9))) for i in range(12)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, " ".join(pick.choices("abcd", k=50))) for i in range(30)], "doc_id bigint, text string")
+    rounds, one = (sorted(map(tuple, decontaminate.with_matches(docs, items, window=5, block_words=n).collect())) for n in (20, 1000))
+    assert rounds == one and any(r[3] for r in one)
+
+
 def test_decontamination_edges(spark, edge, none, edge_rows):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "mit license"), (None, "текст")], "item_id bigint, text string")
     out = decontaminate.with_matches(edge, items)
