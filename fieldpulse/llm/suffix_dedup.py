@@ -11,11 +11,15 @@ carries the bytes before the anchor back to where the first such string begins.
 * A task sorts the suffixes of its block into a run, combines equal ones (all but the smallest
   id are marked at once) and sends the run front-coded: length of the prefix shared with the
   suffix before, and the rest. Ranges of the suffix order are the bins of the exchange.
+* Suffixes with one of the first 8 bytes that fill whole bins by themselves (hot heads) are dealt over
+  several bins instead. Each goes out twice: for the strings with at most HALF bytes before the anchor
+  to a bin chosen by the HALF bytes behind, which all of them hold, and for the other strings to one
+  chosen by the HALF + 1 bytes before. Equal strings still meet, each in one of the two.
 * The runs of a bin are merged by a loser tree whose players carry the length of the prefix they
   share with the last winner; two players are compared only behind a prefix known to be equal.
 * The merged order comes with the common prefixes of neighbours. Strings whose part behind the
   anchor is longer than any common prefix are unique; the others are grouped by the hash of
-  all their bytes, and every one but those of the smallest id is marked.
+  all their bytes, the bytes are compared, and every one but those of the smallest id is marked.
 
 The marks, a few numbers for each repeated stretch, are gathered for each document and applied:
 sent to the texts if they are small enough, else joined with them by one exchange of the texts.
@@ -27,6 +31,7 @@ taken to have equal texts; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
@@ -45,6 +50,7 @@ LENGTH = 50
 GRAM = 12
 SPAN = LENGTH - GRAM + 1  # grams in a string
 LEFT = LENGTH - GRAM  # most bytes before an anchor
+HALF = LENGTH // 2  # strings of a hot head are dealt by so many bytes behind the anchor, or one more before it
 RUN_SUFFIXES = 300_000  # suffixes in a run
 BIN_BYTES = 6 << 20  # bytes of text whose suffixes share a bin, on average
 GROUPED = 20_000  # suffixes whose strings are grouped together, on average
@@ -163,9 +169,38 @@ class Run:
         self.take(np.flatnonzero(~gone))
         return marks
 
-    def packed(self, splitters: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    def dealt(self, bins: Bins) -> Iterator[tuple[Run, np.ndarray]]:
+        """The run in parts with the bin of each suffix: those of ordinary heads, and twice those of hot ones."""
+        hot = np.isin(self.head, bins.hot)
+        if not hot.any():
+            yield self, np.searchsorted(bins.splitters, self.head, side="right")
+            return
+        ordinary = self.part(~hot)
+        yield ordinary, np.searchsorted(bins.splitters, ordinary.head, side="right")
+        behind = self.part(hot & (self.size >= HALF))
+        behind.left_size = np.minimum(behind.left_size, HALF).astype(np.uint8)
+        yield behind, bins.of_hot(behind.head, behind.key[:, :HALF], 1)
+        before = self.part(hot & (self.left_size > HALF))
+        before.size = np.minimum(before.size, LENGTH - HALF - 1).astype(np.uint8)
+        yield before, bins.of_hot(before.head, before.left[:, LEFT - HALF - 1 :], 2)
+
+    def part(self, rows: np.ndarray) -> Run:
+        out = copy.copy(self)
+        out.take(np.flatnonzero(rows))
+        return out
+
+    def packed(self, bins: Bins) -> Iterator[tuple[int, bytes]]:
         """The run cut into bins, each piece front-coded and compressed."""
-        bins = np.searchsorted(splitters, self.head, side="right")
+        for part, places in self.dealt(bins):
+            order = np.argsort(places, kind="stable")
+            if (np.diff(order) < 0).any():
+                part = copy.copy(part)
+                part.take(order)
+            yield from part._pieces_of(places[order])
+
+    def _pieces_of(self, bins: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        if not len(bins):
+            return
         common = self.common()
         edges = np.concatenate([[0], np.flatnonzero(np.diff(bins)) + 1, [len(bins)]])
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -181,6 +216,27 @@ class Run:
             yield int(bins[a]), len(raw).to_bytes(8, "little") + _codec().compress(raw, asbytes=True)
 
 
+class Bins:
+    """Ranges of the suffix order, and behind them the bins of the hot heads."""
+
+    def __init__(self, sample: np.ndarray, wanted: int):
+        """From sorted heads drawn from the suffixes: a head at two or more of the boundaries is hot."""
+        cuts = sample[np.linspace(0, len(sample) - 1, wanted + 1).astype(np.int64)[1:-1]] if len(sample) else sample
+        self.splitters, times = np.unique(cuts, return_counts=True)
+        self.hot = self.splitters[times > 1]
+        # each suffix of a hot head is sent twice
+        self.slots = 2 * times[times > 1].astype(np.int64) + 2
+        self.first = len(self.splitters) + 1 + np.cumsum(self.slots) - self.slots
+        self.number = int(len(self.splitters) + 1 + self.slots.sum())
+
+    def of_hot(self, head: np.ndarray, bytes_: np.ndarray, kind: int) -> np.ndarray:
+        which = np.searchsorted(self.hot, head)
+        hashes = np.full(len(head), kind, np.uint64)
+        for i in range(bytes_.shape[1]):
+            hashes = texts.mix(hashes * np.uint64(0x9E3779B97F4A7C15) + bytes_[:, i])
+        return self.first[which] + (hashes % self.slots[which].astype(np.uint64)).astype(np.int64)
+
+
 def _unpacked(blob: bytes) -> tuple:
     """(suffixes, shared, size, left_size, doc, place, left) of a packed piece."""
     raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
@@ -231,7 +287,7 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], list[in
         x, y = current[a], current[b]
         if x is None or y is None:
             return (b, a, 0) if x is None else (a, b, 0)
-        if x == y:
+        if x[known:] == y[known:]:
             return a, b, len(x)
         top = min(len(x), len(y))
         while known < top and x[known] == y[known]:
@@ -323,15 +379,32 @@ def _group_marks(fronts: list[bytes], tails: list[bytes], low: np.ndarray, doc:
     begin = anchor[owner] - before
     hashes = texts.hashes_of(whole, begin, begin + LENGTH)
     docs = doc[owner]
-    by_hash = np.argsort(hashes)
+    in_order = np.lexsort((docs, hashes))
     new = np.ones(len(hashes), bool)
-    new[1:] = hashes[by_hash][1:] != hashes[by_hash][:-1]
-    smallest = np.minimum.reduceat(docs[by_hash], np.flatnonzero(new))[np.cumsum(new) - 1]
-    gone = by_hash[docs[by_hash] > smallest]
+    new[1:] = hashes[in_order][1:] != hashes[in_order][:-1]
+    smallest = in_order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    later = docs[in_order] > docs[smallest]
+    gone, first = in_order[later], smallest[later]
+    if not _same_bytes(whole, begin[gone], begin[first]):
+        gone = _later_by_bytes(whole, begin, docs)
     start = place[owner[gone]] - before[gone]
     return _joined(docs[gone], start, start + LENGTH)
 
 
+def _same_bytes(whole: np.ndarray, one: np.ndarray, other: np.ndarray) -> bool:
+    """Whether all the strings that begin at `one` equal those at `other`."""
+    return all(np.array_equal(whole[one + k], whole[other + k]) for k in range(LENGTH))
+
+
+def _later_by_bytes(whole: np.ndarray, begin: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """The strings that a smaller document has as well, told apart by their bytes: for equal hashes of unequal strings."""
+    smallest: dict[bytes, int] = {}
+    keys = [whole[b : b + LENGTH].tobytes() for b in begin.tolist()]
+    for key, doc in zip(keys, docs.tolist(), strict=True):
+        smallest[key] = min(doc, smallest.get(key, doc))
+    return np.flatnonzero([doc > smallest[key] for key, doc in zip(keys, docs.tolist(), strict=True)])
+
+
 def _joined(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Touching marks of a document made one. No mark is longer than the strings of one anchor span."""
     if not len(doc):
@@ -387,10 +460,10 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[Run]:
         yield run()
 
 
-def _splitters(docs: DataFrame, bins: int, n_rows: int) -> np.ndarray:
-    """Boundaries of the bins in the order of suffixes, from the anchors of about SAMPLE_ROWS rows."""
-    if bins <= 1:
-        return np.zeros(0, np.uint64)
+def _bins(docs: DataFrame, wanted: int, n_rows: int) -> Bins:
+    """About `wanted` bins in the order of suffixes, from the anchors of about SAMPLE_ROWS rows."""
+    if wanted <= 1:
+        return Bins(np.zeros(0, np.uint64), 1)
     every = max(1, n_rows // SAMPLE_ROWS)
 
     def heads(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,16 +474,13 @@ def _splitters(docs: DataFrame, bins: int, n_rows: int) -> np.ndarray:
 
     found = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).mapInArrow(heads, "heads binary").collect()
     sample = np.sort(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(bytes(r["heads"]), np.uint64) for r in found]]))
-    if not len(sample):
-        return np.zeros(0, np.uint64)
-    return np.unique(sample[np.linspace(0, len(sample) - 1, bins + 1).astype(np.int64)[1:-1]])
+    return Bins(sample, wanted)
 
 
 def marks(docs: DataFrame) -> DataFrame:
     """(doc_id, begin, end): byte ranges to remove, several for a document, of (doc_id, bytes `text`)."""
     n_rows, n_bytes = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
-    bins = int((n_bytes or 0) // BIN_BYTES + 1)
-    splitters = _splitters(docs, bins, n_rows)
+    bins = _bins(docs, int((n_bytes or 0) // BIN_BYTES + 1), n_rows)
 
     def sort(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(bin_: list, kind: list, data: list) -> pa.RecordBatch:
@@ -418,11 +488,11 @@ def marks(docs: DataFrame) -> DataFrame:
 
         for run in _runs(batches):
             found = _joined(*run.combine())
-            pieces = list(run.packed(splitters))
+            pieces = list(run.packed(bins))
             yield row([p[0] for p in pieces], [SUFFIXES] * len(pieces), [p[1] for p in pieces])
             if len(found[0]):
                 data = np.stack(found, axis=1).astype(np.int64).tobytes()
-                yield row([zlib.crc32(data) % bins], [MARKS], [data])
+                yield row([zlib.crc32(data) % bins.number], [MARKS], [data])
 
     def combine(part: pd.DataFrame) -> pd.DataFrame:
         found = [np.frombuffer(bytes(x), np.int64).reshape(-1, 3) for x in part.loc[part["kind"] == MARKS, "data"]]
@@ -430,7 +500,7 @@ def marks(docs: DataFrame) -> DataFrame:
         return pd.DataFrame(np.concatenate([*found, merged]), columns=["doc_id", "begin", "end"])
 
     packed = docs.mapInArrow(sort, PACKED)
-    return packed.repartition(bins, "bin").groupBy("bin").applyInPandas(combine, MARK_COLUMNS)
+    return packed.repartition(bins.number, "bin").groupBy("bin").applyInPandas(combine, MARK_COLUMNS)
 
 
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from fieldpulse.llm import components, jaccard_join, suffix_dedup
 from fieldpulse.llm.dealing import join_dealt
@@ -202,6 +203,55 @@ def test_removal_of_odd_texts(spark, monkeypatch):
     check_removal(suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id bigint, text string")), docs)
 
 
+def around_a_hot_gram(n):
+    """Texts of 90 bytes around one gram that is the anchor of all their strings; some share a side, some all."""
+    pick = random.Random(8)
+    grams = np.random.default_rng(8).integers(97, 123, (20_000, 12), dtype=np.uint8)
+    data = grams.ravel()
+    eight = suffix_dedup._eight(data)
+    later = np.concatenate([eight[4:], np.zeros(4, np.uint64)])
+    hashes = suffix_dedup.texts.mix(eight * np.uint64(0x9E3779B97F4A7C15) ^ suffix_dedup.texts.mix(later))[::12]
+    gram = grams[hashes.argmin()].tobytes().decode()
+    sides = ["".join(pick.choices("klmnop", k=39)) for _ in range(n)]
+    docs = []
+    for i in range(n):
+        left = sides[i] if i % 3 else sides[i // 9]
+        right = sides[-i] if i % 4 else sides[i // 8]
+        docs.append((i, left + gram + right))
+    return docs
+
+
+def test_hot_head_is_dealt_over_bins(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BIN_BYTES", 2_000)
+    monkeypatch.setattr(suffix_dedup, "RUN_SUFFIXES", 50)
+    docs = around_a_hot_gram(400)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").select("doc_id", F.col("text").cast("binary").alias("text"))
+    bins = suffix_dedup._bins(df, 15, len(docs))
+    assert len(bins.hot) >= 1 and bins.number > 15
+    batch = pa.RecordBatch.from_arrays([pa.array([d[0] for d in docs]), pa.array([d[1].encode() for d in docs])], names=["doc_id", "text"])
+    sizes = {}
+    for run in suffix_dedup._runs([batch]):
+        run.combine()
+        for bin_, blob in run.packed(bins):
+            sizes[bin_] = sizes.get(bin_, 0) + len(suffix_dedup._unpacked(blob)[0])
+    assert max(sizes.values()) < 2 * sum(sizes.values()) / len(sizes) and max(sizes) < bins.number
+    want = check_removal(suffix_dedup.remove_repeats(df), docs)
+    assert sum(w[1] > 0 for w in want.values()) > 50
+
+
+def test_equal_hashes_of_unequal_strings(monkeypatch):
+    """Strings are told apart by their bytes, whatever their hashes."""
+    docs = around_a_hot_gram(60)
+    cut = [(t[:30].encode(), (t[30:] + t)[:40].encode()) for _, t in docs]
+    fronts, tails = zip(*[c for c in cut if len(c[0]) == 30 and len(c[1]) == 40], strict=True)
+    n = len(fronts)
+    args = (list(fronts) * 2, list(tails) * 2, np.full(2 * n, 12), np.arange(2 * n) % (n + 3), np.full(2 * n, 100))
+    want = suffix_dedup._group_marks(*args)
+    monkeypatch.setattr(suffix_dedup.texts, "hashes_of", lambda data, begin, end: np.zeros(len(begin), np.uint64))
+    got = suffix_dedup._group_marks(*args)
+    assert all(np.array_equal(a, b) for a, b in zip(want, got, strict=True)) and len(want[0])
+
+
 @pytest.mark.parametrize("n_runs", [1, 2, 3, 5, 8, 13])
 def test_loser_tree(n_runs):
     pick = random.Random(n_runs)
