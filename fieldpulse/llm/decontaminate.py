@@ -207,7 +207,8 @@ def build_automata(benchmark: DataFrame, item_id: str = "item_id", text: str = "
             yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["automaton"])
 
     n_tasks = -(-n_words // max(block_words, window))
-    dealt = items.select("name", F.col("text").cast("binary")).repartition(n_tasks, "name", "text")
+    # the number of automata follows from the words alone, also where a session raises the number of partitions
+    dealt = items.select("name", F.col("text").cast("binary")).repartition(n_tasks, "name", "text").coalesce(n_tasks)
     return materialize(dealt.mapInArrow(build, "automaton binary"), "automata")
 
 
