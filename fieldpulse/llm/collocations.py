@@ -1,16 +1,19 @@
 """Phrases of two to four words that occur more often together than their parts would let expect.
 
-Per language, level by level: the words with enough occurrences are the first candidates. The
-candidates of a level are dealt by hash into shards of about `SHARD` phrases; a task per shard
-builds a double-array trie over language and words. Shards are broadcast in rounds of at most
-`SHARDS_AT_ONCE`, so what is sent at once is bounded whatever the number of phrases. Every task
-encodes its texts in chunks, puts all positions of a chunk into the state of their language and
-advances them word by word; the accepting states of a level are counted by `bincount`, and the
-counts of all chunks are summed. Where neighbouring positions accept, the two phrases make one of
-the next level whose parts are all frequent: no other phrase can be frequent (the Apriori rule).
-Those are counted only up to the threshold, to choose the next candidates; the trie then counts
-their occurrences exactly. With several rounds the second phrase may lie in another round; then
-the first one alone decides what is counted up to the threshold.
+Per language, level by level: the words with enough occurrences are counted and numbered, and every
+text is written once as the numbers of its words, 0 standing for what lies between pieces and for
+rarer words, which no frequent phrase holds. The words are dealt by hash into shards of about
+`SHARD`, sent in rounds of at most `SHARDS_AT_ONCE`; with several rounds the texts are written anew
+in each. The levels read the numbers only. The candidates of a level are dealt by hash into shards
+as well; a task per shard builds a double-array trie over the bytes of the numbers, and the tries are
+broadcast in rounds of the same size, so what is sent at once is bounded whatever the number of
+phrases. Every task puts all positions of a chunk into the root and advances them word by word; the
+accepting states of a level are counted by `bincount`, and the counts of all tasks are summed. Where
+neighbouring positions accept, the two phrases make one of the next level whose parts are all
+frequent: no other phrase can be frequent (the Apriori rule). Those travel as one 64-bit number of
+phrase and next word and are counted only up to the threshold in a chunk, to choose the next
+candidates; the trie then counts their occurrences exactly. With several rounds the second phrase may
+lie in another round; then the first one alone decides what is counted up to the threshold.
 
 Defined cases: a NULL text is empty, a NULL language `und`; a phrase never crosses texts or pieces;
 repeated rows all count; texts of any length are read whole, a chunk holding one text at least;
@@ -23,6 +26,7 @@ from __future__ import annotations
 import functools
 import io
 import itertools
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -39,7 +43,7 @@ LEAST = 30  # occurrences of a candidate
 LONGEST = 4  # words
 SHARD = 400_000  # candidates of one trie
 SHARDS_AT_ONCE = 8
-CHUNK_BYTES = 6 << 20  # word codes (8 bytes each) whose positions are advanced together
+CHUNK_BYTES = 6 << 20  # words worked on together, at 8 bytes each; at 4 bytes each once they are numbered
 FLUSH_WORDS = 500_000
 COVERED = 80  # per cent of the occurrences that lie in a longer candidate
 TOP = 2000
@@ -47,23 +51,19 @@ SALTS = 64
 
 # Ends of pieces (. , ; : ! ? and the line breaks 0A to 0D) become 0xFF, which UTF-8 never holds.
 _BREAK = b"\xff"
+_BETWEEN = b"\xfe"  # not in UTF-8 either
 _TABLE = bytes(0xFF if chr(b) in ".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else 32 if b == 9 else b for b in range(256))
 
 
 def words_of(body: bytes) -> list[bytes]:
     """Words in order, with a break between pieces and after the last one."""
-    return (body + b"\n").translate(_TABLE).replace(_BREAK, b" " + _BREAK + b" ").split(b" ")
+    return (body + b"\n").translate(_TABLE).replace(_BREAK, b" " + _BREAK + b" ").split()  # of white space only blanks are left
 
 
-def _words(body: bytes) -> list[bytes]:
-    return [w for w in words_of(body) if w]
-
-
-def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[bytes, list[bytes]]]:
-    for block in texts.blocks(batches, "text"):
-        for lang, body in zip(block.column(0).to_pylist(), block.column(1), strict=True):
-            value = body.as_py()
-            yield lang, _words(value) if value else []
+def _texts(block: pa.RecordBatch) -> Iterator[tuple[bytes, list[bytes]]]:
+    for lang, body in zip(block.column("lang").to_pylist(), block.column("text"), strict=True):
+        value = body.as_py()
+        yield lang, words_of(value) if value else []
 
 
 def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,10 +80,11 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows([lang], [None], [sum(n)])
         counts.clear()
 
-    for lang, words in _texts(batches):
-        counts[lang].update(words)
-        if sum(map(len, counts.values())) > FLUSH_WORDS:
-            yield from flush()
+    for block in texts.blocks(batches, "text"):
+        for lang, words in _texts(block):
+            counts[lang].update(words)
+            if sum(map(len, counts.values())) > FLUSH_WORDS:
+                yield from flush()
     yield from flush()
 
 
@@ -176,168 +177,235 @@ def _digits(symbols: np.ndarray, width: int) -> np.ndarray:
     return np.stack([(symbols >> (8 * (width - 1 - i))) & 255 for i in range(width)], axis=-1).astype(np.uint8)
 
 
-def _build(rows: pd.DataFrame) -> pd.DataFrame:
-    """The trie of one shard, packed; `place` numbers the shard's phrases in the trie's order."""
-    langs = sorted(set(rows["lang"]))
-    phrases = [p.split(b" ") for p in rows["phrase"]]
-    words = sorted({w for p in phrases for w in p})
-    word, lang = ({w: i for i, w in enumerate(x)} for x in (words, langs))
-    width = 1 + (max(len(words), len(langs)) - 1 >= 256) + (max(len(words), len(langs)) - 1 >= 1 << 16)
-    symbols = np.array([[lang[c], *map(word.__getitem__, p)] for c, p in zip(rows["lang"], phrases, strict=True)], np.int64)
-    keys = _digits(symbols, width).reshape(len(rows), -1)
-    order = np.lexsort(keys.T[::-1])
-    trie = DoubleArray(keys[order])
-    out = io.BytesIO()
-    np.savez_compressed(out, base=trie.base, check=trie.check, accept=rows["place"].to_numpy()[order], states=trie.accept, width=width,
-             words=np.frombuffer(b" ".join(words), np.uint8), langs=np.frombuffer(b"\xff".join(langs), np.uint8))
-    return pd.DataFrame({"shard": rows["shard"].iloc[:1], "trie": [out.getvalue()]})
+def _builder(width: int):
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        """The trie of one shard, packed; its phrases are placed in the order of their numbers."""
+        codes = np.stack(rows["codes"].to_numpy()[np.argsort(rows["place"].to_numpy())]).astype(np.int64)
+        trie = DoubleArray(_digits(codes, width).reshape(len(rows), -1))
+        out = io.BytesIO()
+        np.savez_compressed(out, base=trie.base, check=trie.check, accept=trie.accept, width=width, size=len(rows))
+        return pd.DataFrame({"shard": rows["shard"].iloc[:1], "packed": [out.getvalue()]})
+    return build
 
 
 class Shard:
-    """An unpacked trie with its words and languages."""
+    """An unpacked trie."""
 
     def __init__(self, packed: bytes):
         parts = np.load(io.BytesIO(packed))
         self.trie = DoubleArray.__new__(DoubleArray)
-        self.trie.base, self.trie.check = parts["base"], parts["check"]
-        states, place = parts["states"], parts["accept"]
-        self.accept = np.where(states >= 0, place[states], -1).astype(np.int32)
-        self.width, self.size = int(parts["width"]), len(place)
-        self.word = {w: i for i, w in enumerate(parts["words"].tobytes().split(b" "))}
-        self.lang = {w: i for i, w in enumerate(parts["langs"].tobytes().split(_BREAK))}
-
-    def accepted(self, chunk: "Chunk", length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions at which a phrase of the shard begins, and its place."""
-        known = np.fromiter((self.word.get(w, -1) for w in chunk.words), np.int64, len(chunk.words))
-        tongue = np.fromiter((self.lang.get(c, -1) for c in chunk.langs), np.int64, len(chunk.langs))
-        symbol = known[chunk.code]
-        start = tongue[chunk.lang]
-        at = np.flatnonzero((start >= 0) & (symbol >= 0))
-        state = np.zeros(len(at), np.int64)
-        at, state = self._advance(at, state, start[at])
-        for step in range(length):
-            inside = at + step < len(symbol)
-            at, state = at[inside], state[inside]
-            sign = symbol[at + step]
-            at, state, sign = at[sign >= 0], state[sign >= 0], sign[sign >= 0]
-            at, state = self._advance(at, state, sign)
-        return at, self.accept[state].astype(np.int64)
+        self.trie.base, self.trie.check, self.trie.accept = parts["base"], parts["check"], parts["accept"]
+        self.width, self.size = int(parts["width"]), int(parts["size"])
 
-    def _advance(self, at: np.ndarray, state: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        for i in range(self.width):
-            there, state = self.trie.step(state, (sign >> (8 * (self.width - 1 - i))) & 255)
-            at, sign = at[there], sign[there]
-        return at, state
+    def accepted(self, codes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions at which a phrase of the shard begins, and its place. The last code is 0 and thus in no phrase."""
+        at = np.flatnonzero(codes).astype(np.int32)
+        state = np.zeros(len(at), np.int32)
+        for step in range(length):
+            sign = codes[at + step]
+            for i in range(self.width):
+                there, state = self.trie.step(state, (sign >> (8 * (self.width - 1 - i))) & 255)
+                at, sign = at[there], sign[there]
+        return at, self.trie.accept[state]
 
 
 class Chunk:
-    """Texts in a row: a code for every word or break, the words and languages behind the codes."""
+    """Texts in a row: a code for every word of a language, 0 for a break, and what the codes stand for."""
 
     def __init__(self):
-        self.number: dict[bytes, int] = defaultdict(itertools.count().__next__)
-        self.tongue: dict[bytes, int] = defaultdict(itertools.count().__next__)
-        self.number[_BREAK]  # noqa: B018  (the break gets code 0)
+        self.fresh = itertools.count(1).__next__
+        self.numbers: dict[bytes, dict[bytes, int]] = {}
         self.parts: list[np.ndarray] = []
         self.owners: list[tuple[int, int]] = []
+        self.rows: list[pa.RecordBatch] = []
+        self.tongue: dict[bytes, int] = defaultdict(itertools.count().__next__)
         self.bytes = 0
 
     def add(self, lang: bytes, words: list[bytes]) -> None:
-        self.parts.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
+        number = self.numbers.setdefault(lang, defaultdict(self.fresh, {_BREAK: 0}))
+        self.parts.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
         self.owners.append((self.tongue[lang], len(words)))
         self.bytes += 8 * len(words)
 
     def close(self) -> "Chunk":
         self.code = np.concatenate([np.zeros(0, np.int32), *self.parts])
         owner = np.array(self.owners, np.int64).reshape(-1, 2)
-        self.lang = np.repeat(owner[:, 0].astype(np.int32), owner[:, 1])
-        self.words, self.langs = list(self.number), list(self.tongue)
-        self.words[0] = b" "  # no word: a break is never part of a phrase
+        self.langs, self.lang = list(self.tongue), np.repeat(owner[:, 0].astype(np.int32), owner[:, 1])
+        self.ends = np.concatenate([[0], np.cumsum(owner[:, 1])])  # of the texts
+        self.words = [b" "] * self.fresh()  # a break is never part of a phrase
+        self.keys = [b""] * len(self.words)
+        for lang, number in self.numbers.items():
+            for word, code in number.items():
+                if code:
+                    self.words[code], self.keys[code] = word, lang + _BREAK + word
         return self
 
 
 def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[Chunk]:
     chunk = Chunk()
-    for lang, words in _texts(batches):
-        chunk.add(lang, words)
-        if chunk.bytes > CHUNK_BYTES:
-            yield chunk.close()
-            chunk = Chunk()
+    for block in texts.blocks(batches, "text"):
+        begin = 0
+        for end, (lang, words) in enumerate(_texts(block), 1):
+            chunk.add(lang, words)
+            if chunk.bytes > CHUNK_BYTES:
+                chunk.rows.append(block.slice(begin, end - begin))
+                yield chunk.close()
+                chunk, begin = Chunk(), end
+        if begin < len(block):
+            chunk.rows.append(block.slice(begin))
     yield chunk.close()
 
 
-def _counter(shards: list, length: int, least: int, complete: bool):
-    """Counts of the phrases of the shards, and of each phrase with the next word up to `least`.
+def _pack_words(rows: pd.DataFrame) -> pd.DataFrame:
+    """The words of one shard in the order of their places."""
+    rows = rows.sort_values("place")
+    keys = [lang + _BREAK + word for lang, word in zip(rows["lang"], rows["phrase"], strict=True)]
+    return pd.DataFrame({"shard": rows["shard"].iloc[:1], "packed": [zlib.compress(_BETWEEN.join(keys))]})
 
-    If the shards hold all candidates (`complete`), a next word counts only where the phrase that
-    ends with it is a candidate as well.
-    """
+
+def _unpacked(packed: bytes) -> pa.Array:
+    return pa.array(zlib.decompress(packed).split(_BETWEEN), pa.binary())
+
+
+def _number(place, shard, shards: int):
+    """Numbers from 1 on, nearly without gaps, as the shards are dealt by hash."""
+    return place * shards + shard + 1
+
+
+def _encoder(sent: list, shards: int, last: bool, dtype: str):
+    """Texts as the numbers of their words; before the `last` round the texts stay beside what is known by then."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = Shard(shards[0][1].value) if len(shards) == 1 else None
+        only = _unpacked(sent[0][1].value) if len(sent) == 1 else None
         for chunk in _chunks(batches):
-            phrase = np.full(len(chunk.code) + 1, -1, np.int64)
+            keys, known = pa.array(chunk.keys, pa.binary()), np.zeros(len(chunk.keys), np.int32)
+            for shard, packed in sent:  # one dictionary at a time
+                words = _unpacked(packed.value) if only is None else only
+                place = np.asarray(pa.compute.fill_null(pa.compute.index_in(keys, value_set=words), -1))
+                known[place >= 0] = _number(place[place >= 0], shard, shards)
+            code = known[chunk.code]
+            if chunk.rows and "codes" in chunk.rows[0].schema.names:
+                code = np.maximum(code, np.concatenate([texts.joined(r.column("codes"))[0] for r in chunk.rows]).view(np.int32))
+            if last:
+                yield pa.RecordBatch.from_arrays([_without_gaps(code, chunk.ends, dtype)], names=["codes"])
+                continue
+            codes, begin = _binary(code, chunk.ends), 0
+            for rows in chunk.rows:
+                yield pa.RecordBatch.from_arrays([rows.column("lang"), rows.column("text"), codes.slice(begin, len(rows))], names=["lang", "text", "codes"])
+                begin += len(rows)
+    return run
+
+
+def _binary(code: np.ndarray, ends: np.ndarray) -> pa.Array:
+    offsets = (ends * code.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(code))])
+
+
+def _without_gaps(code: np.ndarray, ends: np.ndarray, dtype: str) -> pa.Array:
+    """One 0 behind every run of numbers; texts without a number are left out."""
+    keep = code > 0
+    keep[1:] |= code[:-1] > 0  # the last code of a text is 0
+    before = np.concatenate([[0], np.cumsum(keep)])
+    return _binary(code[keep].astype(dtype), np.unique(before[ends]))
+
+
+def _positions(batches: Iterable[pa.RecordBatch], dtype: str) -> Iterator[np.ndarray]:
+    for block in texts.blocks(batches, "codes", CHUNK_BYTES // 4 * np.dtype(dtype).itemsize):
+        yield texts.joined(block.column("codes"))[0].view(dtype).astype(np.int32)
+
+
+def _counter(sent: list, shards: int, length: int, least: int, complete: bool, base: int, dtype: str):
+    """Counts of the phrases of the shards sent, and of each phrase with the next word up to `least`.
+
+    `key` is the phrase's number times `base`, plus the next word's number. Words are phrases without
+    a trie and have their counts already. If the shards sent hold all candidates (`complete`), a next
+    word counts only where the phrase that ends with it is a candidate as well.
+    """
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = Shard(sent[0][1].value) if len(sent) == 1 else None
+        counts: dict[int, np.ndarray] = {}
+        for codes in _positions(batches, dtype):
+            phrase = codes if length == 1 else np.zeros(len(codes), np.int64)
             shard = None
-            for number, packed in shards:
+            for number, packed in sent:
                 shard = None  # one trie at a time
                 shard = only or Shard(packed.value)
-                at, place = shard.accepted(chunk, length)
-                phrase[at] = (number << 32) + place
-                n = np.bincount(place, minlength=shard.size)
-                seen = np.flatnonzero(n)
-                yield from _numbers((number << 32) + seen, None, n[seen])
+                at, place = shard.accepted(codes, length)
+                phrase[at] = _number(place.astype(np.int64), number, shards)
+                counts[number] = counts.get(number, 0) + np.bincount(place, minlength=shard.size)
             shard = None
             if length < LONGEST:
-                yield from _next_words(chunk, phrase, length, least, complete)
+                yield from _next_words(codes, phrase, length, least, complete, base)
+        for number, n in counts.items():
+            seen = np.flatnonzero(n)
+            yield from _numbers(_number(seen, number, shards) * base, n[seen])
     return run
 
 
-def _next_words(chunk: Chunk, phrase: np.ndarray, length: int, least: int, complete: bool) -> Iterator[pa.RecordBatch]:
-    at = np.flatnonzero((phrase[:-1] >= 0) & (phrase[1:] >= 0) if complete else phrase[:-1] >= 0)
-    follows = chunk.code[at + length]  # a break stands behind the last word of a text
+def _next_words(codes: np.ndarray, phrase: np.ndarray, length: int, least: int, complete: bool, base: int) -> Iterator[pa.RecordBatch]:
+    at = np.flatnonzero((phrase[:-1] > 0) & (phrase[1:] > 0) if complete else phrase[:-1] > 0)
+    follows = codes[at + length]  # a 0 stands behind the last word of a text
     at, follows = at[follows > 0], follows[follows > 0]
-    ids, dense = np.unique(phrase[at], return_inverse=True)
-    key, n = np.unique(dense * len(chunk.words) + follows, return_counts=True)
-    words, size = np.array(chunk.words, object), len(chunk.words)
-    for i in range(0, len(key), 100_000):
-        part = key[i : i + 100_000]
-        yield from _numbers(ids[part // size], words[part % size], np.minimum(n[i : i + 100_000], least))
+    key, n = np.unique(phrase[at].astype(np.int64) * base + follows, return_counts=True)
+    yield from _numbers(key, np.minimum(n, least))
 
 
-def _numbers(ids: np.ndarray, word: np.ndarray | None, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(ids), 100_000):
+def _numbers(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(key), 100_000):
         part = slice(i, i + 100_000)
-        words = pa.nulls(len(ids[part]), pa.binary()) if word is None else pa.array(word[part], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(ids[part], pa.int64()), words, pa.array(n[part], pa.int64())], names=["id", "word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[part], pa.int64()), pa.array(n[part], pa.int64())], names=["key", "n"])
 
 
-def _numbered(candidates: DataFrame, shard_size: int) -> tuple[DataFrame, int]:
-    """Candidates (lang, phrase as binary) with their shard, place in it and `id`; and the number of shards."""
+def _numbered(candidates: DataFrame, order: list[str], shard_size: int) -> tuple[DataFrame, int]:
+    """Candidates (`order` tells them apart) with their shard, place in it and number; and the number of shards."""
     candidates = materialize(candidates, "phrase-candidates")
     shards = -(-candidates.count() // shard_size)
-    shard = F.pmod(F.xxhash64("lang", "phrase"), F.lit(max(shards, 1)))
-    place = F.row_number().over(Window.partitionBy("shard").orderBy("lang", "phrase")) - 1
+    shard = F.pmod(F.xxhash64(*order), F.lit(max(shards, 1)))
+    place = F.row_number().over(Window.partitionBy("shard").orderBy(*order)) - 1
     numbered = candidates.withColumn("shard", shard.cast("bigint")).withColumn("place", place)
-    return materialize(numbered.withColumn("id", F.shiftleft("shard", 32) + F.col("place")), "phrases"), shards
+    return materialize(numbered.withColumn("number", _number(F.col("place").cast("bigint"), F.col("shard"), shards)), "phrases"), shards
 
 
-def _level(docs: DataFrame, candidates: DataFrame, length: int, least: int, shard_size: int, at_once: int) -> tuple[DataFrame, DataFrame]:
-    """Candidates of `length` words with their exact counts `f`; and candidates of the next length."""
-    numbered, shards = _numbered(candidates, shard_size)
-    tries = materialize(numbered.groupBy("shard").applyInPandas(_build, "shard bigint, trie binary"), "tries")
-    rounds = []
+def _rounds(packed: DataFrame, shards: int, at_once: int) -> Iterator[list]:
+    """The packed shards, broadcast, at most `at_once` of them at a time."""
+    context = packed.sparkSession.sparkContext
     for begin in range(0, shards, at_once):
-        packed = tries.filter(F.col("shard").between(begin, begin + at_once - 1)).collect()
-        sent = [(r["shard"], docs.sparkSession.sparkContext.broadcast(bytes(r["trie"]))) for r in packed]
-        found = docs.mapInArrow(_counter(sent, length, least, shards <= at_once), "id bigint, word binary, n bigint")
-        found = found.groupBy("id", "word").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | F.col("word").isNull())
-        rounds.append(materialize(found, "phrase-counts"))
-        for _, trie in sent:
-            trie.unpersist()
-    if not rounds:
-        return candidates.select("lang", "phrase", F.lit(0).cast("bigint").alias("f")), candidates
-    counted = functools.reduce(DataFrame.unionByName, rounds).join(numbered, "id")
-    counts = counted.filter(F.col("word").isNull()).select("lang", "phrase", F.col("n").alias("f"))
-    longer = counted.filter(F.col("word").isNotNull())
-    return counts, longer.select("lang", F.concat("phrase", F.lit(b" "), "word").alias("phrase"))
+        rows = packed.filter(F.col("shard").between(begin, begin + at_once - 1)).collect()
+        sent = [(r["shard"], context.broadcast(bytes(r["packed"]))) for r in rows]
+        yield sent
+        for _, shard in sent:
+            shard.unpersist()
+
+
+def _encoded(body: DataFrame, words: DataFrame, shards: int, dtype: str, at_once: int) -> DataFrame:
+    """`codes` of every text, as bytes; texts without a numbered word are left out."""
+    packed = materialize(words.groupBy("shard").applyInPandas(_pack_words, "shard bigint, packed binary"), "word-shards")
+    for i, sent in enumerate(_rounds(packed, shards, at_once), 1):
+        last = i * at_once >= shards
+        columns = "codes binary" if last else "lang binary, text binary, codes binary"
+        body = materialize(body.mapInArrow(_encoder(sent, shards, last, dtype), columns), "numbered-texts")
+    return body
+
+
+def _level(codes: DataFrame, words: DataFrame, phrases: DataFrame, shards: int, length: int, least: int, base: int, dtype: str,
+           at_once: int) -> tuple[DataFrame, DataFrame]:
+    """Numbered phrases of `length` words with their exact counts `f` (words have theirs); and candidates of the next length."""
+    if length == 1:
+        rounds = [[]]
+    else:
+        width = ((base - 1).bit_length() + 7) // 8
+        tries = materialize(phrases.groupBy("shard").applyInPandas(_builder(width), "shard bigint, packed binary"), "tries")
+        rounds = _rounds(tries, shards, at_once)
+    counted = []
+    for sent in rounds:
+        found = codes.mapInArrow(_counter(sent, shards, length, least, length == 1 or shards <= at_once, base, dtype), "key bigint, n bigint")
+        found = found.groupBy("key").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("key") % base == 0))
+        counted.append(materialize(found, "phrase-counts"))
+    counted = functools.reduce(DataFrame.unionByName, counted)
+    counted = counted.select(F.expr(f"key div {base}").alias("number"), (F.col("key") % base).alias("word"), F.col("n").alias("f"))
+    counts = counted.filter("word = 0").join(phrases, "number").select("lang", "phrase", "f")
+    following = words.select(F.col("number").alias("word"), F.col("phrase").alias("next"))
+    longer = counted.filter("word > 0").join(phrases, "number").join(following, "word")
+    return counts, longer.select("lang", F.concat("phrase", F.lit(b" "), "next").alias("phrase"), F.concat("codes", F.array("word")).alias("codes"))
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, shard_size: int = SHARD,
@@ -349,11 +417,21 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     )
     counted = body.mapInArrow(_count_words, "lang binary, phrase binary, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     counted = materialize(counted.filter((F.col("n") >= least) | F.col("phrase").isNull()), "word-counts")
-    candidates = counted.filter(F.col("phrase").isNotNull()).select("lang", "phrase")
-    levels = []
-    for length in range(1, LONGEST + 1):
-        counts, candidates = _level(body, candidates, length, least, shard_size, at_once)
-        levels.append(counts.select(_text("lang"), _text("phrase"), F.lit(length).alias("words"), "f"))
+    words, shards = _numbered(counted.filter(F.col("phrase").isNotNull()), ["lang", "phrase"], shard_size)
+    levels = [words.select(_text("lang"), _text("phrase"), F.lit(1).alias("words"), F.col("n").alias("f"))]
+    if shards:
+        base = words.agg(F.max("number")).first()[0] + 1
+        dtype = "uint16" if base <= 1 << 16 else "int32"
+        codes = _encoded(body, words, shards, dtype, at_once)
+        phrases = words.drop("n").withColumn("codes", F.array("number"))
+        for length in range(1, LONGEST + 1):
+            counts, longer = _level(codes, words, phrases, shards, length, least, base, dtype, at_once)
+            if length > 1:
+                levels.append(counts.select(_text("lang"), _text("phrase"), F.lit(length).alias("words"), "f"))
+            if length < LONGEST:
+                phrases, shards = _numbered(longer, ["codes"], shard_size)
+                if not shards:
+                    break
     totals = counted.filter(F.col("phrase").isNull()).select(_text("lang"), "n")
     return materialize(functools.reduce(DataFrame.unionByName, levels), "frequent-phrases"), totals
 

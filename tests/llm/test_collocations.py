@@ -107,3 +107,30 @@ def test_double_array_holds_its_keys_only(alphabet):
     accepted = dict(zip(at.tolist(), trie.accept[state].tolist()))
     number = {tuple(k): i for i, k in enumerate(keys.tolist())}
     assert accepted == {i: number[tuple(k)] for i, k in enumerate(other.tolist()) if tuple(k) in number}
+
+
+@pytest.mark.parametrize("sizes", [{}, {"shard_size": 9, "at_once": 2}])
+def test_levels_do_not_read_the_texts(spark, sizes):
+    """One pass counts the words, the other writes their numbers; four levels come after them."""
+    rows, seen = made_up(), spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame(rows, "text string, lang string").mapInArrow(counting, "text string, lang string")
+    frequent, _ = collocations.phrase_counts(docs, least=5, **sizes)
+    assert frequent.filter("words = 4").count() > 0
+    assert seen.value == 2 * len(rows)
+
+
+def test_more_words_than_two_bytes_can_number(spark):
+    names = [f"w{i}" for i in range(70_000)]
+    rows = [(" ".join(names[i : i + 1000]) + ". " + " ".join(names[i : i + 3]), "en") for i in range(0, len(names), 1000)]
+    frequent, _ = collocations.phrase_counts(spark.createDataFrame(rows, "text string, lang string"), least=2)
+    got = {r["phrase"]: r["f"] for r in frequent.collect()}
+    triples = [names[i : i + 3] for i in range(0, len(names), 1000)]
+    assert got == {" ".join(t[a:b]): 2 for t in triples for a in range(3) for b in range(a + 1, 4)}
+    few, _ = collocations.phrase_counts(spark.createDataFrame(rows, "text string, lang string"), least=1)
+    assert few.count() == 70_000 + sum(70 * (1000 - k) for k in (1, 2, 3))
