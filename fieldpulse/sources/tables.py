@@ -9,6 +9,8 @@ from pyspark.sql.types import StructType
 
 from fieldpulse.operators.ranking import row_at_rank
 
+ROW_BYTES = 64  # what a row takes beside its text
+
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     """Parquet scan; with a schema only its columns exist and nothing is inferred."""
@@ -26,6 +28,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def deal(df: DataFrame, text: str, task_bytes: int) -> DataFrame:
+    """Deal out the rows evenly, with about `task_bytes` of `text` or less for a task, and at least one task per core.
+
+    For rows that are kept or cost much, and whose number the files do not tell. Sizes are added
+    up in a pass of their own; the number of tasks is no matter of files or settings.
+    """
+    size = df.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES)).first()[0] or 0
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // task_bytes)))
+
+
 def read_jdbc(
     spark: SparkSession,
     url: str,

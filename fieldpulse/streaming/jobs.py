@@ -17,10 +17,11 @@ from fieldpulse.operators.aggregates import tumbling_counts
 from fieldpulse.operators.decode import from_log_entries, ingest
 from fieldpulse.operators.detect import ALERT_THRESHOLD, Forest, emit_alerts, score_forest
 from fieldpulse.sources.sinks import split_bad_records
-from fieldpulse.sources.tables import spread
+from fieldpulse.sources.tables import deal
 from fieldpulse.streaming.batches import start, write_batch
 from fieldpulse.streaming.lateness import interval_micros, start_without_late
 
+TASK_BYTES = 32 << 20  # messages of one task
 
 def compact_days(batches: DataFrame, target: str, first: str, last: str) -> None:
     """Gather the closed days `first` to `last` of a table kept by day and batch into one kept by day.
@@ -49,10 +50,14 @@ def append_job(
 
 
 def ingest_job(messages: DataFrame, good: str, quarantine: str, checkpoint: str, **how) -> StreamingQuery:
-    """Raw messages to a readings table and a quarantine table with reasons; decoded once per batch."""
+    """Raw messages to a readings table and a quarantine table with reasons; decoded once per batch.
+
+    The messages are dealt out by their size first: a log that is small in its files, or ordered by
+    time, would leave all of a large batch, or whole days, with a few tasks.
+    """
 
     def on_batch(df: DataFrame, n: int) -> None:
-        checked = ingest(spread(df)).persist()
+        checked = ingest(deal(df, "body", TASK_BYTES)).persist()
         try:
             accepted, rejected = split_bad_records(checked)
             write_batch(accepted, good, n, "ts")

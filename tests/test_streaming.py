@@ -127,6 +127,30 @@ def test_ingest_splits_every_message(spark, folder):
         r[0] for r in rejected.select("reject_reason").distinct().collect()}
 
 
+def test_ingest_deals_out_a_large_batch_by_its_size(spark, folder, monkeypatch):
+    """What one task keeps follows neither from the number of files nor from that of the cores."""
+    decode, largest = jobs.ingest, []
+
+    def watched(df):
+        sizes = df.groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length("body")).alias("bytes"))
+        largest.append(sizes.agg(F.max("bytes")).first()[0])
+        return decode(df)
+
+    monkeypatch.setattr(jobs, "ingest", watched)
+    monkeypatch.setattr(jobs, "TASK_BYTES", 4096, raising=False)
+    good, bad = scratch_path(spark, "good"), scratch_path(spark, "bad")
+    messages = V.messages_of(V.readings_of(V.telemetry_stream(spark, folder)))
+    run(jobs.ingest_job(messages, good, bad, scratch_path(spark, "cp"), available_now=True))
+    assert len(largest) == 1 and largest[0] <= 2 * 4096
+    assert spark.read.parquet(good).count() + spark.read.parquet(bad).count() == 1000
+
+
+def test_dealing_counts_empty_and_missing_texts(spark):
+    rows = spark.range(0, 1000, 1, 1).select(F.when(F.col("id") % 3 > 0, F.repeat(F.lit("x"), (F.col("id") % 3).cast("int"))).alias("text"))
+    assert tables.deal(rows, "text", 650).rdd.getNumPartitions() == -(-(64 * 1000 + 999) // 650)
+    assert tables.deal(rows.limit(0), "text", 650).count() == 0
+
+
 def test_arrival_class(spark):
     offsets = [0, 300, 301, -86400, -86401]
     df = spark.createDataFrame([(T0 + timedelta(seconds=s), T0) for s in offsets], "ts timestamp, arrived_at timestamp")
